@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from strataforge.functions import masking
 from strataforge.operators import schema, star
 from strataforge.operators.schema import Contract
-from strataforge.plans.catalog.audits import EVENT_CONTRACT, event_records
+from strataforge.plans.catalog.audits import EVENT_CONTRACT, PROPS_CONTRACT, event_payloads
 from strataforge.plans.catalog.common import AS_OF, shown
 from strataforge.plans.registry import half_up, query
 from strataforge.plans.views import TABLES
@@ -184,28 +184,31 @@ def p15(t):
     return _roles_frame(t)
 
 
+# columns of uploads, as they would come from reading headers: one upload per supplier,
+# its columns chosen by the parts it delivers
+UPLOAD_COLUMNS = [*EVENT_CONTRACT.source_fields, *star.KPI_COLUMNS, "price", "colour", "weight"]
+UPLOADS = f"""SELECT CASE WHEN l_suppkey % 5 = 0 THEN 'kpi_' ELSE 'upload_' END || l_suppkey AS table_name,
+  CASE {' '.join(f"WHEN l_partkey % 40 = {i} AND (l_suppkey + {i}) % 3 <> 0 THEN '{c}'" for i, c in enumerate(UPLOAD_COLUMNS))}
+  ELSE 'c' || (l_partkey % 40) END AS column_name FROM lineitem"""
+
+
+def _listed(columns):
+    return ", ".join(f"'{c}'" for c in columns)
+
+
 @query(
     "P16_match_known_schema",
-    """SELECT * FROM (VALUES ('lines_registered', 'registered_api', CAST(0 AS BIGINT), 'events'),
-         ('kpi_upload', 'legacy_kpi', CAST(1 AS BIGINT), NULL), ('target_sheet', 'legacy_kpi', CAST(3 AS BIGINT), NULL),
-         ('customer', 'generic_dynamic', CAST(0 AS BIGINT), NULL), ('orders', 'generic_dynamic', CAST(0 AS BIGINT), NULL),
-         ('events', 'registered_api', CAST(0 AS BIGINT), 'events')) AS m(table_name, route, kpi_columns, contract)
-       WHERE EXISTS (SELECT 1 FROM events) AND EXISTS (SELECT 1 FROM orders) AND EXISTS (SELECT 1 FROM customer)""",
+    f"""WITH u AS (SELECT DISTINCT * FROM ({UPLOADS})),
+      n AS (SELECT table_name, count(*) FILTER (column_name IN ({_listed(star.KPI_COLUMNS)})) AS kpi_columns,
+        greatest(count(*) FILTER (column_name IN ({_listed(EVENT_CONTRACT.source_fields)})),
+                 count(*) FILTER (column_name IN ({_listed(EVENT_CONTRACT.canonical_fields)}))) AS fields FROM u GROUP BY table_name)
+      SELECT table_name, kpi_columns, CASE WHEN fields >= 0.7 * 4 THEN 'events' END AS contract,
+        CASE WHEN kpi_columns >= 3 OR (table_name LIKE '%kpi%' AND kpi_columns >= 1) THEN 'legacy_kpi'
+             WHEN fields >= 0.7 * 4 THEN 'registered_api' ELSE 'generic_dynamic' END AS route FROM n""",
 )
 def p16(t):
-    given = {
-        "customer": t.customer.columns,
-        "orders": t.orders.columns,
-        "events": t.events.columns,
-        "lines_registered": event_records(t).columns,
-        "kpi_upload": [*t.orders.columns, "muc_dat"],
-        "target_sheet": [*t.part.columns, "ma_chi_tieu", "muc_dat", "nhom_don_vi"],
-    }
-    columns = t.spark.createDataFrame(
-        [(n, c) for n, cs in given.items() for c in cs], "table_name string, column_name string"
-    )
-    contracts = {"events": (["event_id", "user_id", "event_type", "ts"], EVENT_CONTRACT.canonical_fields)}
-    return star.match_schema(columns, contracts)
+    contracts = {"events": (EVENT_CONTRACT.source_fields, EVENT_CONTRACT.canonical_fields)}
+    return star.match_schema(t.sql(UPLOADS), contracts)
 
 
 @query(
@@ -283,31 +286,13 @@ def p7(t):
     return shown(stamped.drop("o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority", "o_totalprice"))
 
 
-PROPS_CONTRACT = Contract(
-    dataset="props",
-    schema_version="1.0",
-    source=T.StructType([T.StructField("k", T.StringType())]),
-    canonical={},
-    key=("k",),
-    record_id="k",
-    updated_at="k",
-)
-
-
 @query(
     "P5_preserve_extra_fields",
     """SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, event_type AS a_kind,
          CASE WHEN event_id % 3 = 0 THEN user_id END AS z_user FROM events""",
 )
 def p5(t):
-    record = F.to_json(
-        F.struct(
-            F.get_json_object("props", "$.k").try_cast("int").alias("k"),
-            F.when(F.col("event_id") % 3 == 0, F.col("user_id")).alias("z_user"),
-            F.col("event_type").alias("a_kind"),
-        )
-    )
-    return schema.with_extra_fields(t.events.select("event_id", record.alias("payload")), "payload", PROPS_CONTRACT)
+    return schema.with_extra_fields(event_payloads(t), "payload", PROPS_CONTRACT)
 
 
 @query(

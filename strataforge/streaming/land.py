@@ -52,8 +52,12 @@ def stream_upsert(
         path = head["tables"].get(table)
         session = batch.sparkSession
         state = session.read.parquet(path) if path else session.createDataFrame([], batch.schema)
-        fresh = ledger.stage(table, step(batch, state))
-        ledger.commit(head["version"], {table: fresh}, state={marker: number})
+        batch.persist()
+        try:
+            fresh = ledger.stage(table, step(batch, state))
+            ledger.commit(head["version"], {table: fresh}, state={marker: number})
+        finally:
+            batch.unpersist()
 
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
