@@ -77,20 +77,30 @@ def dedup_latest(df: DataFrame, keys: Sequence[str], tie_break: Sequence[str] =
     return first_per_key(df, keys, order)
 
 
-def conflict_keys(
+def key_conflicts(
     df: DataFrame, key: Sequence[str], updated: str = "updated_at", checksum: str = "checksum"
 ) -> DataFrame:
-    """Keys with two different checksums at one change time (a missing checksum counts as a value)."""
+    """Keys with two different checksums at one change time, and the number of their rows.
+
+    A missing checksum counts as a value.  Both steps combine partially.
+    """
     value = F.coalesce(F.col(checksum), F.lit(NULL_CHECKSUM))
     return (
         df.groupBy(*key, updated)
-        .agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-        .filter("_low <> _high")
-        .select(*key)
-        .distinct()
+        .agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count(F.lit(1)).alias("_n"))
+        .groupBy(*key)
+        .agg(F.bool_or(F.col("_low") != F.col("_high")).alias("_conflict"), F.sum("_n").alias("_rows"))
+        .filter("_conflict")
+        .drop("_conflict")
     )
 
 
+def conflict_keys(
+    df: DataFrame, key: Sequence[str], updated: str = "updated_at", checksum: str = "checksum"
+) -> DataFrame:
+    return key_conflicts(df, key, updated, checksum).select(*key)
+
+
 def split_conflicts(
     df: DataFrame, key: Sequence[str], updated: str = "updated_at", checksum: str = "checksum"
 ) -> tuple[DataFrame, DataFrame]:
@@ -158,6 +168,10 @@ def classify(
     )
 
 
+def written_at(df: DataFrame, at) -> DataFrame:
+    return df.withColumn("_silver_updated_at", F.lit(at).cast("timestamp"))
+
+
 def merge_newer(
     target: DataFrame,
     source: DataFrame,
@@ -169,25 +183,17 @@ def merge_newer(
     """New state: a row is replaced only by a strictly newer one; new keys enter unless deleted.
 
     ``source`` holds at most one row per key.  ``_silver_updated_at`` becomes
-    ``at`` for rows written by this merge.
+    ``at`` for rows written by this merge.  Only key and change time of the
+    target are compared; its full rows pass an anti join, which moves none of
+    them when the rows taken are small enough to be sent to every executor.
     """
-    stamp = F.lit(at).cast("timestamp")
     if "_silver_updated_at" not in target.columns:
-        target = target.withColumn("_silver_updated_at", F.lit(None).cast("timestamp"))
-    incoming = source.withColumn("_silver_updated_at", stamp)
-    columns = target.columns
-    gone = F.coalesce(F.col(f"s.{deleted}"), F.lit(False)) if deleted else F.lit(False)
-    on = reduce(lambda a, b: a & b, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in key])
-    both = (
-        target.withColumn("_t", F.lit(True)).alias("t").join(incoming.withColumn("_s", F.lit(True)).alias("s"), on, "full_outer")
-    )
-    take = F.when(
-        F.col("t._t").isNull(), ~gone
-    ).otherwise(F.coalesce(F.col(f"s.{updated}") > F.col(f"t.{updated}"), F.lit(False)))
-    chosen = both.withColumn("_take", take).filter(F.col("_take") | F.col("t._t").isNotNull())
-    return chosen.select(
-        *[F.when(F.col("_take"), F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in columns]
-    )
+        target = written_at(target, None)
+    known = target.select(*key, F.col(updated).alias("_t_updated"), F.lit(True).alias("_t_here"))
+    gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+    newer = F.when(F.col("_t_here"), F.col(updated) > F.col("_t_updated")).otherwise(~gone)
+    taken = written_at(source.join(known, list(key), "left").filter(newer), at).select(*target.columns)
+    return upsert(target, taken, key)
 
 
 def upsert(target: DataFrame, source: DataFrame, key: Sequence[str]) -> DataFrame:

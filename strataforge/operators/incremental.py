@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strataforge.functions.windows import rows_between
+
 
 def incremental_slice(
     df: DataFrame, updated: str, record: str, after=None, offset: int = 0, limit: int | None = None, overlap: str | None = None
@@ -22,11 +24,11 @@ def incremental_slice(
     if after is not None:
         start = F.lit(after).cast("timestamp")
         rows = rows.filter(F.col(updated).cast("timestamp") > (start - F.expr(f"INTERVAL {overlap}") if overlap else start))
-    ordered = rows.orderBy(updated, record)
     if limit is None:
+        ordered = rows.orderBy(updated, record)
         return ordered.offset(offset) if offset else ordered
     total = rows.agg((F.count(F.lit(1)) > offset + limit).alias("has_more"))
-    return ordered.offset(offset).limit(limit).crossJoin(total)
+    return rows_between(rows, [updated, record], offset, limit).crossJoin(F.broadcast(total))
 
 
 PAGE_MODES = ("cursor", "page", "offset")
@@ -58,7 +60,7 @@ def paginate(df: DataFrame, order: Sequence[str], mode: str, state, limit: int,
     if state in seen:
         raise ValueError(f"page state {state!r} was already visited")
     start, length = row_range(mode, state, limit)
-    return df.orderBy(*order).offset(start).limit(length)
+    return rows_between(df, order, start, length)
 
 
 def page_after(df: DataFrame, order: Sequence[str], last: Sequence, limit: int) -> DataFrame:

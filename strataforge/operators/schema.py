@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from strataforge.functions.checksum import json_checksum
 from strataforge.functions.text import snake_case
+from strataforge.functions.windows import rows_between
 from strataforge.operators.audit import METADATA_COLUMNS
 
 
@@ -151,7 +152,7 @@ def search(df: DataFrame, text: str, order: Sequence[str], page: int = 1, size:
     """Rows in which any column contains the text, without case; one page in the given order."""
     whole = F.lower(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in df.columns]))
     found = df.filter(whole.contains(text.lower()))
-    return found.orderBy(*order).offset((page - 1) * size).limit(size)
+    return rows_between(found, order, (page - 1) * size, size)
 
 
 def preview(df: DataFrame, n: int = 50, order: Sequence[Column] = (), where: Mapping | None = None) -> DataFrame:

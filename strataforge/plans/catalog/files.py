@@ -35,13 +35,10 @@ def s1(t):
     customer = t.customer.select("c_custkey", "c_name", "c_mktsegment")
     customer.write.option("header", True).csv(f"{root}/c.csv")
     customer.write.option("header", True).option("sep", "\t").csv(f"{root}/c.tsv")
-    customer.write.json(f"{root}/c.jsonl")
     customer.write.parquet(f"{root}/c.parquet")
-    # the JSON reader takes whole files; rewrite the lines as one array per part file
-    text = t.spark.read.text(f"{root}/c.jsonl").groupBy(F.spark_partition_id().alias("p"), (F.crc32("value") % 64).alias("b"))
-    text.agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("value")), F.lit("]")).alias("value")).select("value").write.text(
-        f"{root}/c.json"
-    )
+    # the JSON reader takes whole files: one array of at most 10,000 customers (keys are unique) per file
+    packed = customer.groupBy(F.floor(F.col("c_custkey") / 10_000)).agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
+    packed.select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/c.json")
     parts = [
         files.read_tabular(t.spark, f"{root}/c.{kind}")
         .select(F.lit(kind).alias("format"), F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", "c_mktsegment")

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, functions as F
 from strataforge.functions.checksum import with_row_checksum, with_surrogate_key
 from strataforge.operators import cdc
 from strataforge.operators.incremental import batch_id as name_batch, next_watermark
-from strataforge.operators.quality import split_dq
+from strataforge.operators.quality import REASONS, add_reasons, split_dq
 from strataforge.operators.schema import apply_mapping, evolve, standardize_columns
 from strataforge.operators.star import Roles
+from strataforge.session import staged
 from strataforge.sources.ledger import Ledger
 from strataforge.sources.sinks import LandResult, land_bronze
 
@@ -34,33 +35,39 @@ def silver_batch(
     checksum: str = "checksum",
     deleted: str | None = "is_deleted",
     at=None,
+    stage: bool = True,
     **order: str,
 ) -> BatchResult:
     """Quality split, conflict split, dedup, comparison with the state, merge and counters.
 
-    Persist ``feed`` when it is costly to compute: quarantine, merge and
-    counters read it separately.
+    With ``stage`` the classified rows, one per key, are written to the shared
+    folder once; quarantine, merge and counters read them from there.
     """
     columns = feed.columns
     valid, rejected = split_dq(feed, rules) if rules else (feed, None)
     _, conflicts = cdc.split_conflicts(valid, key, updated, checksum)
     winners = cdc.resolve_batch(valid, key, updated, checksum=checksum, **order)
     classes = cdc.classify(winners, target, key, updated, checksum, deleted)
+    if stage:
+        classes = staged(classes, "classes")
     blocked = classes.filter("row_class = 'quarantine'").select(*columns, "rejection_reason")
     quarantine = conflicts.unionByName(blocked)
     if rejected is not None:
         quarantine = rejected.unionByName(quarantine)
+    # classification has compared these rows with the state, so they replace or enter
     mergeable = classes.filter("row_class = 'mergeable'").select(*columns)
-    candidate = cdc.merge_newer(target, mergeable, key, updated, deleted, at)
+    state = target if "_silver_updated_at" in target.columns else cdc.written_at(target, None)
+    candidate = cdc.upsert(state, cdc.written_at(mergeable, at), key)
 
     def of(name: str):
         return F.count(F.when(F.col("row_class") == name, 1)).alias(name)
 
     count = F.count(F.lit(1))
+    conflict_rows = F.coalesce(F.sum("_rows"), F.lit(0)).alias("batch_conflicts")
     metrics = (
-        feed.agg(count.alias("source_rows"))
-        .crossJoin(valid.agg(count.alias("valid_rows")))
-        .crossJoin(conflicts.agg(count.alias("batch_conflicts")))
+        add_reasons(feed, rules)
+        .agg(count.alias("source_rows"), F.count(F.when(F.size(REASONS) == 0, 1)).alias("valid_rows"))
+        .crossJoin(cdc.key_conflicts(valid, key, updated, checksum).agg(conflict_rows))
         .crossJoin(
             classes.agg(
                 count.alias("deduplicated"), *[of(c) for c in ("mergeable", "stale", "duplicate", "quarantine", "unclassified")]
