@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strataforge.session import settle
+from strataforge.session import staged
 
 
 def join_nullsafe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -25,13 +25,13 @@ def percent_rank_global(df: DataFrame, column: str, name: str = "p_rank", descen
     """``percent_rank`` over the whole frame without one task seeing every row.
 
     Equal values are first counted together.  The distinct values are sorted by
-    range over the cluster and checkpointed, so partition numbers are fixed.
+    range over the cluster and written with their partition number, which fixes it.
     One row per partition (a few thousand at most, however large the data)
     carries the running start of each partition.
     """
     order = F.col("_v").desc_nulls_last() if descending else F.col("_v").asc_nulls_first()
     values = df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    placed = settle(values.orderBy(order).withColumn("_part", F.spark_partition_id()))
+    placed = staged(values.orderBy(order).withColumn("_part", F.spark_partition_id()), "ranks")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         placed.groupBy("_part")
@@ -59,13 +59,13 @@ def percent_rank_global(df: DataFrame, column: str, name: str = "p_rank", descen
 def rank_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position") -> DataFrame:
     """``row_number`` per key in any order, balanced for keys of any size.
 
-    Rows are sorted by (key, order) over the cluster and checkpointed, so a large
-    key spreads over several range partitions; each partition numbers its part
-    and the part sizes, one row per key and partition, give the offsets.
+    Rows are sorted by (key, order) over the cluster and written with their
+    partition number, so a large key spreads over several range partitions; each
+    partition numbers its part, and the part sizes, one row per key and
+    partition, give the offsets.
     """
-    placed = settle(
-        df.orderBy(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id())
-    )
+    ordered = df.orderBy(*[F.col(k) for k in keys], *order)
+    placed = staged(ordered.withColumn("_part", F.spark_partition_id()), "positions")
     local = Window.partitionBy("_part", *keys).orderBy(*order)
     sizes = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

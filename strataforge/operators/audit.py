@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strataforge.functions.frames import side_by_side
+
 
 METADATA_COLUMNS = (
     "_source_system",
@@ -68,7 +70,7 @@ def audit_silver(df: DataFrame, quarantine: DataFrame, key: Sequence[str]) -> Da
         F.count(F.lit(1)).alias("distinct_keys"),
         _total(F.col("_n") > 1).alias("duplicate_keys"),
     )
-    return state.crossJoin(quarantine.agg(F.count(F.lit(1)).alias("quarantine_rows"))).withColumn(
+    return side_by_side(state, quarantine.agg(F.count(F.lit(1)).alias("quarantine_rows"))).withColumn(
         "passed", F.expr("row_count > 0 AND duplicate_keys = 0")
     )
 
@@ -99,7 +101,7 @@ def gate_gold(summary: DataFrame, detail: DataFrame, ratio: str) -> DataFrame:
         _total((F.col(ratio) < 0) | (F.col(ratio) > 100)).alias("ratio_out_of_range"),
     )
     right = detail.limit(1).agg(F.when(F.count(F.lit(1)) == 0, 1).otherwise(0).alias("detail_empty"))
-    return as_rows(left.crossJoin(right), ["summary_empty", "ratio_out_of_range", "detail_empty"])
+    return as_rows(side_by_side(left, right), ["summary_empty", "ratio_out_of_range", "detail_empty"])
 
 
 def gate_candidate(
@@ -117,13 +119,12 @@ def gate_candidate(
         _total(F.col("_n") > 1).alias("duplicate_keys"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("invalid_rows")
     )
     count = F.count(F.lit(1))
-    delta = (
-        quarantine_after.agg(count.alias("_after"))
-        .crossJoin(quarantine_before.agg(count.alias("_before")))
-        .crossJoin(written.agg(count.alias("_written")))
-        .select(F.abs(F.col("_after") - F.col("_before") - F.col("_written")).alias("quarantine_delta"))
-    )
-    return as_rows(state.crossJoin(delta), ["duplicate_keys", "invalid_rows", "quarantine_delta"])
+    delta = side_by_side(
+        quarantine_after.agg(count.alias("_after")),
+        quarantine_before.agg(count.alias("_before")),
+        written.agg(count.alias("_written")),
+    ).select(F.abs(F.col("_after") - F.col("_before") - F.col("_written")).alias("quarantine_delta"))
+    return as_rows(side_by_side(state, delta), ["duplicate_keys", "invalid_rows", "quarantine_delta"])
 
 
 def row_checks(
@@ -185,11 +186,8 @@ def assert_schema(df: DataFrame, expected: Sequence[tuple[str, str]]) -> DataFra
 def reconcile_counts(source: DataFrame, result: DataFrame) -> DataFrame:
     """One row of counts and whether both are equal and not zero."""
     count = F.count(F.lit(1))
-    return (
-        source.agg(count.alias("source_rows"))
-        .crossJoin(result.agg(count.alias("result_rows")))
-        .withColumn("passed", F.expr("source_rows > 0 AND source_rows = result_rows"))
-    )
+    counts = side_by_side(source.agg(count.alias("source_rows")), result.agg(count.alias("result_rows")))
+    return counts.withColumn("passed", F.expr("source_rows > 0 AND source_rows = result_rows"))
 
 
 def lineage_diff(

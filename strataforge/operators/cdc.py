@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strataforge.functions.checksum import row_checksum
+from strataforge.functions.frames import side_by_side
 
 # Reasons, and the mark for a missing checksum.
 EQUAL_TIME_CONFLICT = "EQUAL_TIMESTAMP_DIFFERENT_CHECKSUM"
@@ -223,9 +224,7 @@ def repair_duplicates(df: DataFrame, key: Sequence[str], order: Sequence[Column]
     """(repaired table, one row with rows removed and duplicate keys left)."""
     kept, discarded = dedup_split(df, key, order)
     left = kept.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    audit = (
-        discarded.agg(F.count(F.lit(1)).alias("removed"))
-        .crossJoin(left.agg(F.count(F.lit(1)).alias("duplicates_left")))
-    )
+    count = F.count(F.lit(1))
+    audit = side_by_side(discarded.agg(count.alias("removed")), left.agg(count.alias("duplicates_left")))
     return kept, audit
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strataforge.functions.frames import side_by_side
+
 
 @dataclass(frozen=True)
 class Expectation:
@@ -58,7 +60,7 @@ def validate(df: DataFrame, suite: Sequence[Expectation]) -> DataFrame:
                 .agg(F.count(F.lit(1)).alias("_n"))
                 .agg(F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias(f"_{i}"))
             )
-            totals = totals.crossJoin(repeated)
+            totals = side_by_side(totals, repeated)
         elif e.kind == "row_count_between":
             low = F.lit(e.low if e.low is not None else 0)
             high = F.lit(e.high) if e.high is not None else F.col("_rows")

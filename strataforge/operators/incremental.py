@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strataforge.functions.frames import attach
 from strataforge.functions.windows import rows_between
 
 
@@ -28,7 +29,7 @@ def incremental_slice(
         ordered = rows.orderBy(updated, record)
         return ordered.offset(offset) if offset else ordered
     total = rows.agg((F.count(F.lit(1)) > offset + limit).alias("has_more"))
-    return rows_between(rows, [updated, record], offset, limit).crossJoin(F.broadcast(total))
+    return attach(rows_between(rows, [updated, record], offset, limit), total)
 
 
 PAGE_MODES = ("cursor", "page", "offset")

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strataforge.functions import text
+from strataforge.functions.frames import attach
 from strataforge.functions.windows import percent_rank_global
 from strataforge.operators.cdc import first_per_key
 
@@ -367,16 +368,15 @@ def decision_fields(
 ) -> DataFrame:
     """Scores against 115 % of the mean of the mart.
 
-    The mean is a one-row aggregate that is cross joined, so nothing passes
-    through the driver.  A missing or zero mean counts as 100; the target is
-    rounded half to even and is at least 1.
+    The target is a scalar subquery of the same query.  A missing or zero mean
+    counts as 100; the target is rounded half to even and is at least 1.
     """
     mean = F.avg(F.col(scored).cast("double"))
     bench = gold.agg(F.coalesce(F.when(mean != 0, mean), F.lit(100.0)).alias("_mean")).select(
         F.bround(F.col("_mean") * 1.15, 2).alias("_target")
     )
     target = bench.select(F.when(F.col("_target") > 0, F.col("_target")).otherwise(1.0).alias("target_value"))
-    ranked = percent_rank_global(gold, scored).crossJoin(F.broadcast(target))
+    ranked = percent_rank_global(attach(gold, target), scored)
     rank = F.col("p_rank")
     tier = F.when(rank <= 0.20, TIERS[0]).when(rank <= 0.50, TIERS[1]).otherwise(TIERS[2])
     fields = ranked.withColumn(

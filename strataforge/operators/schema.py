@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from strataforge.functions.checksum import json_checksum
+from strataforge.functions.frames import attach
 from strataforge.functions.text import snake_case
 from strataforge.functions.windows import rows_between
 from strataforge.operators.audit import METADATA_COLUMNS
@@ -161,7 +162,7 @@ def preview(df: DataFrame, n: int = 50, order: Sequence[Column] = (), where: Map
     for column, value in (where or {}).items():
         df = df.filter(F.col(column) == F.lit(value))
     total = df.agg(F.count(F.lit(1)).alias("total_rows"))
-    return df.orderBy(*order).limit(n).crossJoin(total)
+    return attach(df.orderBy(*order).limit(n), total)
 
 
 def distinct_units(df: DataFrame, unit: str, label: str) -> DataFrame:

@@ -11,6 +11,7 @@ from xml.sax.saxutils import escape
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from strataforge.functions.frames import attach
 from strataforge.operators import quality
 from strataforge.operators.schema import stamp
 from strataforge.plans.catalog.audits import EVENT_CONTRACT, event_records
@@ -116,7 +117,7 @@ def event_pages(t) -> DataFrame:
 )
 def s5(t):
     records, audit = pages.merge_pages(event_pages(t), "event_id")
-    return records.crossJoin(F.broadcast(audit))  # the audit is one row
+    return attach(records, audit)
 
 
 @query(

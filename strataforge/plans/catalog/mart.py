@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from strataforge.functions import text
+from strataforge.functions.frames import attach, side_by_side
 from strataforge.functions.windows import percent_rank_global
 from strataforge.operators import charts, marts
 from strataforge.plans.catalog.common import shown
@@ -309,10 +310,7 @@ def a9(t):
         charts.big_number(orders, "amount", name).withColumnRenamed("value", f"{name.lower()}_amount")
         for name in charts.AGGREGATES
     ]
-    first, *others = parts
-    for other in others:
-        first = first.crossJoin(other)
-    return first
+    return side_by_side(*parts)
 
 
 @query(
@@ -378,9 +376,7 @@ def a14(t):
 )
 def a15(t):
     summary = marts.kpi_summary(t.v_kpi).select("period", "unit", "completion_pct")
-    return charts.by_completion(
-        summary.crossJoin(F.broadcast(charts.summary_cards(summary))), tie_break=["period", "unit"]
-    )
+    return charts.by_completion(attach(summary, charts.summary_cards(summary)), tie_break=["period", "unit"])
 
 
 PERIOD_SQL = """CASE WHEN regexp_matches(upper(period_text), '(?:Q|QUÝ|QUY)\\s*([1-4])\\s*(?:/|-|NĂM|NAM)\\s*(\\d{4})')

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from strataforge.functions import checksum
+from strataforge.functions.frames import side_by_side
 from strataforge.functions.windows import rank_in_order
 from strataforge.operators import cdc, marts, quality
 from strataforge.operators.star import Roles
@@ -290,8 +291,10 @@ FEED_RULES = (("NEGATIVE_AMOUNT", "cents < 0"), ("AMOUNT_TOO_LARGE", "cents > 15
 def m10(t):
     result = flows.silver_batch(t.v_feed, t.v_target, FEED_KEY, FEED_RULES, at=AS_OF)
     count = F.count(F.lit(1))
-    return result.metrics.crossJoin(result.quarantine.agg(count.alias("quarantine_rows"))).crossJoin(
-        result.candidate.agg(count.alias("state_rows"), F.sum("cents").alias("state_cents"))
+    return side_by_side(
+        result.metrics,
+        result.quarantine.agg(count.alias("quarantine_rows")),
+        result.candidate.agg(count.alias("state_rows"), F.sum("cents").alias("state_cents")),
     )
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from strataforge.functions.checksum import with_row_checksum, with_surrogate_key
+from strataforge.functions.frames import side_by_side
 from strataforge.operators import cdc
 from strataforge.operators.incremental import batch_id as name_batch, next_watermark
 from strataforge.operators.quality import REASONS, add_reasons, split_dq
@@ -64,15 +65,14 @@ def silver_batch(
 
     count = F.count(F.lit(1))
     conflict_rows = F.coalesce(F.sum("_rows"), F.lit(0)).alias("batch_conflicts")
-    metrics = (
-        add_reasons(feed, rules)
-        .agg(count.alias("source_rows"), F.count(F.when(F.size(REASONS) == 0, 1)).alias("valid_rows"))
-        .crossJoin(cdc.key_conflicts(valid, key, updated, checksum).agg(conflict_rows))
-        .crossJoin(
-            classes.agg(
-                count.alias("deduplicated"), *[of(c) for c in ("mergeable", "stale", "duplicate", "quarantine", "unclassified")]
-            )
-        )
+    metrics = side_by_side(
+        add_reasons(feed, rules).agg(
+            count.alias("source_rows"), F.count(F.when(F.size(REASONS) == 0, 1)).alias("valid_rows")
+        ),
+        cdc.key_conflicts(valid, key, updated, checksum).agg(conflict_rows),
+        classes.agg(
+            count.alias("deduplicated"), *[of(c) for c in ("mergeable", "stale", "duplicate", "quarantine", "unclassified")]
+        ),
     )
     return BatchResult(candidate, quarantine, metrics, classes)
 

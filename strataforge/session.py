@@ -54,12 +54,7 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/strataforge/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint reliably, so later reads see one fixed set of partitions."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint(eager=True)
+_written: dict[str, list[str]] = {}
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -68,6 +63,18 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     Later steps neither repeat the work nor depend on executors that may be
     lost, and Spark plans their joins with the written size.
     """
-    path = scratch(df.sparkSession, label)
+    spark = df.sparkSession
+    path = scratch(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release_staged(spark: SparkSession) -> int:
+    """Delete the intermediate tables this application staged, once its results are published."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    return len(paths)

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strataforge.functions.frames import side_by_side
+
 # Fixed value: names under which a response may hold its records, first hit wins.
 ENVELOPE_FIELDS = ("data", "items", "records", "results")
 HEADER_FIELDS = ("source_system", "dataset", "schema_version")
@@ -24,7 +26,7 @@ def merge_pages(
         records.groupBy(id_field).agg(F.count(F.lit(1)).alias("_n"))
         .agg(F.count(F.when(F.col("_n") > 1, 1)).alias("repeated_ids"), F.coalesce(F.sum("_n"), F.lit(0)).alias("returned"))
     )
-    audit = headers.crossJoin(repeated).withColumn(
+    audit = side_by_side(headers, repeated).withColumn(
         "accepted", (F.col("differing_headers") <= 0) & (F.col("repeated_ids") == 0)
     )
     return records, audit

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from strataforge.functions.checksum import row_checksum
 from strataforge.operators import audit, incremental
 from strataforge.plans import flows
-from strataforge.session import scratch
+from strataforge.session import release_staged, scratch, staged
 from strataforge.sources import sinks
 from strataforge.sources.ledger import GateFailure, Ledger, VersionConflict
 from strataforge.streaming import land
@@ -148,3 +148,11 @@ def test_repeated_micro_batch_is_skipped(spark, ledger):
     # another checkpoint delivers the same micro-batch number again
     land.stream_upsert(spark, source, f"{ledger.root}/c2", schema, ledger, "t", step)
     assert ledger.live("t").count() == 10
+
+
+def test_release_removes_only_staged_tables(spark, ledger):
+    ledger.replace("a", table(spark, 3))
+    release_staged(spark)
+    first = staged(table(spark, 3), "test")
+    assert first.count() == 3 and release_staged(spark) == 1
+    assert not sinks.exists(spark, first.inputFiles()[0]) and ledger.live("a").count() == 3
