@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strataforge.functions.checksum import row_checksum
 from strataforge.functions.frames import side_by_side
+from strataforge.session import staged
 
 # Reasons, and the mark for a missing checksum.
 EQUAL_TIME_CONFLICT = "EQUAL_TIMESTAMP_DIFFERENT_CHECKSUM"
@@ -103,12 +104,19 @@ def conflict_keys(
 
 
 def split_conflicts(
-    df: DataFrame, key: Sequence[str], updated: str = "updated_at", checksum: str = "checksum"
+    df: DataFrame,
+    key: Sequence[str],
+    updated: str = "updated_at",
+    checksum: str = "checksum",
+    conflicts: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows of clean keys, all rows of conflicting keys with a reason).  Rows with a NULL key stay clean."""
-    bad = conflict_keys(df, key, updated, checksum)
-    conflicts = df.join(bad, list(key), "left_semi").withColumn("rejection_reason", F.lit(EQUAL_TIME_CONFLICT))
-    return df.join(bad, list(key), "left_anti"), conflicts
+    """(rows of clean keys, all rows of conflicting keys with a reason).  Rows with a NULL key stay clean.
+
+    ``conflicts`` gives the conflicting keys when they are known already.
+    """
+    bad = conflict_keys(df, key, updated, checksum) if conflicts is None else conflicts.select(*key)
+    blocked = df.join(bad, list(key), "left_semi").withColumn("rejection_reason", F.lit(EQUAL_TIME_CONFLICT))
+    return df.join(bad, list(key), "left_anti"), blocked
 
 
 def resolve_batch(
@@ -119,6 +127,7 @@ def resolve_batch(
     batch: str = "batch_id",
     checksum: str = "checksum",
     record: str = "record_id",
+    conflicts: DataFrame | None = None,
 ) -> DataFrame:
     """The newest row of every key without conflicts: conflict split and dedup in one chain.
 
@@ -126,7 +135,8 @@ def resolve_batch(
     ranking (one per key) are joined with them, never the whole batch.
     """
     winners = dedup(df, key, updated, ingested, batch, checksum, record)
-    return winners.join(conflict_keys(df, key, updated, checksum), list(key), "left_anti")
+    bad = conflict_keys(df, key, updated, checksum) if conflicts is None else conflicts.select(*key)
+    return winners.join(bad, list(key), "left_anti")
 
 
 def classify(
@@ -180,13 +190,16 @@ def merge_newer(
     updated: str = "updated_at",
     deleted: str | None = "is_deleted",
     at=None,
+    stage: bool = True,
 ) -> DataFrame:
     """New state: a row is replaced only by a strictly newer one; new keys enter unless deleted.
 
     ``source`` holds at most one row per key.  ``_silver_updated_at`` becomes
     ``at`` for rows written by this merge.  Only key and change time of the
-    target are compared; its full rows pass an anti join, which moves none of
-    them when the rows taken are small enough to be sent to every executor.
+    target are compared; its full rows pass an anti join.  With ``stage`` the
+    rows taken are written once to the shared folder: the source is not computed
+    twice, and Spark knows their size, so that a small change set is broadcast
+    and no target row is shuffled.
     """
     if "_silver_updated_at" not in target.columns:
         target = written_at(target, None)
@@ -194,7 +207,7 @@ def merge_newer(
     gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
     newer = F.when(F.col("_t_here"), F.col(updated) > F.col("_t_updated")).otherwise(~gone)
     taken = written_at(source.join(known, list(key), "left").filter(newer), at).select(*target.columns)
-    return upsert(target, taken, key)
+    return upsert(target, staged(taken, "taken") if stage else taken, key)
 
 
 def upsert(target: DataFrame, source: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -208,9 +221,15 @@ def merge_cdc(
     key: Sequence[str],
     deleted_at: str | None = "_ab_cdc_deleted_at",
     tie_break: Sequence[str] = (),
+    stage: bool = True,
 ) -> DataFrame:
-    """State after a set of change rows: newest change per key; a deletion removes the key."""
+    """State after a set of change rows: newest change per key; a deletion removes the key.
+
+    With ``stage`` the newest changes are written once, as in ``merge_newer``.
+    """
     latest = dedup_latest(changes, key, tie_break).dropna(subset=list(key))
+    if stage and target is not None:
+        latest = staged(latest, "changes")
     has_delete = deleted_at is not None and deleted_at in changes.columns
     alive = latest.filter(F.col(deleted_at).isNull()) if has_delete else latest
     if target is None:

@@ -216,7 +216,7 @@ def i8(t):
 
     for n in range(4):
         feed.filter(F.col("batch_id") == f"b{n}").write.mode("append").parquet(f"{root}/in")
-        land.stream_upsert(t.spark, f"{root}/in", f"{root}/checkpoint", feed.schema, ledger, "feed", step)
+        land.stream_upsert(t.spark, f"{root}/in", f"{root}/checkpoint", feed.schema, ledger, "feed", FEED_KEY, step, buckets=16)
     return shown(ledger.live("feed").drop("_silver_updated_at"))
 
 

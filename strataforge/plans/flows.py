@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -41,13 +43,17 @@ def silver_batch(
 ) -> BatchResult:
     """Quality split, conflict split, dedup, comparison with the state, merge and counters.
 
-    With ``stage`` the classified rows, one per key, are written to the shared
-    folder once; quarantine, merge and counters read them from there.
+    With ``stage`` the conflicting keys and the classified rows, one per key, are
+    written to the shared folder once; quarantine, merge and counters read them
+    from there.
     """
     columns = feed.columns
     valid, rejected = split_dq(feed, rules) if rules else (feed, None)
-    _, conflicts = cdc.split_conflicts(valid, key, updated, checksum)
-    winners = cdc.resolve_batch(valid, key, updated, checksum=checksum, **order)
+    bad = cdc.key_conflicts(valid, key, updated, checksum)
+    if stage:
+        bad = staged(bad, "conflicts")
+    _, conflicts = cdc.split_conflicts(valid, key, conflicts=bad)
+    winners = cdc.resolve_batch(valid, key, updated, checksum=checksum, conflicts=bad, **order)
     classes = cdc.classify(winners, target, key, updated, checksum, deleted)
     if stage:
         classes = staged(classes, "classes")
@@ -64,12 +70,13 @@ def silver_batch(
         return F.count(F.when(F.col("row_class") == name, 1)).alias(name)
 
     count = F.count(F.lit(1))
+    known_key = reduce(and_, [F.col(k).isNotNull() for k in key])  # rows without key are never in conflict
     conflict_rows = F.coalesce(F.sum("_rows"), F.lit(0)).alias("batch_conflicts")
     metrics = side_by_side(
         add_reasons(feed, rules).agg(
             count.alias("source_rows"), F.count(F.when(F.size(REASONS) == 0, 1)).alias("valid_rows")
         ),
-        cdc.key_conflicts(valid, key, updated, checksum).agg(conflict_rows),
+        bad.filter(known_key).agg(conflict_rows),
         classes.agg(
             count.alias("deduplicated"), *[of(c) for c in ("mergeable", "stale", "duplicate", "quarantine", "unclassified")]
         ),

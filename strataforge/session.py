@@ -15,6 +15,8 @@ RUNTIME = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # documents differ in size: bound the batches handed to Python by bytes, not only by rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 

@@ -3,30 +3,25 @@
 Each commit is one small file below ``<root>/_ledger/version=n``.  Its write
 fails when version n exists, so a writer that started from an older state
 cannot publish.  Tables are never changed in place: a commit names the folder
-that holds the live version of each table.
+that holds the live version of each table, or, for a table split by key
+buckets, the folder of each bucket.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from strataforge.session import staged
 from strataforge.sources.sinks import exists
 
 Gate = Callable[[DataFrame], DataFrame]  # candidate -> rows (check, failures)
 
-_SHAPE = T.StructType(
-    [
-        T.StructField("version", T.LongType()),
-        T.StructField("tables", T.StringType()),
-        T.StructField("tags", T.StringType()),
-        T.StructField("state", T.StringType()),
-    ]
-)
+_SHAPE = T.StructType([T.StructField(name, T.StringType()) for name in ("tables", "tags", "state")])
 
 
 class VersionConflict(RuntimeError):
@@ -46,29 +41,28 @@ class Ledger:
         self.spark, self.root = spark, root.rstrip("/")
         self._folder = f"{self.root}/_ledger"
 
-    def _read(self) -> DataFrame | None:
+    def _commits(self) -> dict[int, str]:
+        """The file of every finished commit; a listing, no job."""
         if not exists(self.spark, self._folder):
-            return None
-        shape = T.StructType([f for f in _SHAPE.fields if f.name != "version"])
-        return self.spark.read.schema(shape.add("version", T.LongType())).json(self._folder)
+            return {}
+        found = {}
+        for path in self.spark.read.text(self._folder).inputFiles():
+            found[int(re.search(r"/version=(\d+)/", path)[1])] = path
+        return found
 
     def head(self) -> dict:
-        """The latest commit: version, tables, tags, state."""
-        log = self._read()
-        row = None if log is None else log.orderBy("version", ascending=False).first()
-        if row is None:
+        """The latest commit: version, tables, tags, state.  Every commit holds all of them."""
+        commits = self._commits()
+        if not commits:
             return {"version": 0, "tables": {}, "tags": {}, "state": {}}
-        return {
-            "version": row["version"],
-            "tables": json.loads(row["tables"]),
-            "tags": json.loads(row["tags"]),
-            "state": json.loads(row["state"]),
-        }
+        version = max(commits)
+        row = self.spark.read.schema(_SHAPE).json(commits[version]).first()
+        return {"version": version, **{name: json.loads(row[name]) for name in _SHAPE.fieldNames()}}
 
     def commit(
         self,
         expected: int,
-        tables: Mapping[str, str] | None = None,
+        tables: Mapping[str, str | Mapping[str, str]] | None = None,
         tags: Mapping[str, Mapping[str, str]] | None = None,
         state: Mapping[str, object] | None = None,
     ) -> int:
@@ -82,13 +76,11 @@ class Ledger:
             json.dumps({**head["state"], **(state or {})}, sort_keys=True),
         )
         version = expected + 1
-        frame = self.spark.createDataFrame([row], "tables string, tags string, state string")
-        try:
-            frame.coalesce(1).write.mode("errorifexists").json(f"{self._folder}/version={version}")
-        except Exception as error:
-            if exists(self.spark, f"{self._folder}/version={version}"):
-                raise VersionConflict(f"version {version} was published meanwhile") from error
-            raise
+        frame = self.spark.createDataFrame([row], _SHAPE).coalesce(1)
+        folder = f"{self._folder}/version={version}"
+        if exists(self.spark, folder):
+            raise VersionConflict(f"{folder} is being written or was left unfinished by another writer")
+        frame.write.mode("errorifexists").json(folder)
         return version
 
     def stage(self, table: str, df: DataFrame) -> str:
@@ -98,8 +90,47 @@ class Ledger:
         return path
 
     def live(self, table: str) -> DataFrame | None:
-        path = self.head()["tables"].get(table)
-        return None if path is None else self.spark.read.parquet(path)
+        return self._open(self.head()["tables"].get(table))
+
+    def _open(self, place) -> DataFrame | None:
+        """Read a table from its folder, or from the folders of its buckets."""
+        if not place:
+            return None
+        return self.spark.read.parquet(*([place] if isinstance(place, str) else place.values()))
+
+    def merge_buckets(
+        self,
+        table: str,
+        key: Sequence[str],
+        changes: DataFrame,
+        step: Callable[[DataFrame, DataFrame], DataFrame],
+        buckets: int = 256,
+        state: Mapping[str, object] | None = None,
+    ) -> int:
+        """Publish ``step(changes, live rows)``, reading and writing only the key buckets that have changes.
+
+        ``step`` must keep every row it does not replace.  The number of buckets
+        is fixed when the table is first written; a bucket larger than one task
+        should hold is split over several files.
+        """
+        head = self.head()
+        places = dict(head["tables"].get(table) or {})
+        setting = f"buckets:{table}"
+        buckets = head["state"].get(setting, buckets)
+        bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+        changes = staged(changes, "bucket-changes")
+        touched = [str(r[0]) for r in changes.select(bucket).distinct().collect()]  # at most ``buckets`` numbers
+        before = self._open({b: places[b] for b in touched if b in places})
+        if before is None:
+            before = self.spark.createDataFrame([], changes.schema)
+        path = f"{self.root}/{table}/v={uuid.uuid4().hex[:12]}"
+        after = step(changes, before).withColumn("_bucket", bucket)
+        after.hint("rebalance", "_bucket").write.mode("errorifexists").partitionBy("_bucket").parquet(path)
+        for b in touched:
+            places.pop(b, None)
+            if exists(self.spark, f"{path}/_bucket={b}"):
+                places[b] = f"{path}/_bucket={b}"
+        return self.commit(head["version"], {table: places}, state={**(state or {}), setting: buckets})
 
     def replace(self, table: str, df: DataFrame) -> int:
         """Create or replace a table without gates."""
@@ -147,4 +178,4 @@ class Ledger:
         return self.commit(head["version"], tags={name: head["tables"]})
 
     def read_at(self, table: str, tag: str) -> DataFrame:
-        return self.spark.read.parquet(self.head()["tags"][tag][table])
+        return self._open(self.head()["tags"][tag][table])

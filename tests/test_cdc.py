@@ -185,3 +185,10 @@ def test_one_key_with_a_third_of_the_rows(spark):
 
 def test_rule_packs_have_their_size():
     assert (len(OUTCOME_RULES), len(SECTION_RULES)) == (17, 7)
+
+
+def test_conflict_counter_leaves_out_null_keys(spark):
+    df = feed(spark, ("a", None, T1, "x"), ("b", None, T1, "y"), ("c", "k", T1, "x"), ("d", "k", T1, "y"))
+    result = flows.silver_batch(df, feed(spark), ["k"], at="2024-05-01")
+    m = result.metrics.first()
+    assert (m.batch_conflicts, m.deduplicated, result.quarantine.count()) == (2, 1, 2)
