@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from strataforge.plans.views import VIEWS, needed_tables, with_views
 from strataforge.session import prepare
@@ -13,6 +14,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+_SCHEMAS: dict[str, StructType] = {}  # per path: footers are read once per process
+
+
 class Inputs:
     """The given tables and the views derived from them, as DataFrames."""
 
@@ -23,15 +27,16 @@ class Inputs:
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
             return self.sql(f"SELECT * FROM {name}")
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def sql(self, statement: str) -> DataFrame:
-        """Run a statement over tables and views without registering any name."""
-        tables = ",\n".join(
-            f"{t} AS (SELECT * FROM parquet.`{self.folder}/{t}.parquet`)"
-            for t in needed_tables(statement)
-        )
-        return self.spark.sql(with_views(statement, tables))
+        """Run a statement over tables and views; no name stays registered."""
+        names = needed_tables(statement)
+        text = with_views(statement.replace("{", "{{").replace("}", "}}"), ",\n".join(f"{n} AS (SELECT * FROM {{{n}}})" for n in names))
+        return self.spark.sql(text, **{n: getattr(self, n) for n in names})
 
 
 def query(name: str, oracle: str | None = None):
