@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strataforge.functions.checksum import row_checksum
 from strataforge.functions.frames import side_by_side
+from strataforge.functions.windows import join_nullsafe
 from strataforge.session import staged
 
 # Reasons, and the mark for a missing checksum.
@@ -206,13 +207,26 @@ def merge_newer(
     known = target.select(*key, F.col(updated).alias("_t_updated"), F.lit(True).alias("_t_here"))
     gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
     newer = F.when(F.col("_t_here"), F.col(updated) > F.col("_t_updated")).otherwise(~gone)
-    taken = written_at(source.join(known, list(key), "left").filter(newer), at).select(*target.columns)
+    taken = written_at(source.join(known, list(key), "left").filter(newer).select(*source.columns), at)
     return upsert(target, staged(taken, "taken") if stage else taken, key)
 
 
+def _completed(source: DataFrame, target: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Source rows with the target columns they lack; an updated row keeps its old values there."""
+    lacking = [c for c in target.columns if c not in source.columns]
+    if not lacking:
+        return source
+    return join_nullsafe(source, target.select(*key, *lacking), key, "left")
+
+
 def upsert(target: DataFrame, source: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Every source row replaces the row of its key or is added."""
-    return target.join(source.select(*key), list(key), "left_anti").unionByName(source)
+    """Every source row replaces the row of its key or is added.
+
+    Columns only the target has keep their values; columns only the source has
+    are NULL in the other rows.
+    """
+    rest = target.join(source.select(*key), list(key), "left_anti")
+    return rest.unionByName(_completed(source, target, key), allowMissingColumns=True)
 
 
 def merge_cdc(
@@ -236,7 +250,7 @@ def merge_cdc(
         return alive
     on = reduce(lambda a, b: a & b, [F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in key])
     untouched = target.alias("t").join(latest.select(*key).alias("s"), on, "left_anti")
-    return untouched.unionByName(alive, allowMissingColumns=True)
+    return untouched.unionByName(_completed(alive, target, key), allowMissingColumns=True)
 
 
 def repair_duplicates(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> tuple[DataFrame, DataFrame]:

@@ -230,6 +230,21 @@ def filter_active(df: DataFrame, flag: str = "is_deleted") -> DataFrame:
     return df.filter(F.col(flag) == F.lit(False))
 
 
+def delete_where(df: DataFrame, predicate: str) -> DataFrame:
+    """Rows for which the predicate is not true; an unknown result keeps the row."""
+    return df.filter(~F.coalesce(F.expr(predicate), F.lit(False)))
+
+
+def left_join_all(base: DataFrame, sides: Sequence[DataFrame], key: str) -> DataFrame:
+    """Left join of several tables that hold at most one row per key.
+
+    The key stays the partitioning of every join, so the base is shuffled once.
+    """
+    for side in sides:
+        base = base.join(side, key, "left")
+    return base
+
+
 def outcome_fact(df: DataFrame, ratios=OUTCOME_RATIOS, join_back: bool = False) -> DataFrame:
     """Ratios, the previous available period per programme, and differences.
 
@@ -272,7 +287,7 @@ RATINGS = (("Xuất sắc", 98.5, 4.60), ("Tốt", 97.0, None), ("Đạt", 96.0,
 LOWEST_RATING = "Cần cải thiện"
 
 
-def unit_scorecard(sections: DataFrame, metrics: DataFrame, changes: DataFrame) -> DataFrame:
+def unit_scorecard(sections: DataFrame, metrics: Sequence[DataFrame], changes: DataFrame) -> DataFrame:
     """Per unit: sections, mean figures, change requests, formatted texts and a rating.
 
     Sections and their figures are 1:1; change requests are 1:N and are counted
@@ -282,7 +297,7 @@ def unit_scorecard(sections: DataFrame, metrics: DataFrame, changes: DataFrame)
     def mean(column: str, digits: int) -> Column:
         return F.round(F.avg(F.col(column).cast("decimal(9,4)")), digits)
 
-    base = sections.join(metrics, "section_code", "left")
+    base = left_join_all(sections, metrics, "section_code")
     scores = base.groupBy("unit_code").agg(
         F.count("section_code").alias("sections"),
         mean("progress_pct", 1).alias("progress"),

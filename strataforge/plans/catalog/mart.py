@@ -164,8 +164,9 @@ def a2(t):
     return marts.period_mart(marts.outcome_fact(t.v_outcomes))
 
 
-def mean_sql(column, digits):
-    return f"round(CAST(sum(CAST({column} AS DECIMAL(9,4))) AS DECIMAL(30,12)) / count({column}), {digits})"
+def figures(t):
+    """Attendance, grading and survey figures as separate 1:1 tables."""
+    return [t.v_section_metrics.select("section_code", c) for c in ("attendance_pct", "grading_pct", "feedback")]
 
 
 @query(
@@ -184,7 +185,20 @@ def mean_sql(column, digits):
     FROM s LEFT JOIN c ON s.unit_code = c.unit_code""",
 )
 def a3(t):
-    return marts.unit_scorecard(t.v_sections, t.v_section_metrics, t.v_changes)
+    return marts.unit_scorecard(t.v_sections, figures(t), t.v_changes)
+
+
+@query(
+    "J5_multiway_left_join",
+    """SELECT s.section_code, unit_code, progress_pct, attendance_pct, grading_pct, feedback, coalesce(n, 0) AS changes
+       FROM v_sections s LEFT JOIN v_section_metrics m ON s.section_code = m.section_code
+       LEFT JOIN (SELECT section_code, count(*) AS n FROM v_changes GROUP BY section_code) c ON s.section_code = c.section_code""",
+)
+def j5(t):
+    changes = t.v_changes.groupBy("section_code").agg(F.count(F.lit(1)).alias("n"))
+    joined = marts.left_join_all(t.v_sections, [*figures(t), changes], "section_code")
+    columns = ["section_code", "unit_code", "progress_pct", "attendance_pct", "grading_pct", "feedback"]
+    return joined.select(*columns, F.coalesce("n", F.lit(0)).alias("changes"))
 
 
 @query(

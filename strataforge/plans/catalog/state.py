@@ -151,6 +151,16 @@ def p11(t):
     return marts.filter_active(feed).select("record_id", "cents")
 
 
+@query(
+    "P11_delete_where",
+    "SELECT indicator, period, result FROM v_kpi WHERE NOT coalesce(CASE WHEN value_num % 7 = 0 THEN 'UNKNOWN_KY' WHEN value_num IS NULL THEN NULL ELSE period END = 'UNKNOWN_KY', false)",
+)
+def p11_delete(t):
+    found = F.expr("CASE WHEN value_num % 7 = 0 THEN 'UNKNOWN_KY' WHEN value_num IS NULL THEN NULL ELSE period END")
+    kpi = t.v_kpi.withColumn("found_period", found)
+    return marts.delete_where(kpi, "found_period = 'UNKNOWN_KY'").select("indicator", "period", "result")
+
+
 @query(
     "L1_order_nulls_last",
     f"""SELECT record_id, row_number() OVER (PARTITION BY event_type ORDER BY {FEED_ORDER}) AS position FROM v_feed""",

@@ -192,3 +192,17 @@ def test_conflict_counter_leaves_out_null_keys(spark):
     result = flows.silver_batch(df, feed(spark), ["k"], at="2024-05-01")
     m = result.metrics.first()
     assert (m.batch_conflicts, m.deduplicated, result.quarantine.count()) == (2, 1, 2)
+
+
+def test_columns_on_one_side_only(spark, rows):
+    target = spark.createDataFrame([(1, "a", 10), (2, "b", 20)], "k int, old string, v int")
+    source = spark.createDataFrame([(2, 21, "n2"), (3, 31, "n3")], "k int, v int, new string")
+    wanted = [(1, "a", 10, None), (2, "b", 21, "n2"), (3, None, 31, "n3")]
+    assert rows(cdc.upsert(target, source, ["k"]), "k", "old", "v", "new") == wanted
+    assert rows(cdc.merge_cdc(target, source, ["k"]), "k", "old", "v", "new") == wanted
+
+
+def test_merge_newer_with_a_column_the_source_lacks(spark):
+    target = feed(spark, ("t", "a", T1, "x")).withColumn("note", F.lit("kept"))
+    merged = cdc.merge_newer(target, feed(spark, ("s", "a", T2, "y"), ("n", "b", T2, "y")), ["k"], at="2024-05-01")
+    assert {r.record_id: r.note for r in merged.collect()} == {"s": "kept", "n": None}
