@@ -136,7 +136,7 @@ def s6(t):
 @query("S7_replace_table", "SELECT s_suppkey, s_name FROM supplier")
 def s7(t):
     ledger = Ledger(t.spark, scratch(t.spark, "replace"))
-    ledger.replace("supplier", t.supplier.select("s_suppkey").limit(1))
+    ledger.replace("supplier", t.supplier.select("s_suppkey", "s_nationkey"))
     ledger.replace("supplier", t.supplier.select("s_suppkey", "s_name"))
     return ledger.live("supplier")
 

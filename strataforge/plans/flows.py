@@ -128,7 +128,8 @@ def incremental_load(
     if stored and stored["strategy"] != STRATEGY:
         raise StrategyMismatch(f"{dataset}: {stored['strategy']}")
     after = stored["payload"]["value"] if stored else None
-    rows = source if after is None else source.filter(F.col(ts) > F.lit(after).cast("timestamp"))
+    at = F.col(ts)
+    rows = source if after is None else source.filter(at.isNull() | (at > F.lit(after).cast("timestamp")))
     text = F.date_format("watermark", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     found = next_watermark(rows, ts, after).withColumn("watermark", text).first()
     if found["state"] == "NO_CHANGE":
@@ -137,7 +138,7 @@ def incremental_load(
         raise ValueError(f"{dataset}: no safe watermark in {found.asDict()}")
     batch = name_batch(dataset, stored["strategy"] if stored else None, stored["payload"] if stored else None)
     # rows later than the watermark just read wait for the next run
-    fixed = rows.filter(F.col(ts) <= F.lit(found["watermark"]).cast("timestamp")).withColumn("_batch_id", F.lit(batch))
+    fixed = rows.filter(at <= F.lit(found["watermark"]).cast("timestamp")).withColumn("_batch_id", F.lit(batch))
     landed = land_bronze(fixed, path, batch, checksum)
     payload = {"value": found["watermark"]}
     ledger.commit(

@@ -38,7 +38,8 @@ def unwrap(responses: DataFrame, column: str, record_type: str) -> DataFrame:
     lists = f"array<{record_type}>"
 
     def listed(name: str) -> Column:
-        found = F.from_json(F.get_json_object(text, f"$.{name}"), lists)
+        part = F.get_json_object(text, f"$.{name}")
+        found = F.when(part.startswith("["), F.from_json(part, lists))
         return F.when(F.size(found) > 0, found)
 
     plain = F.from_json(text, lists)
