@@ -10,7 +10,6 @@ from strataforge.operators.schema import Contract
 from strataforge.plans.catalog.audits import EVENT_CONTRACT, PROPS_CONTRACT, event_payloads
 from strataforge.plans.catalog.common import AS_OF, shown
 from strataforge.plans.registry import half_up, query
-from strataforge.plans.views import TABLES
 
 FACT_SQL = """SELECT order_id, count(*) AS lines__record_count, CAST(sum(quantity) AS BIGINT) AS lines__sum__quantity,
   avg(quantity) AS lines__avg__quantity, CAST(sum(amount) AS BIGINT) AS lines__sum__amount, avg(amount) AS lines__avg__amount
@@ -166,12 +165,50 @@ def d10(t):
     )
 
 
-def _roles_frame(t):
+# keys, numbers and texts of the tables; a text is a metric only when it holds numbers
+ROLE_TABLES = {
+    "region": ("r_regionkey", "", "r_name"),
+    "nation": ("n_nationkey", "n_regionkey", "n_name"),
+    "customer": ("c_custkey", "c_nationkey c_acctbal", "c_name c_mktsegment"),
+    "supplier": ("s_suppkey", "s_nationkey s_acctbal", "s_name"),
+    "part": ("p_partkey", "p_size p_retailprice", "p_name p_brand p_type"),
+    "orders": ("o_orderkey", "o_custkey o_totalprice", "o_orderstatus o_orderpriority"),
+    "events": ("event_id user_id", "value", "event_type props"),
+    "documents": ("doc_id", "n_chars", "text lang source"),
+    "pages": ("page_id", "", "url html"),
+    "conversations": ("conv_id", "turn", "role text"),
+}
+TIME_COLUMNS = {"orders": "o_orderdate", "events": "ts"}
+CHANGED = "CASE WHEN o_orderkey % 2 = 0 THEN ' 12.50 ' ELSE 'n/a' END"
+
+
+def roles_sql():
+    parts = []
+    for table, (keys, numbers, texts) in ROLE_TABLES.items():
+        fixed = [(c, "key") for c in keys.split()] + [(c, "dimension") for c in keys.split()]
+        fixed += [(c, "metric") for c in numbers.split()]
+        fixed += [(TIME_COLUMNS[table], "dimension")] if table in TIME_COLUMNS else []
+        parts += [f"SELECT '{table}' AS table_name, '{c}' AS column_name, '{role}' AS role" for c, role in fixed]
+        parts += [
+            f"""SELECT '{table}', '{c}', CASE WHEN bool_or(regexp_matches({c}, '^ *-?[0-9]+([.][0-9]+)? *$')) THEN 'metric' ELSE 'dimension' END FROM {table}"""
+            for c in texts.split()
+        ]
+    parts.append(
+        f"""SELECT 'orders', 'amount_text', CASE WHEN bool_or(regexp_matches({CHANGED}, '^ *-?[0-9]+([.][0-9]+)? *$')) THEN 'metric' ELSE 'dimension' END FROM orders"""
+    )
+    parts += ["SELECT 'orders', 'modified_on', 'updated_at'", "SELECT 'orders', 'modified_on', 'dimension'"]
+    return " UNION ALL ".join(parts)
+
+
+@query("P15_profile_roles", roles_sql())
+def p15(t):
+    """Roles of the columns of all tables; orders get a number in text and a change date as well."""
     rows = []
-    for name in TABLES:
-        if name == "embeddings":
-            continue
-        roles = star.profile_roles(getattr(t, name))
+    for name in ROLE_TABLES:
+        df = getattr(t, name)
+        if name == "orders":
+            df = df.withColumns({"AmountText": F.expr(CHANGED), "modified on": F.date_format("o_orderdate", "yyyy-MM-dd")})
+        roles = star.profile_roles(df)
         for role, columns in (("key", roles.keys), ("metric", roles.metrics), ("dimension", roles.dimensions)):
             rows += [(name, c, role) for c in columns]
         if roles.updated_at:
@@ -179,11 +216,6 @@ def _roles_frame(t):
     return t.spark.createDataFrame(rows, "table_name string, column_name string, role string")
 
 
-@query("P15_profile_roles")
-def p15(t):
-    return _roles_frame(t)
-
-
 # columns of uploads, as they would come from reading headers: one upload per supplier,
 # its columns chosen by the parts it delivers
 UPLOAD_COLUMNS = [*EVENT_CONTRACT.source_fields, *star.KPI_COLUMNS, "price", "colour", "weight"]
