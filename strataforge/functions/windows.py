@@ -62,7 +62,8 @@ def rank_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     Rows are sorted by (key, order) over the cluster and written with their
     partition number, so a large key spreads over several range partitions; each
     partition numbers its part, and the part sizes, one row per key and
-    partition, give the offsets.
+    partition, give the offsets.  ``order`` should be unique per key: rows that
+    are equal in all of it stay in one partition.
     """
     ordered = df.orderBy(*[F.col(k) for k in keys], *order)
     placed = staged(ordered.withColumn("_part", F.spark_partition_id()), "positions")

@@ -65,10 +65,21 @@ def dedup(
     return first_per_key(df, key, feed_order(updated, ingested, batch, checksum, record))
 
 
-def dedup_split(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
-    """(kept, discarded); the two together are the input, copies included."""
-    kept = first_per_key(df, key, order)
-    return kept, df.exceptAll(kept)
+def dedup_split(
+    df: DataFrame, key: Sequence[str], order: Sequence[Column], row_id: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(kept, discarded); the two together are the input, copies included.
+
+    Rows are told apart by ``row_id``.  Without one they are written once with a
+    number each, so that even a large group of equal rows stays spread over tasks.
+    """
+    if row_id is None:
+        tagged, uid = staged(df.withColumn("_uid", F.monotonically_increasing_id()), "numbered"), "_uid"
+    else:
+        tagged, uid = df, row_id
+    kept = first_per_key(tagged, key, [*order, F.col(uid)])
+    discarded = tagged.join(kept.select(uid), uid, "left_anti").select(*df.columns)
+    return kept.select(*df.columns), discarded
 
 
 def dedup_latest(df: DataFrame, keys: Sequence[str], tie_break: Sequence[str] = ()) -> DataFrame:

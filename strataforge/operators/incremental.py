@@ -32,9 +32,6 @@ def incremental_slice(
     return attach(rows_between(rows, [updated, record], offset, limit), total)
 
 
-PAGE_MODES = ("cursor", "page", "offset")
-
-
 def row_range(mode: str, state, limit: int) -> tuple[int, int]:
     """First row (zero-based) and length of a page in any of the three notations."""
     if limit < 1:

@@ -101,7 +101,7 @@ def ingest(records: DataFrame, contract: Contract, ledger: Ledger, at, buckets:
     return results[0]
 
 
-def publish_outcomes(ledger: Ledger, at) -> int:
+def publish_outcomes(ledger: Ledger) -> int:
     """Build fact and period mart of the learning outcomes, audit both, and publish them together."""
     state = ledger.live(f"silver:{LEARNING_OUTCOMES.dataset}")
     fact = marts.outcome_fact(state)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -76,7 +78,8 @@ def context_manifest(files: DataFrame, context_id: str | None = None, root: str
     """
     prefix = root.strip("/") + "/"
     parts = F.filter(F.split(F.substr(F.col("path"), F.lit(len(prefix) + 1)), "/"), lambda p: p != "")
-    tabular = F.lower(F.element_at(F.col("_parts"), -1)).rlike(r"\.(parquet|json|csv|tsv)$")
+    name = F.lower(F.element_at(F.col("_parts"), -1))
+    tabular = reduce(or_, [name.endswith(suffix) for suffix in TABULAR])
     rows = (
         files.filter(F.col("path").startswith(prefix) & ~F.col("path").endswith("/") & (F.col("size") > 0))
         .withColumn("_parts", parts)

@@ -7,8 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from strataforge.functions.checksum import row_checksum
-
 
 @dataclass(frozen=True)
 class LandResult:
@@ -79,11 +77,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     )
 
 
-def with_landing_checksum(df: DataFrame, batch_id: str) -> DataFrame:
-    """Batch name and checksum for generic files that come without a contract."""
-    return df.withColumn("_record_checksum", row_checksum(df.columns)).withColumn("_batch_id", F.lit(batch_id))
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on whichever file system it names."""
     jvm = spark.sparkContext._jvm

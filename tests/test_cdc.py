@@ -206,3 +206,9 @@ def test_merge_newer_with_a_column_the_source_lacks(spark):
     target = feed(spark, ("t", "a", T1, "x")).withColumn("note", F.lit("kept"))
     merged = cdc.merge_newer(target, feed(spark, ("s", "a", T2, "y"), ("n", "b", T2, "y")), ["k"], at="2024-05-01")
     assert {r.record_id: r.note for r in merged.collect()} == {"s": "kept", "n": None}
+
+
+def test_dedup_split_by_row_id(spark, rows):
+    df = spark.createDataFrame([(1, "k", 5), (2, "k", 5), (3, "m", 1)], "id int, k string, v int")
+    kept, discarded = cdc.dedup_split(df, ["k"], [F.desc("v")], row_id="id")
+    assert (rows(kept, "id"), rows(discarded, "id")) == ([(1,), (3,)], [(2,)])

@@ -63,7 +63,7 @@ def test_registered_outcomes(spark, ledger):
     assert datasets.ingest(first, datasets.LEARNING_OUTCOMES, ledger, "2024-03-01", 4) is None
     second = first.unionByName(outcome(spark, ("r4", "a", 20, 8, 10, 9, False)))
     datasets.ingest(second, datasets.LEARNING_OUTCOMES, ledger, "2024-03-02", 4)
-    datasets.publish_outcomes(ledger, "2024-03-02")
+    datasets.publish_outcomes(ledger)
     assert [(r.record_id, r.pass_rate) for r in ledger.live("outcome_fact").collect()] == [("r4", 80.0)]
     assert ledger.live("outcome_periods").first().programs == 1
 
