@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from strataforge.plans.views import VIEWS, needed_tables, with_views
-from strataforge.session import prepare
+from strataforge.session import prepare, size_shuffles, stored_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+_SIZES: dict[str, int] = {}
 _SCHEMAS: dict[str, StructType] = {}  # per path: footers are read once per process
 
 
@@ -23,6 +24,9 @@ class Inputs:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = prepare(spark)
         self.folder = folder.rstrip("/")
+        if self.folder not in _SIZES:
+            _SIZES[self.folder] = stored_bytes(spark, self.folder)
+        size_shuffles(spark, _SIZES[self.folder])
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:

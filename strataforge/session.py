@@ -36,6 +36,39 @@ def build_session(app: str = "strataforge", master: str | None = None, **conf) -
     return prepare(builder.getOrCreate())
 
 
+SHUFFLE_TARGET = 256 * 1024**2  # bytes one shuffle partition should hold
+EXPANSION = 3  # shuffled rows against the compressed columns they were read from
+MOST_PARTITIONS = 100_000
+INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def shuffle_partitions_for(input_bytes: int, at_least: int) -> int:
+    """Partitions that keep a shuffle of the input within executor memory."""
+    return max(at_least, min(MOST_PARTITIONS, -(-input_bytes * EXPANSION // SHUFFLE_TARGET)))
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
+    """Start shuffles with enough partitions for the input.
+
+    Adaptive execution joins partitions that turn out small, but it splits only
+    skewed ones, so a start with too few could not be repaired.
+    """
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = shuffle_partitions_for(input_bytes, usual)
+    if wanted > usual:
+        spark.conf.set(INITIAL, str(wanted))
+    else:
+        spark.conf.unset(INITIAL)
+    return wanted
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path, from the file system's own summary."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getContentSummary(target).getLength()
+
+
 _local_roots: dict[str, str] = {}
 
 
