@@ -46,7 +46,7 @@ def stream_upsert(
     ledger commit that publishes a state also records the stream's batch number,
     so a repeated micro-batch is skipped.
     """
-    marker = f"stream:{table}"
+    marker = f"stream:{table}:{checkpoint}"  # numbers start anew with every checkpoint folder
 
     def merge(batch: DataFrame, number: int) -> None:
         if ledger.head()["state"].get(marker, -1) < number:
