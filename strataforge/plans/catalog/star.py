@@ -144,16 +144,14 @@ def j3(t):
 @query(
     "D10_context_gold",
     """WITH l AS (SELECT order_id, quantity, amount FROM (SELECT DISTINCT * FROM v_context_lines)
-         QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY quantity DESC, amount DESC, return_flag DESC) = 1),
+         QUALIFY row_number() OVER (PARTITION BY order_id, return_flag ORDER BY quantity DESC, amount DESC, return_flag DESC) = 1),
        f AS (SELECT order_id, count(*) AS lines__record_count, CAST(sum(quantity) AS BIGINT) AS lines__sum__quantity,
          CAST(sum(amount) AS BIGINT) AS lines__sum__amount FROM l GROUP BY order_id)
        SELECT o.order_id, o.status, o.total_amount, c.segment AS customers__segment, f.* EXCLUDE (order_id), 'sales' AS _context_id
-       FROM v_context_orders o LEFT JOIN f ON o.order_id = f.order_id LEFT JOIN v_context_customers c ON o.customer_id = c.customer_id""".format(
-        key="order_id, return_flag"
-    ),
+       FROM v_context_orders o LEFT JOIN f ON o.order_id = f.order_id LEFT JOIN v_context_customers c ON o.customer_id = c.customer_id""",
 )
 def d10(t):
-    # with distinct lines per (order, flag) the pair becomes the inferred weak key's superset
+    # one line per order and flag, so that the lines have a key of their own to be merged on
     lines = t.v_context_lines.distinct()
     one = star.dedup_latest(lines, ["order_id", "return_flag"], ["quantity", "amount"])
     line_rows = one.withColumn("line_id", F.concat_ws("-", F.col("order_id"), F.col("return_flag")))
