@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from strataforge.llm.identity import ordered_key
-from strataforge.llm.text import VALUES, batches_of, fresh, mix, powers, range_hashes, ready, utf8
+from strataforge.llm.text import VALUES, batches_of, fresh, let_go, mix, powers, range_hashes, ready, utf8
 from strataforge.session import staged
 
 DEPTH = 100  # bytes of a passage that count as repeated
 DIGIT = 24  # bytes of the first digit
+WIDTHS = (8, 1)  # suffixes of a run in the passes after the first; the last pass has single ones
 CHUNK = 1 << 20  # window starts handled at once, below 2**24
 LOW = np.uint64((1 << 24) - 1)
 
@@ -39,7 +40,7 @@ def least_of(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def suffix_runs(data: np.ndarray, offsets: np.ndarray, depth: int, digit: int) -> tuple[np.ndarray, ...]:
-    """Suffixes of at least ``depth`` bytes, in runs: text, start, number, digit and span hash of each.
+    """Suffixes of at least ``depth`` bytes, in runs: text, start, number, distance to the digit, digit and span hash of each.
 
     The first digit of a suffix is not taken at its start but where, within its
     first ``depth`` bytes, the hash of ``digit`` bytes is least (leftmost of equals):
@@ -64,97 +65,146 @@ def suffix_runs(data: np.ndarray, offsets: np.ndarray, depth: int, digit: int) -
         number = np.diff(np.append(cut, len(start)))
         first = start[cut]
         spans = range_hashes(data, first, first + number - 1 + depth)
-        out.append((text[cut], first - offsets[text[cut]], number, hashes[place[cut]], spans))
+        out.append((text[cut], first - offsets[text[cut]], number, place[cut] + base - first, hashes[place[cut]], spans))
     if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def shape(number: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    """Number of suffixes of a run, and how far before the digit the first one starts, as one column."""
+    return (number << 16 | ahead).astype(np.int32)
+
+
+def run_batch(head: np.ndarray, span: np.ndarray, doc: pa.Array, start: np.ndarray, form: np.ndarray) -> pa.RecordBatch:
+    """Rows of runs; of runs that are equal within the batch, all but the first lose their digit: they are repeats."""
+    order = np.lexsort((start, doc.to_numpy(), span, head))
+    again = np.zeros(len(head), bool)
+    again[order[1:]] = (head[order[1:]] == head[order[:-1]]) & (span[order[1:]] == span[order[:-1]])
+    return pa.record_batch(
+        {
+            "digit": pa.array(head.view(np.int64), mask=again),
+            "span": pa.array(np.where(again, start, span.view(np.int64))),
+            "doc": doc,
+            "start": pa.array(start.astype(np.int32)),
+            "shape": pa.array(form),
+        }
+    )
+
+
+RUNS = "digit long, span long, doc long, start int, shape int"
+
+
 def first_pass(rows: DataFrame, depth: int, digit: int) -> DataFrame:
-    """(digit, span, doc, start, number) of every run of suffixes."""
+    """Every run of suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in batches_of(batches, "text", 2 << 20):
-            text, start, number, head, span = suffix_runs(data, offsets, depth, digit)
+            text, start, number, ahead, head, span = suffix_runs(data, offsets, depth, digit)
             if len(text):
-                yield pa.record_batch({"digit": head.view(np.int64), "span": span.view(np.int64), "doc": part.column(0).take(pa.array(text)), "start": start.astype(np.int32), "number": number.astype(np.int32)})
+                yield run_batch(head, span, part.column(0).take(pa.array(text)), start, shape(number, ahead))
 
-    return rows.mapInArrow(run, "digit long, span long, doc long, start int, number int")
+    return rows.mapInArrow(run, RUNS)
 
 
-def second_pass(runs: DataFrame) -> DataFrame:
-    """Of runs sorted by digit and span: all but the first of each span are repeated whole.
+def narrower(rows: DataFrame, runs: DataFrame, depth: int, width: int) -> DataFrame:
+    """The open runs cut into runs of ``width`` suffixes, at the same distances from the digit everywhere.
 
-    The first ones of a digit that has several spans go on to the next digit
-    (``open``); the first one of a digit with one span is settled.
+    The new digit of a run is all that suffixes at its distances have in common
+    within their depth, so runs that differ there are told apart without going on.
     """
-    placed = runs.repartition(F.col("digit")).sortWithinPartitions("digit", "span", "doc", "start")
+    lists = runs.groupBy("doc").agg(F.collect_list(F.struct("digit", "start", "shape")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int] | None = None
-        waiting: pa.RecordBatch | None = None  # the first of a digit, until a second span shows
-
-        def rows(batch: pa.RecordBatch, chosen: np.ndarray, is_open: bool) -> pa.RecordBatch:
-            some = batch.take(pa.array(chosen))
-            head = some.column(0) if is_open else pa.nulls(len(chosen), pa.int64())
-            return pa.record_batch({"digit": head, "doc": some.column(2), "start": some.column(3), "number": some.column(4)})
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            head, span = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            new_head = np.concatenate([[last is None or last[0] != head[0]], head[1:] != head[:-1]])
-            new = new_head | np.concatenate([[last is None or last[1] != span[0]], span[1:] != span[:-1]])
-            last = (head[-1], span[-1])
-            if not new.all():
-                yield rows(batch, np.flatnonzero(~new), False)
-            firsts = np.flatnonzero(new)
-            if not len(firsts):
-                continue
-            alone = new_head[firsts]
-            if waiting is not None and not alone[0]:
-                yield rows(waiting, np.array([0]), True)
-            several = ~alone
-            several[:-1] |= ~alone[1:]
-            if several.any():
-                yield rows(batch, firsts[several], True)
-            waiting = batch.slice(int(firsts[-1]), 1) if alone[-1] else None
-
-    return placed.mapInArrow(run, "digit long, doc long, start int, number int")
-
-
-def last_pass(rows: DataFrame, runs: DataFrame, depth: int) -> DataFrame:
-    """The single suffixes of the open runs, sorted to full depth: all but the first of equals are repeated."""
-    lists = runs.groupBy("doc").agg(F.collect_list(F.struct("digit", "start", "number")).alias("runs"))
-
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for i, found in enumerate(batch.column(2).to_pylist()):
-                found.sort(key=lambda r: r["start"])
-                number = np.array([r["number"] for r in found])
-                first = np.array([r["start"] for r in found], np.int64)
-                start = np.repeat(first - np.concatenate([[0], np.cumsum(number)[:-1]]), number) + np.arange(number.sum())
-                hashes = range_hashes(data[offsets[i] : offsets[i + 1]], start, start + depth)
-                head = np.repeat(np.array([r["digit"] for r in found], np.int64), number)
-                yield pa.record_batch({"digit": head, "hash": hashes.view(np.int64), "doc": np.full(len(start), batch.column(0)[i].as_py()), "start": start.astype(np.int32)})
-
-    singles = rows.join(lists, "doc").select("doc", "text", "runs").mapInArrow(passages, "digit long, hash long, doc long, start int")
-    placed = singles.repartition(F.col("digit"), F.col("hash")).sortWithinPartitions("digit", "hash", "doc", "start")
+            per_doc = []
+            for i, found in enumerate(batch.column(2)):
+                found = found.values.flatten()
+                head, first, form = (x.to_numpy().astype(np.int64) for x in found)
+                number, ahead = form >> 16, form & 0xFFFF
+                # distance of each suffix from the digit, then runs of equal distance // width
+                run_of = np.repeat(np.arange(len(head)), number)
+                step = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+                distance = np.repeat(ahead, number) - step
+                part = distance // width
+                cut = np.flatnonzero(np.concatenate([[True], (run_of[1:] != run_of[:-1]) | (part[1:] != part[:-1])]))
+                size = np.diff(np.append(cut, len(step)))
+                start = (first[run_of] + step)[cut]
+                order = np.argsort(start, kind="stable")
+                start, size, cut = start[order], size[order], cut[order]
+                body = data[offsets[i] : offsets[i + 1]]
+                # ends ascend with the starts only within a width; hash size by size
+                span = np.empty(len(start), np.uint64)
+                for n in np.unique(size).tolist():
+                    at = np.flatnonzero(size == n)
+                    span[at] = range_hashes(body, start[at], start[at] + n - 1 + depth)
+                # what all suffixes at these distances share is the next digit
+                core = start + distance[cut] - part[cut] * width
+                order = np.argsort(core, kind="stable")
+                shared = np.empty(len(start), np.uint64)
+                shared[order] = range_hashes(body, core[order], core[order] + depth - width + 1)
+                new_head = mix(shared + part[cut].astype(np.uint64))
+                per_doc.append((np.full(len(start), batch.column(0)[i].as_py()), start, shape(size, distance[cut]), new_head, span))
+            if per_doc:
+                doc, start, form, head, span = (np.concatenate(x) for x in zip(*per_doc))
+                yield run_batch(head, span, pa.array(doc), start, form)
+
+    return rows.join(lists, "doc").select("doc", "text", "runs").mapInArrow(run, RUNS)
+
+
+def settle(runs: DataFrame, label: str, last: bool = False) -> tuple[DataFrame, DataFrame]:
+    """One digit's pass: (repeated runs, open runs); the last pass leaves none open.
+
+    Runs are sorted by digit and span, each shuffle being keyed by both, so that a
+    digit with many runs is spread out: all but the first of equal spans are repeats.
+    The first ones are then sorted by digit alone.  Those whose digit has several
+    spans stay open for the next, narrower digit; a lone one is settled.
+    """
+    spark = runs.sparkSession
+    placed = runs.repartition(F.coalesce("digit", "doc"), F.col("span")).sortWithinPartitions("digit", "span", "doc", "start")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def equal_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, int] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            head, value = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            same = np.concatenate([[last == (head[0], value[0])], (head[1:] == head[:-1]) & (value[1:] == value[:-1])])
-            last = (head[-1], value[-1])
-            if same.any():
-                some = batch.take(pa.array(np.flatnonzero(same)))
-                yield pa.record_batch({"doc": some.column(2), "start": some.column(3), "number": pa.array(np.ones(len(some), np.int32))})
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            head, span = batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()
+            again = np.concatenate([[last == (head[0], span[0])], (head[1:] == head[:-1]) & (span[1:] == span[:-1])])
+            if known[-1]:
+                last = (head[-1], span[-1])
+            first = known & ~again
+            first[1:] |= known[1:] & ~known[:-1]  # rows without a digit come first
+            yield pa.record_batch({"digit": pa.array(head, mask=~first), "doc": batch.column(2), "start": batch.column(3), "shape": batch.column(4)})
+
+    found = staged(placed.mapInArrow(equal_spans, "digit long, doc long, start int, shape int"), f"{label}-runs")
+    let_go(spark)
+    repeats = found.where("digit IS NULL").select("doc", "start", F.shiftright("shape", 16).alias("number"))
+    if last:
+        return repeats, found.limit(0)
+    firsts = found.where("digit IS NOT NULL").repartition(F.col("digit")).sortWithinPartitions("digit")
+
+    def several_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: pa.RecordBatch | None = None  # the last row, if its digit has been seen once so far
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            head = batch.column(0).to_numpy()
+            follows = np.concatenate([[last == head[0]], head[1:] == head[:-1]])
+            if waiting is not None and follows[0]:
+                yield waiting
+            last = head[-1]
+            several = follows.copy()
+            several[:-1] |= follows[1:]
+            if several.any():
+                yield batch.filter(pa.array(several))
+            waiting = None if several[-1] else batch.slice(batch.num_rows - 1, 1)
 
-    return placed.mapInArrow(run, "doc long, start int, number int")
+    opened = staged(firsts.mapInArrow(several_spans, "digit long, doc long, start int, shape int"), f"{label}-open")
+    let_go(spark)
+    return repeats, opened
 
 
 def merged_spans(suffixes: DataFrame, depth: int) -> DataFrame:
@@ -197,11 +247,6 @@ def merged_spans(suffixes: DataFrame, depth: int) -> DataFrame:
     return spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
 
-def let_go(spark) -> None:
-    """Ask the driver to notice that finished shuffles are unused, so that their files go before the next."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", depth: int = DEPTH, digit: int = DIGIT) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) of every document.
 
@@ -210,9 +255,9 @@ def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", dep
     are judged on the input.  ``kept`` is what is left, as bytes.
 
     Suffixes are ordered by most significant digits, each pass being one shuffle
-    that sorts what the last one left open, and only to ``depth``: by a chosen digit,
-    by the span of a run of suffixes, and by single suffixes.  Equal ones after the
-    last pass are the repeated strings.  Hashes of 64 bits stand for digits, spans and
+    that sorts what the last one left open, and only to ``depth``: by a chosen digit
+    and the span of a run of suffixes, by narrower runs, and by single suffixes.
+    Equal ones after the last pass are the repeated strings.  Hashes of 64 bits stand for digits, spans and
     strings; strings are only compared when their digits agree too.  Sorted rows are
     read as a stream, so one very common passage fills no memory.
 
@@ -224,11 +269,11 @@ def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", dep
     key = fresh(docs, "_key")
     keyed = ordered_key(docs, doc, text, key)
     rows = keyed.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
-    found = staged(second_pass(first_pass(rows, depth, digit)), "suffixes")
-    let_go(spark)
-    again = staged(last_pass(rows, found.where("digit IS NOT NULL"), depth), "repeats")
-    let_go(spark)
-    spans = staged(merged_spans(found.where("digit IS NULL").select("doc", "start", "number").union(again), depth), "spans")
+    repeats, opened = settle(first_pass(rows, depth, digit), "suffix")
+    for width in WIDTHS:
+        more, opened = settle(narrower(rows, opened, depth, width), f"suffix-{width}", last=width == WIDTHS[-1])
+        repeats = repeats.union(more)
+    spans = staged(merged_spans(repeats, depth), "spans")
     let_go(spark)
 
     @arrow_udf("binary")

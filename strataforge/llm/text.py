@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,6 +37,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def let_go(spark: SparkSession) -> None:
+    """Let the driver notice that finished shuffles are unused, so that their files go before the next ones come.
+
+    Only to be called when all that is still needed has been written.
+    """
+    spark.range(1).collect()  # Spark holds on to the plan it ran last
+    gc.collect()  # frames in Python hold their plans in the JVM
+    spark.sparkContext._jvm.System.gc()
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts as one byte array, and the offsets of each; NULL is empty."""
     if isinstance(texts, pa.ChunkedArray):
