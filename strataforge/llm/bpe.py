@@ -14,7 +14,7 @@ from pyspark.sql.functions import arrow_udf
 
 from strataforge.llm.text import ready, slices, utf8, with_result
 
-SLICE_BYTES = 8 << 20  # texts whose distinct words are replayed together
+SLICE_BYTES = 2 << 20  # texts whose distinct words are replayed together
 
 
 def read_ranks(path: str) -> list[bytes]:

@@ -34,6 +34,24 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(x - (1 << 64) if x >> 63 else x for x in (a, b))
 
 
+PARITY = [f"p{i}" for i in range(8)]  # 512 bits
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """512 bits, each telling whether an odd number of the shingles fell on it.
+
+    Sets that differ in d shingles differ in d of these bits at most.
+    """
+    odd = np.bincount((mix(shingles + np.uint64(7)) >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_link(left: str, right: str, n: str, m: str, percent: int):
+    """A bound that no linked pair breaks: sets of sizes n and m that link differ in few enough shingles."""
+    differ = sum((F.bit_count(F.col(f"{left}{p}").bitwiseXOR(F.col(f"{right}{p}"))) for p in PARITY), F.lit(0))
+    return F.coalesce((100 + percent) * differ <= (100 - percent) * (F.col(n) + F.col(m)), F.lit(True))
+
+
 def fingerprints(docs: DataFrame, k: int) -> DataFrame:
     """Per document its set's size and fingerprint; further rows with ``chunk`` hold shingle counts.
 
@@ -42,14 +60,16 @@ def fingerprints(docs: DataFrame, k: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+        names = ["doc", "n", "f1", "f2", *PARITY]
+        kind = pa.schema([*((c, pa.int64()) for c in names), ("chunk", pa.int32()), ("counts", pa.binary())])
         table = np.zeros(1 << TABLE_BITS, np.uint32)
         seen: set[tuple[int, int]] = set()
         for part, data, offsets in batches_of(batches, "text", SLICE_BYTES):
-            rows, fresh_sets = [], []
+            rows, bits, fresh_sets = [], [], []
             for shingles in sets_of(data, offsets, k):
                 mark = fingerprint(shingles)
                 rows.append((len(shingles), *mark))
+                bits.append(parity(shingles))
                 if mark not in seen:
                     seen.add(mark)
                     fresh_sets.append(shingles)
@@ -57,13 +77,15 @@ def fingerprints(docs: DataFrame, k: int) -> DataFrame:
                 table += np.bincount((np.concatenate(fresh_sets) >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(table)).astype(np.uint32)
             n, f1, f2 = zip(*rows)
             size = len(rows)
-            yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], schema=kind)
+            known = [part.column(0), *(pa.array(x, pa.int64()) for x in (n, f1, f2)), *(pa.array(x) for x in np.array(bits).T.copy())]
+            yield pa.record_batch([*known, pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], schema=kind)
         if seen:
             chunks = table.reshape(-1, COUNT_CHUNK)
             nulls = pa.nulls(len(chunks), pa.int64())
-            yield pa.record_batch([nulls, nulls, nulls, nulls, pa.array(np.arange(len(chunks)), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], schema=kind)
+            yield pa.record_batch([*[nulls] * len(names), pa.array(np.arange(len(chunks)), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], schema=kind)
 
-    return docs.mapInArrow(run, "doc long, n long, f1 long, f2 long, chunk int, counts binary")
+    bits = ", ".join(f"{p} long" for p in PARITY)
+    return docs.mapInArrow(run, f"doc long, n long, f1 long, f2 long, {bits}, chunk int, counts binary")
 
 
 def frequent_flags(counted: DataFrame) -> np.ndarray:
@@ -202,6 +224,11 @@ def sets_in_parts(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.
         yield from sets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
 
 
+def with_bits(rows: DataFrame, bits: DataFrame, column: str) -> DataFrame:
+    """Add the size and parity bits of the document in ``column``, prefixed with its name."""
+    return rows.join(bits.select(*[F.col(c).alias(column if c == "doc" else f"{column}_{c}") for c in bits.columns]), column)
+
+
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) of every document.
 
@@ -216,6 +243,8 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wo
     groups of copies without pairing their members; then only pairs that are
     still in different components are compared.  Every link lies within a
     component or is compared, so none is lost, and no group is ever paired out.
+    Before whole texts are compared, pairs that cannot link are dropped by a bound on
+    how many shingles two linked sets may differ in.
 
     NULL, empty and wordless texts have an empty set and link with nothing.  Rows
     that repeat an id are one document: linked to whatever any of them is.  A row without
@@ -228,6 +257,11 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wo
     marks = counted.where("chunk IS NULL").select("doc", "n", "f1", "f2")
     flags = frequent_flags(counted)
     named = marks.where("doc IS NOT NULL AND n > 0")
+    # an id that several sets share has no bits, and is never ruled out by them
+    one_set = F.min(F.struct("f1", "f2")) == F.max(F.struct("f1", "f2"))
+    bits = counted.where("chunk IS NULL AND doc IS NOT NULL AND n > 0").groupBy("doc").agg(
+        F.max("n").alias("size"), *[F.when(one_set, F.max(p)).alias(p) for p in PARITY]
+    )
     classes = staged(named.groupBy("f1", "f2", "n").agg(F.min("doc").alias("rep")), "classes")
     members = staged(named.join(classes, ["f1", "f2", "n"]).select("doc", "rep").distinct(), "members")
     same = members.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
@@ -241,7 +275,9 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wo
         return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
     stars = shared.where((F.col("doc") != F.col("pivot")) & alike("n", "m")).select(F.least("pivot", "doc").alias("a"), F.greatest("pivot", "doc").alias("b")).distinct()
-    stars = staged(stars.join(same, ["a", "b"], "left_anti"), "stars")
+    known = staged(bits, "parities")
+    stars = with_bits(with_bits(stars.join(same, ["a", "b"], "left_anti"), known, "a"), known, "b")
+    stars = staged(stars.where(may_link("a_", "b_", "a_size", "b_size", percent)).select("a", "b"), "stars")
     used = staged(shared.select("doc").distinct(), "used")
     texts = staged(rows.join(used, "doc", "left_semi"), "texts")
     links = staged(verify(stars, texts, words, percent), "links")
@@ -251,9 +287,9 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wo
     labelled = shared.select("sig", "doc", "n").join(first.withColumnRenamed("node", "doc"), "doc", "left")
     labelled = staged(labelled.select("sig", "doc", "n", F.coalesce("component", "doc").alias("c")), "labelled")
     mixed = labelled.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("sig")
-    open_rows = staged(labelled.join(mixed, "sig", "left_semi"), "open")
+    open_rows = staged(with_bits(labelled.join(mixed, "sig", "left_semi"), known, "doc"), "open")
     left, right = open_rows.alias("l"), open_rows.alias("r")
-    rest = left.join(right, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.c") < F.col("r.c")) & alike("l.n", "r.n"))
+    rest = left.join(right, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.c") < F.col("r.c")) & alike("l.n", "r.n") & may_link("l.doc_", "r.doc_", "l.n", "r.n", percent))
     rest = rest.select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b")).distinct()
     rest = staged(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     more = staged(verify(rest, texts, words, percent), "more-links")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from strataforge.session import prepare
 
-BATCH_BYTES = "8m"  # text handed to Python at once; one longer text travels alone
+BATCH_BYTES = "4m"  # text handed to Python at once; one longer text travels alone
 
 
 def ready(spark: SparkSession) -> SparkSession:
