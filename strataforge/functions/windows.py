@@ -75,19 +75,12 @@ def rank_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return numbered.select(*df.columns, (F.col("_start") + F.col("_at")).cast("bigint").alias(name))
 
 
-TOP_ROWS = 100_000  # rows a single top-k step may hold
-
-
 def rows_between(df: DataFrame, order: Sequence[Column | str], start: int, length: int) -> DataFrame:
-    """``length`` rows from position ``start`` (zero-based).
+    """``length`` rows from position ``start`` (zero-based), found by range partitions at every position.
 
-    Near the front Spark keeps only the first rows of each task.  Further back
-    the rows are numbered by range partitions, so no task holds everything
-    before the page.
+    ``order`` must be unique per row, or pages may overlap.
     """
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
-    if start + length <= TOP_ROWS:
-        return df.orderBy(*columns).offset(start).limit(length)
     numbered = rank_in_order(df, [], columns, "_position")
     page = F.col("_position").between(start + 1, start + length)
     return numbered.filter(page).orderBy("_position").drop("_position")

@@ -10,9 +10,11 @@ AGGREGATES = {"SUM": F.sum, "AVG": F.avg, "COUNT": F.count, "MAX": F.max, "MIN":
 
 # Parts of names whose metric is averaged.
 AVERAGE_WORDS = (
-    "diem gpa ty_le ti_le rate percent score avg_ atk hp def copies stat "
-    "temp nhiet_do humidity do_am lpg smoke ppm celsius __avg__"
-).split()
+    "diem", "gpa", "ty_le", "ti_le", "rate", "percent",
+    "score", "avg_", "atk", "hp", "def", "copies",
+    "stat", "temp", "nhiet_do", "humidity", "do_am", "lpg",
+    "smoke", "ppm", "celsius", "__avg__",
+)
 
 
 def _measure(column: str, aggregate: str) -> Column:

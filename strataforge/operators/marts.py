@@ -55,8 +55,9 @@ GENERAL_ADVICE = (
 )
 AVERAGED_NAMES = ("diem", "gpa", "tbrl", "atk", "hp", "def", "rate", "score")
 SCORED_NAMES = (
-    "pulled_count amount_paid tuition_amount amount revenue sales diem_tb gpa lvl_90_atk score so_tcdk diem_tbrl"
-).split()
+    "pulled_count", "amount_paid", "tuition_amount", "amount", "revenue", "sales",
+    "diem_tb", "gpa", "lvl_90_atk", "score", "so_tcdk", "diem_tbrl",
+)
 
 
 def lookup(df: DataFrame, column: str, mapping: Mapping[str, str] | DataFrame, name: str) -> DataFrame:

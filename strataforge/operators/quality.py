@@ -102,9 +102,9 @@ def contract_violations(
     types: dict[str, str] | None = None,
     patterns: dict[str, str] | None = None,
     offset_timestamps: Sequence[str] = (),
-    limit: int | None = 20,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Violations as rows (record, location, message), ordered; the report shows the first ``limit``.
+    """Violations as rows (record, location, message), all of them, or the first ``limit`` in order.
 
     ``records`` holds the raw text of every field; all checks run in one pass.
     """

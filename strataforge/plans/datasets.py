@@ -74,16 +74,33 @@ def _refuse(name: str, findings: DataFrame) -> None:
 def ingest(records: DataFrame, contract: Contract, ledger: Ledger, at, buckets: int = 256) -> BatchResult | None:
     """Land the new records of a source and merge them into the current state; None when there are none.
 
+    The commit that publishes the state also names the batch merged.  A batch that
+    was landed but not merged, as its merge failed, is merged first on the next run.
     Rejected rows are appended to the quarantine before the new state is published,
     and the state is published only when its gate passes.
     """
-    bronze, silver = f"{ledger.root}/bronze/{contract.dataset}", f"silver:{contract.dataset}"
+    pending = _pending(ledger, contract.dataset)
+    resumed = _merge(pending, contract, ledger, at, buckets) if pending else None
+    bronze = f"{ledger.root}/bronze/{contract.dataset}"
     stamped = stamp(records, contract, "", at, mode="INCREMENTAL").drop("_batch_id")
     status, landed = incremental_load(stamped, contract.dataset, contract.updated_at, ledger, bronze)
     if status == "NO_CHANGE":
-        return None
+        return resumed
+    return _merge(landed.batch_id, contract, ledger, at, buckets)
+
+
+def _pending(ledger: Ledger, dataset: str) -> str | None:
+    """The batch that was landed last, unless it has been merged."""
+    state = ledger.head()["state"]
+    landed = (state.get(f"checkpoint:{dataset}") or {}).get("last_batch")
+    return landed if landed != state.get(f"merged:{dataset}") else None
+
+
+def _merge(batch_id: str, contract: Contract, ledger: Ledger, at, buckets: int) -> BatchResult:
+    """Merge one landed batch; state and name of the batch are published in one commit."""
+    bronze, silver = f"{ledger.root}/bronze/{contract.dataset}", f"silver:{contract.dataset}"
     key = list(contract.key)
-    batch = to_canonical(read_batch(ledger.spark, bronze, landed.batch_id, contract), contract)
+    batch = to_canonical(read_batch(ledger.spark, bronze, batch_id, contract), contract)
     results: list[BatchResult] = []
 
     def step(feed: DataFrame, state: DataFrame) -> DataFrame:
@@ -97,7 +114,7 @@ def ingest(records: DataFrame, contract: Contract, ledger: Ledger, at, buckets:
         results.append(result)
         return result.candidate
 
-    ledger.merge_buckets(silver, key, batch, step, buckets)
+    ledger.merge_buckets(silver, key, batch, step, buckets, state={f"merged:{contract.dataset}": batch_id})
     return results[0]
 
 

@@ -61,13 +61,12 @@ def build_session(app: str = "strataforge", master: str | None = None, **conf) -
 
 SHUFFLE_TARGET = 256 * 1024**2  # bytes one shuffle partition should hold
 EXPANSION = 3  # shuffled rows against the compressed columns they were read from
-MOST_PARTITIONS = 100_000
 INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
 def shuffle_partitions_for(input_bytes: int, at_least: int) -> int:
     """Partitions that keep a shuffle of the input within executor memory."""
-    return max(at_least, min(MOST_PARTITIONS, -(-input_bytes * EXPANSION // SHUFFLE_TARGET)))
+    return max(at_least, -(-input_bytes * EXPANSION // SHUFFLE_TARGET))
 
 
 def size_shuffles(spark: SparkSession, input_bytes: int) -> int:

@@ -96,7 +96,8 @@ class Ledger:
         """Read a table from its folder, or from the folders of its buckets."""
         if not place:
             return None
-        return self.spark.read.parquet(*([place] if isinstance(place, str) else place.values()))
+        # buckets written before and after a column was added differ: all columns are read
+        return self.spark.read.option("mergeSchema", "true").parquet(*([place] if isinstance(place, str) else place.values()))
 
     def merge_buckets(
         self,

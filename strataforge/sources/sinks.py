@@ -17,8 +17,9 @@ class LandResult:
 
 
 def fingerprint(checksum: str):
-    """Order-free sum of row checksums, as exact decimal."""
-    return F.sum(F.conv(F.substring(F.col(checksum), 1, 15), 16, 10).cast("decimal(38,0)"))
+    """Order-free sums of all parts of the row checksums, and how many are missing, as text."""
+    parts = [F.sum(F.conv(F.substring(F.col(checksum), 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(5)]
+    return F.concat_ws("-", *parts, F.sum(F.col(checksum).isNull().cast("long")).cast("string"))
 
 
 def land_bronze(stamped: DataFrame, path: str, batch_id: str, checksum: str = "_record_checksum") -> LandResult:

@@ -68,6 +68,24 @@ def test_registered_outcomes(spark, ledger):
     assert ledger.live("outcome_periods").first().programs == 1
 
 
+def test_a_landed_batch_is_merged_after_a_failure(spark, ledger, monkeypatch):
+    rows = outcome(spark, ("r1", "a", 20, 5, 10, 1, False), ("r2", "b", 20, 6, 10, 2, False))
+    good = Ledger.merge_buckets
+
+    def fail(*_args, **_more):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(Ledger, "merge_buckets", fail)
+    with pytest.raises(RuntimeError):
+        datasets.ingest(rows, datasets.LEARNING_OUTCOMES, ledger, "2024-03-01", 4)
+    monkeypatch.setattr(Ledger, "merge_buckets", good)
+    more = rows.unionByName(outcome(spark, ("r3", "c", 20, 7, 10, 5, False)))
+    datasets.ingest(more, datasets.LEARNING_OUTCOMES, ledger, "2024-03-02", 4)
+    state = ledger.live("silver:education.learning_outcomes")
+    assert {r.record_id for r in state.collect()} == {"r1", "r2", "r3"}
+    assert datasets.ingest(more, datasets.LEARNING_OUTCOMES, ledger, "2024-03-02", 4) is None
+
+
 def test_rows_without_time_are_refused_after_the_first_run(spark, ledger):
     df = spark.range(4).withColumn("ts", F.timestamp_seconds(F.col("id"))).withColumn("_record_checksum", row_checksum(["id"]))
     flows.incremental_load(df, "d", "ts", ledger, f"{ledger.root}/b")

@@ -189,3 +189,12 @@ def test_bucket_that_loses_its_rows(spark, ledger):
     ledger.merge_buckets("t", ["id"], table(spark, 1), lambda c, s: s.unionByName(c), buckets=4)
     ledger.merge_buckets("t", ["id"], table(spark, 1), lambda c, s: s.limit(0), buckets=4)
     assert ledger.live("t") is None
+
+
+def test_added_columns_are_read_from_all_buckets(spark):
+    ledger = Ledger(spark, scratch(spark, "test-columns"))
+    keep = lambda changes, live: changes.unionByName(live.join(changes.select("k"), "k", "left_anti"), allowMissingColumns=True)
+    ledger.merge_buckets("t", ["k"], spark.createDataFrame([(i, i) for i in range(40)], "k int, v int"), keep, 16)
+    ledger.merge_buckets("t", ["k"], spark.createDataFrame([(1, 1, "new")], "k int, v int, w string"), keep, 16)
+    live = ledger.live("t")
+    assert "w" in live.columns and live.where("w IS NOT NULL").count() == 1 and live.count() == 40

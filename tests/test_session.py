@@ -4,7 +4,7 @@ from strataforge import session
 def test_partitions_grow_with_the_input():
     assert session.shuffle_partitions_for(10 * 1024**2, 8) == 8
     assert session.shuffle_partitions_for(1024**4, 200) == 12288
-    assert session.shuffle_partitions_for(100 * 1024**4, 200) == session.MOST_PARTITIONS
+    assert session.shuffle_partitions_for(100 * 1024**4, 200) == 1228800
 
 
 def test_shuffles_start_with_enough_partitions(spark):
