@@ -154,9 +154,10 @@ def compare_periods(
     """Previous available period and value per entity, and growth percent.
 
     Input holds one row per entity and period (the gate ``duplicate_keys``), so
-    an entity has as many rows as there are periods.
+    an entity has as many rows as there are periods.  Quarters, months and years have
+    one total order, so the result does not depend on the order of the rows.
     """
-    key = F.col(sort_key) if sort_key else text.period_sort_key(F.col(period))
+    key = F.struct(sort_key, period) if sort_key else text.period_order(F.col(period))
     w = Window.partitionBy(entity).orderBy(key)
     before = F.col("previous_value")
     growth = F.round((F.col(value) - before) / F.when(before != 0, before) * 100, 2)
@@ -171,11 +172,11 @@ def indicator_dictionary(
     df: DataFrame, entity: str = "indicator", unit: str = "unit", period: str = "period", note: str = "description"
 ) -> DataFrame:
     """Per indicator and unit: description of the earliest row that has one, first and latest period."""
-    key = text.period_sort_key(F.col(period))
+    key = text.period_order(F.col(period))
     return df.groupBy(entity, unit).agg(
         F.min_by(F.col(note), F.when(F.col(note).isNotNull(), F.struct(key, F.col(note)))).alias(note),
-        F.min_by(F.col(period), F.struct(key, F.col(period))).alias("first_period"),
-        F.max_by(F.col(period), F.struct(key, F.col(period))).alias("latest_period"),
+        F.min_by(F.col(period), key).alias("first_period"),
+        F.max_by(F.col(period), key).alias("latest_period"),
     )
 
 
@@ -190,7 +191,7 @@ def latest_per_group(df: DataFrame, group: str, sort_key: Column) -> DataFrame:
 
 def forecast(comparison: DataFrame, entity: str = "indicator", period: str = "period", value: str = "value_num") -> DataFrame:
     """Next-period value from growth weighted 1..n in period order; no growth known means 0."""
-    key = text.period_sort_key(F.col(period))
+    key = text.period_order(F.col(period))
     known = comparison.filter(F.col("growth_pct").isNotNull()).withColumn(
         "_weight", F.row_number().over(Window.partitionBy(entity).orderBy(key))
     )

@@ -12,7 +12,7 @@ from strataforge.operators.quality import OUTCOME_RULES, SECTION_RULES, to_quara
 from strataforge.operators.schema import Contract, stamp, to_canonical
 from strataforge.plans.flows import BatchResult, incremental_load, silver_batch
 from strataforge.session import staged
-from strataforge.sources.documents import extract_tables
+from strataforge.sources.documents import failed_documents, read_documents, table_rows
 from strataforge.sources.files import read_batch
 from strataforge.sources.ledger import Ledger
 from strataforge.sources.sinks import append_quarantine
@@ -163,12 +163,12 @@ def publish_sections(ledger: Ledger) -> int:
     return ledger.publish_bundle(bundle)
 
 
-def kpi_rows(documents: DataFrame) -> DataFrame:
-    """Indicator rows of (path, content) documents with normalised unit, period, state and numbers.
+def kpi_rows(read: DataFrame) -> DataFrame:
+    """Indicator rows of opened documents with normalised unit, period, state and numbers.
 
     The period of a document is the most frequent one of its rows.
     """
-    rows = staged(extract_tables(documents), "document-rows")  # parsed once, used twice
+    rows = staged(table_rows(read), "document-rows")  # used twice
     periods = marts.dominant_period(rows, "path", text.normalize_period(F.col("period")))
     return rows.drop("period").join(periods.select("path", "period"), "path").select(
         F.upper("code").alias("indicator"),
@@ -192,9 +192,14 @@ KPI_KEY = ["indicator", "period"]
 
 
 def ingest_documents(documents: DataFrame, ledger: Ledger, buckets: int = 256) -> None:
-    """Merge the indicator rows of documents into the KPI state; the last row of the latest file wins."""
+    """Merge the indicator rows of documents into the KPI state; the last row of the latest file wins.
+
+    Documents that cannot be read are listed in ``quarantine/documents`` with the reason.
+    """
     latest = [F.desc("source_file"), F.desc("row_no")]
-    fresh = cdc.first_per_key(kpi_rows(documents), KPI_KEY, latest)
+    read = staged(read_documents(documents), "documents")
+    append_quarantine(failed_documents(read), f"{ledger.root}/quarantine/documents")
+    fresh = cdc.first_per_key(kpi_rows(read), KPI_KEY, latest)
 
     def step(rows: DataFrame, state: DataFrame) -> DataFrame:
         candidate = cdc.upsert(state, rows, KPI_KEY)

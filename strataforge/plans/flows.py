@@ -87,7 +87,10 @@ def silver_batch(
 def generic_batch(
     raw: DataFrame, roles: Roles, target: DataFrame | None, ingested_at, mapping: dict | None = None
 ) -> BatchResult:
-    """A file without contract: names, keys or row hash, change time, checksum, then as for any batch."""
+    """A file without contract: names, keys or row hash, change time, checksum, then as for any batch.
+
+    Rows with a NULL in their key go to quarantine: they could never be found again.
+    """
     df = apply_mapping(standardize_columns(raw), mapping or {})
     key = [k for k in roles.keys if k in df.columns]
     if not key:
@@ -99,11 +102,12 @@ def generic_batch(
     df = with_row_checksum(df, updated)
     order = dict(ingested=updated, batch=updated, record="_record_checksum")
     state = target if target is not None else df.limit(0)
+    rules = [("MISSING_KEY", " OR ".join(f"`{k}` IS NULL" for k in key))]
     result = silver_batch(
-        df, evolve(state, df), key, (), updated, "_record_checksum", None, ingested_at, **order
+        df, evolve(state, df), key, rules, updated, "_record_checksum", None, ingested_at, **order
     )
     repeats = result.metrics.withColumn(
-        "repeated", F.col("source_rows") - F.col("batch_conflicts") - F.col("deduplicated")
+        "repeated", F.col("valid_rows") - F.col("batch_conflicts") - F.col("deduplicated")
     )
     return BatchResult(result.candidate, result.quarantine, repeats, result.classes)
 

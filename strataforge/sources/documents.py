@@ -1,15 +1,19 @@
-"""Tables inside word-processor documents, parsed where the files are read."""
+"""Tables inside word-processor documents: Python opens the files, Spark expressions read their cells."""
 
 from __future__ import annotations
 
 import io
-import re
 import zipfile
+import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 from xml.etree import ElementTree
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+
+from strataforge.functions.text import document_period
 
 # Words in headers, the columns they announce, and texts that are not codes.
 NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -24,77 +28,94 @@ COLUMN_WORDS = (
     ("cause", ("NGUYÊN NHÂN", "NGUYEN NHAN")),
     ("action", ("HÀNH ĐỘNG", "KHẮC PHỤC", "HANH DONG")),
 )
+CODE_HEADER = "MA"
 NOT_CODES = ("N/A", "STT", "TT", "MÃ", "MA")
 EMPTY = {"cause": "", "action": ""}
 ABSENT = "N/A"
-PERIOD_IN_TEXT = re.compile(r"(?:Q|QUÝ|QUY)\s*([1-4])\s*(?:/|-|NĂM|NAM)\s*(\d{4})", re.IGNORECASE)
-YEAR_IN_TEXT = re.compile(r"(?:NĂM|NAM)\s*(\d{4})", re.IGNORECASE)
 
-ROW_SCHEMA = "path string, row_no int, period string, " + ", ".join(f"{n} string" for n, _ in COLUMN_WORDS)
+CELLS = pa.list_(pa.list_(pa.list_(pa.string())))
+UNREADABLE = (zipfile.BadZipFile, zlib.error, KeyError, EOFError, RuntimeError, ElementTree.ParseError)
 
 
 def _text(node) -> str:
     return "".join(t.text or "" for t in node.iter(f"{NS}t")).strip()
 
 
-def _column_of(header: str) -> str | None:
-    if header == "MA":
-        return "code"
-    return next((name for name, words in COLUMN_WORDS if any(w in header for w in words)), None)
+def _content(file: bytes) -> tuple[str | None, str | None, list]:
+    """What stopped the reading, the text of all paragraphs, and the cells of all tables."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(file or b"")) as package:
+            root = ElementTree.fromstring(package.read("word/document.xml"))
+    except UNREADABLE as error:
+        return type(error).__name__, None, []
+    tables = [[[_text(cell) for cell in line.iter(f"{NS}tc")] for line in table.iter(f"{NS}tr")] for table in root.iter(f"{NS}tbl")]
+    return None, "\n".join(_text(p) for p in root.iter(f"{NS}p")), tables
 
 
-def _period(root) -> str | None:
-    whole = "\n".join(_text(p) for p in root.iter(f"{NS}p"))
-    quarter = PERIOD_IN_TEXT.search(whole)
-    if quarter:
-        return f"Q{quarter[1]}/{quarter[2]}"
-    year = YEAR_IN_TEXT.search(whole)
-    return f"NĂM {year[1]}" if year else None
+def read_documents(documents: DataFrame) -> DataFrame:
+    """(path, error, text, tables): one row per document of (path, content); every task opens the files it reads.
 
+    ``error`` names what made a document unreadable, else it is NULL.
+    """
 
-def parse_document(content: bytes) -> list[dict]:
-    """Rows of all recognised tables of one document; an unreadable document has none."""
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as package:
-            root = ElementTree.fromstring(package.read("word/document.xml"))
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-        return []
-    period, rows = _period(root), []
-    for table in root.iter(f"{NS}tbl"):
-        lines = [[_text(c) for c in line.iter(f"{NS}tc")] for line in table.iter(f"{NS}tr")]
-        if len(lines) < 2:
-            continue
-        headers = [h.upper() for h in lines[0]]
-        if not any(w in " ".join(headers) for w in TABLE_WORDS):
-            continue
-        places: dict[str, int] = {}
-        for i, header in enumerate(headers):
-            name = _column_of(header)
-            if name:
-                places.setdefault(name, i)
-        if "code" not in places:
-            continue
-        for cells in lines[1:]:
-            values = {n: cells[i] for n, i in places.items() if i < len(cells) and cells[i]}
-            code = values.get("code", "")
-            if len(code) < 2 or code.upper() in NOT_CODES:
-                continue
-            row = {n: values.get(n, EMPTY.get(n, ABSENT)) for n, _ in COLUMN_WORDS}
-            rows.append({"row_no": len(rows) + 1, "period": period, **row})
-    return rows
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_content(file) for file in batch.column(1).to_pylist()]
+            errors, texts, tables = ([f[i] for f in found] for i in range(3))
+            yield pa.record_batch(
+                {"path": batch.column(0), "error": pa.array(errors, pa.string()), "text": pa.array(texts, pa.string()), "tables": pa.array(tables, CELLS)}
+            )
 
+    return documents.select("path", "content").mapInArrow(run, "path string, error string, text string, tables array<array<array<string>>>")
 
-def extract_tables(documents: DataFrame) -> DataFrame:
-    """Rows of the tables in (path, content) documents; every task parses the files it reads."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in ROW_SCHEMA.split(", ")]
-        for batch in batches:
-            found = [
-                {"path": path, **row}
-                for path, content in zip(batch["path"], batch["content"])
-                for row in parse_document(content)
-            ]
-            yield pd.DataFrame(found, columns=names)
-
-    return documents.select("path", "content").mapInPandas(parse, ROW_SCHEMA)
+def _any_word(text: Column, words) -> Column:
+    return reduce(or_, [text.contains(w) for w in words])
+
+
+def _role(header: Column) -> Column:
+    """The column a header announces; the first entry of the list that fits, else NULL."""
+    role = F.when(header == CODE_HEADER, "code")
+    for name, words in COLUMN_WORDS:
+        role = role.when(_any_word(header, words), name)
+    return role
+
+
+def _rows(table: Column) -> Column:
+    """The rows of one table as structs; none unless its first line is a known header with a code column."""
+    headers = F.transform(F.coalesce(F.get(table, F.lit(0)), F.array().cast("array<string>")), F.upper)
+    roles = F.transform(headers, _role)
+
+    def row(cells: Column) -> Column:
+        values = []
+        for name, _ in COLUMN_WORDS:
+            place = F.array_position(roles, F.lit(name)).cast("int")
+            cell = F.nullif(F.get(cells, F.nullif(place, F.lit(0)) - 1), F.lit(""))
+            values.append(F.coalesce(cell, F.lit("" if name == "code" else EMPTY.get(name, ABSENT))).alias(name))
+        return F.struct(*values)
+
+    def coded(found: Column) -> Column:
+        code = found["code"]
+        return (F.length(code) >= 2) & ~F.upper(code).isin(*NOT_CODES)
+
+    known = _any_word(F.array_join(headers, " "), TABLE_WORDS) & F.array_contains(roles, F.lit("code"))
+    lines = F.slice(table, F.lit(2), F.greatest(F.size(table) - 1, F.lit(0)))
+    return F.filter(F.transform(F.when(known, lines).otherwise(F.slice(table, 1, 0)), row), coded)
+
+
+def table_rows(read: DataFrame) -> DataFrame:
+    """Coded rows of all recognised tables of documents from ``read_documents``, numbered per document."""
+    rows = F.flatten(F.transform("tables", _rows))
+    found = read.where("error IS NULL").select("path", document_period(F.col("text")).alias("period"), F.posexplode(rows))
+    names = [name for name, _ in COLUMN_WORDS]
+    return found.select("path", (F.col("pos") + 1).alias("row_no"), "period", *[F.col(f"col.{n}").alias(n) for n in names])
+
+
+def failed_documents(read: DataFrame) -> DataFrame:
+    """(path, error) of the documents that could not be read."""
+    return read.where("error IS NOT NULL").select("path", "error")
+
+
+def extract_tables(documents: DataFrame) -> DataFrame:
+    """Rows of the tables in (path, content) documents; ``failed_documents`` tells which were unreadable."""
+    return table_rows(read_documents(documents))

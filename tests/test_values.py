@@ -67,6 +67,19 @@ def test_quarter_arithmetic(spark):
     assert one(spark, "Q2/2024", text.next_period) == "Q3/2024"
     assert one(spark, "Q4/2024", text.period_sort_key) == 20244
     assert one(spark, "UNKNOWN_KY", text.period_sort_key) is None
+    assert [one(spark, p, text.next_period) for p in ("T5/2024", "T12/2024", "NĂM 2023", "UNKNOWN_KY")] == ["T6/2024", "T1/2025", "NĂM 2024", None]
+
+
+def test_periods_of_all_forms_do_not_depend_on_row_order(spark):
+    labels = ["other", "NĂM 2022", "Q1/2023", "T4/2023", "Q2/2023", "NĂM 2023", "T5/2024"]
+    rows = [("a", p, float(i + 1)) for i, p in enumerate(labels)]
+    found = []
+    for given in (rows, rows[::-1]):
+        compared = marts.compare_periods(spark.createDataFrame(given, "indicator string, period string, value_num double").coalesce(1))
+        found.append({r.period: r.previous_period for r in compared.collect()})
+        latest = marts.forecast(compared).collect()
+        assert [(r.current_period, r.next_period) for r in latest] == [("T5/2024", "T6/2024")]
+    assert found[0] == found[1] == dict(zip(labels, [None, *labels]))
 
 
 def test_latest_period_is_not_the_largest_text(spark):
