@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from strataforge.llm.graph import components
-from strataforge.llm.text import batches_of, fresh, mix, ready, shingle_set, utf8, word_hashes
+from strataforge.llm.text import batches_of, fresh, let_go, mix, ready, shingle_set, utf8, word_hashes
 from strataforge.session import staged
 
 WORDS = 5  # words of a shingle
@@ -192,8 +192,10 @@ def index(docs: DataFrame, flags: np.ndarray, k: int, percent: int) -> DataFrame
     return docs.mapInArrow(run, "sig long, doc long, n int")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, by comparing the whole sets."""
+def verify(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link, by comparing the whole sets; only texts that occur in a pair travel."""
+    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    texts = staged(rows.join(wanted, "doc", "left_semi"), "texts")
 
     @arrow_udf("boolean")
     def linked(left: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -224,6 +226,14 @@ def sets_in_parts(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.
         yield from sets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
 
 
+def by_class(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents as distinct pairs of the documents that stand for their sets."""
+    for side in ("a", "b"):
+        pairs = pairs.join(members.select(F.col("doc").alias(side), F.col("rep").alias(f"rep_{side}")), side)
+    pairs = pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+    return pairs.where("a < b").distinct()
+
+
 def with_bits(rows: DataFrame, bits: DataFrame, column: str) -> DataFrame:
     """Add the size and parity bits of the document in ``column``, prefixed with its name."""
     return rows.join(bits.select(*[F.col(c).alias(column if c == "doc" else f"{column}_{c}") for c in bits.columns]), column)
@@ -237,8 +247,8 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wo
     link when 100 * intersection >= percent * union; the component is the smallest
     id reachable.
 
-    Equal sets are one class, whose smallest id stands for it.  Candidates are
-    documents with a common signature (see ``signatures``).  First every document
+    Equal sets are one class, whose smallest id stands for it and is the one
+    compared.  Candidates are documents with a common signature (see ``signatures``).  First every document
     is compared with the smallest one of each of its signatures, which joins
     groups of copies without pairing their members; then only pairs that are
     still in different components are compared.  Every link lies within a
@@ -270,29 +280,34 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wo
     buckets = sigs.groupBy("sig").agg(F.min(F.struct("doc", "n")).alias("pivot"), F.count(F.lit(1)).alias("size"))
     buckets = staged(buckets.where("size > 1").select("sig", F.col("pivot.doc").alias("pivot"), F.col("pivot.n").alias("m")), "buckets")
     shared = staged(sigs.join(buckets, "sig").select("sig", "doc", "n", "pivot", "m"), "shared")
+    let_go(docs.sparkSession)
 
     def alike(n: str, m: str):
         return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
     stars = shared.where((F.col("doc") != F.col("pivot")) & alike("n", "m")).select(F.least("pivot", "doc").alias("a"), F.greatest("pivot", "doc").alias("b")).distinct()
     known = staged(bits, "parities")
-    stars = with_bits(with_bits(stars.join(same, ["a", "b"], "left_anti"), known, "a"), known, "b")
+    stars = with_bits(with_bits(by_class(stars, members), known, "a"), known, "b")
     stars = staged(stars.where(may_link("a_", "b_", "a_size", "b_size", percent)).select("a", "b"), "stars")
-    used = staged(shared.select("doc").distinct(), "used")
-    texts = staged(rows.join(used, "doc", "left_semi"), "texts")
-    links = staged(verify(stars, texts, words, percent), "links")
+    let_go(docs.sparkSession)
+    links = staged(verify(stars, rows, words, percent), "links")
+    let_go(docs.sparkSession)
     first = components(links.union(same))
 
-    # what the stars left open: members of one bucket in different components
-    labelled = shared.select("sig", "doc", "n").join(first.withColumnRenamed("node", "doc"), "doc", "left")
-    labelled = staged(labelled.select("sig", "doc", "n", F.coalesce("component", "doc").alias("c")), "labelled")
+    # what the stars left open: sets of one bucket in different components
+    known_as = members.join(first.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "rep", F.coalesce("component", "rep").alias("c"))
+    labelled = shared.select("sig", "doc", "n").join(known_as, "doc")
+    labelled = staged(labelled.select("sig", F.col("rep").alias("doc"), "n", "c"), "labelled")
+    let_go(docs.sparkSession)
     mixed = labelled.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("sig")
-    open_rows = staged(with_bits(labelled.join(mixed, "sig", "left_semi"), known, "doc"), "open")
+    open_rows = staged(with_bits(labelled.join(mixed, "sig", "left_semi").distinct(), known, "doc"), "open")
     left, right = open_rows.alias("l"), open_rows.alias("r")
     rest = left.join(right, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.c") < F.col("r.c")) & alike("l.n", "r.n") & may_link("l.doc_", "r.doc_", "l.n", "r.n", percent))
     rest = rest.select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b")).distinct()
     rest = staged(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    more = staged(verify(rest, texts, words, percent), "more-links")
+    let_go(docs.sparkSession)
+    more = staged(verify(rest, rows, words, percent), "more-links")
+    let_go(docs.sparkSession)
     final = components(links.union(same).union(more)) if not more.isEmpty() else first
 
     answer = marks.join(final.withColumnRenamed("node", "doc"), "doc", "left")
