@@ -37,13 +37,25 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
 PARITY = [f"p{i}" for i in range(8)]  # 512 bits
 
 
-def parity(shingles: np.ndarray) -> np.ndarray:
-    """512 bits, each telling whether an odd number of the shingles fell on it.
+BINS = 512
+
+
+def binned(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each of 512 bins by hash."""
+    return np.bincount((mix(shingles + np.uint64(7)) >> np.uint64(55)).astype(np.int64), minlength=BINS)
+
+
+def parity(counts: np.ndarray) -> np.ndarray:
+    """512 bits, each telling whether a bin's count is odd.
 
     Sets that differ in d shingles differ in d of these bits at most.
     """
-    odd = np.bincount((mix(shingles + np.uint64(7)) >> np.uint64(55)).astype(np.int64), minlength=512) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
+def profile(counts: np.ndarray) -> bytes:
+    """The counts, 255 at most.  Between sets that differ in d shingles their differences add up to d at most."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
 def may_link(left: str, right: str, n: str, m: str, percent: int):
@@ -61,15 +73,17 @@ def fingerprints(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc", "n", "f1", "f2", *PARITY]
-        kind = pa.schema([*((c, pa.int64()) for c in names), ("chunk", pa.int32()), ("counts", pa.binary())])
+        kind = pa.schema([*((c, pa.int64()) for c in names), ("profile", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
         table = np.zeros(1 << TABLE_BITS, np.uint32)
         seen: set[tuple[int, int]] = set()
         for part, data, offsets in batches_of(batches, "text", SLICE_BYTES):
-            rows, bits, fresh_sets = [], [], []
+            rows, bits, profiles, fresh_sets = [], [], [], []
             for shingles in sets_of(data, offsets, k):
                 mark = fingerprint(shingles)
                 rows.append((len(shingles), *mark))
-                bits.append(parity(shingles))
+                counts = binned(shingles)
+                bits.append(parity(counts))
+                profiles.append(profile(counts))
                 if mark not in seen:
                     seen.add(mark)
                     fresh_sets.append(shingles)
@@ -78,14 +92,14 @@ def fingerprints(docs: DataFrame, k: int) -> DataFrame:
             n, f1, f2 = zip(*rows)
             size = len(rows)
             known = [part.column(0), *(pa.array(x, pa.int64()) for x in (n, f1, f2)), *(pa.array(x) for x in np.array(bits).T.copy())]
-            yield pa.record_batch([*known, pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], schema=kind)
+            yield pa.record_batch([*known, pa.array(profiles, pa.binary()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], schema=kind)
         if seen:
             chunks = table.reshape(-1, COUNT_CHUNK)
             nulls = pa.nulls(len(chunks), pa.int64())
-            yield pa.record_batch([*[nulls] * len(names), pa.array(np.arange(len(chunks)), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], schema=kind)
+            yield pa.record_batch([*[nulls] * len(names), pa.nulls(len(chunks), pa.binary()), pa.array(np.arange(len(chunks)), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], schema=kind)
 
     bits = ", ".join(f"{p} long" for p in PARITY)
-    return docs.mapInArrow(run, f"doc long, n long, f1 long, f2 long, {bits}, chunk int, counts binary")
+    return docs.mapInArrow(run, f"doc long, n long, f1 long, f2 long, {bits}, profile binary, chunk int, counts binary")
 
 
 def frequent_flags(counted: DataFrame) -> np.ndarray:
@@ -192,10 +206,37 @@ def index(docs: DataFrame, flags: np.ndarray, k: int, percent: int) -> DataFrame
     return docs.mapInArrow(run, "sig long, doc long, n int")
 
 
-def verify(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, by comparing the whole sets; only texts that occur in a pair travel."""
-    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    texts = staged(rows.join(wanted, "doc", "left_semi"), "texts")
+def in_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of documents that occur in a pair."""
+    return rows.join(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "doc", "left_semi")
+
+
+def near(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their profiles do not rule out; no linked pair is ruled out.
+
+    Parities fill up in sets of thousands of shingles, counts still tell those apart.
+    An id that several sets share is never ruled out.
+    """
+
+    @arrow_udf("boolean")
+    def possible(a: pa.Array, b: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
+        counts = [np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for x in (a, b)]
+        differ = np.abs(counts[0] - counts[1]).sum(axis=1, dtype=np.int64)
+        sizes = n.to_numpy(zero_copy_only=False) + m.to_numpy(zero_copy_only=False)
+        return pa.array((100 + percent) * differ <= (100 - percent) * sizes)
+
+    one_set = F.min(F.struct("f1", "f2")) == F.max(F.struct("f1", "f2"))
+    known = in_pairs(marks, pairs).groupBy("doc").agg(one_set.alias("one"), F.max("n").alias("n"), F.max("profile").alias("profile"))
+    for side in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("doc").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("one", "n", "profile")]), side)
+    pairs = pairs.withColumn("possible", possible("profile_a", "profile_b", "n_a", "n_b"))
+    return pairs.where("possible OR NOT one_a OR NOT one_b").select("a", "b")
+
+
+def verify(pairs: DataFrame, rows: DataFrame, marks: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link, by comparing the whole sets; only texts of pairs that may link travel."""
+    pairs = staged(near(pairs, marks, percent), "near")
+    texts = staged(in_pairs(rows, pairs), "texts")
 
     @arrow_udf("boolean")
     def linked(left: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -265,6 +306,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wo
     rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     counted = staged(fingerprints(rows, words), "fingerprints")
     marks = counted.where("chunk IS NULL").select("doc", "n", "f1", "f2")
+    profiles = counted.where("chunk IS NULL AND n > 0").select("doc", "n", "f1", "f2", "profile")
     flags = frequent_flags(counted)
     named = marks.where("doc IS NOT NULL AND n > 0")
     # an id that several sets share has no bits, and is never ruled out by them
@@ -290,7 +332,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wo
     stars = with_bits(with_bits(by_class(stars, members), known, "a"), known, "b")
     stars = staged(stars.where(may_link("a_", "b_", "a_size", "b_size", percent)).select("a", "b"), "stars")
     let_go(docs.sparkSession)
-    links = staged(verify(stars, rows, words, percent), "links")
+    links = staged(verify(stars, rows, profiles, words, percent), "links")
     let_go(docs.sparkSession)
     first = components(links.union(same))
 
@@ -306,7 +348,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wo
     rest = rest.select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b")).distinct()
     rest = staged(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     let_go(docs.sparkSession)
-    more = staged(verify(rest, rows, words, percent), "more-links")
+    more = staged(verify(rest, rows, profiles, words, percent), "more-links")
     let_go(docs.sparkSession)
     final = components(links.union(same).union(more)) if not more.isEmpty() else first
 
