@@ -1,8 +1,10 @@
 """A ledger of table versions: audited publication, bundles, tags, checkpoints.
 
-Each commit is one small file below ``<root>/_ledger/version=n``.  Its write
-fails when version n exists, so a writer that started from an older state
-cannot publish.  Tables are never changed in place: a commit names the folder
+Each commit is one small file below ``<root>/_ledger/version=n``.  It is written
+apart and renamed there, which fails when version n exists, so a writer that
+started from an older state cannot publish, and one that dies blocks nobody.
+The rename is one step where the store has such a step, as HDFS does; on a store
+without it, and on local disks, writers need a lock of their own.  Tables are never changed in place: a commit names the folder
 that holds the live version of each table, or, for a table split by key
 buckets, the folder of each bucket.
 """
@@ -17,7 +19,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from strataforge.session import staged
-from strataforge.sources.sinks import exists
+from strataforge.sources.sinks import exists, rename_new
 
 Gate = Callable[[DataFrame], DataFrame]  # candidate -> rows (check, failures)
 
@@ -77,10 +79,10 @@ class Ledger:
         )
         version = expected + 1
         frame = self.spark.createDataFrame([row], _SHAPE).coalesce(1)
-        folder = f"{self._folder}/version={version}"
-        if exists(self.spark, folder):
-            raise VersionConflict(f"{folder} is being written or was left unfinished by another writer")
-        frame.write.mode("errorifexists").json(folder)
+        written = f"{self.root}/_pending/{uuid.uuid4().hex}"
+        frame.write.mode("errorifexists").json(written)
+        if not rename_new(self.spark, written, f"{self._folder}/version={version}"):
+            raise VersionConflict(f"version {version} was published by another writer")
         return version
 
     def stage(self, table: str, df: DataFrame) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
@@ -78,6 +79,23 @@ def write_csv(df: DataFrame, path: str) -> None:
     )
 
 
+def rename_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder; False, and nothing done, when the target exists."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    old, new = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    files = new.getFileSystem(conf)
+    files.mkdirs(new.getParent())
+    old, new = files.makeQualified(old), files.makeQualified(new)
+    keep = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), conf).rename(old, new, keep)
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on whichever file system it names."""
     jvm = spark.sparkContext._jvm

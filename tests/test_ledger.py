@@ -44,6 +44,27 @@ def test_a_second_writer_is_refused(ledger):
     assert ledger.head()["tables"] == {"t": "x"}
 
 
+def test_a_writer_that_read_too_early_is_refused(ledger, monkeypatch):
+    early = ledger.head()
+    ledger.commit(0, {"t": "x"})
+    monkeypatch.setattr(ledger, "head", lambda: early)
+    with pytest.raises(VersionConflict):
+        ledger.commit(0, {"t": "y"})
+    monkeypatch.undo()
+    assert ledger.head()["version"] == 1 and ledger.head()["tables"] == {"t": "x"}
+
+
+def test_a_writer_that_dies_blocks_nobody(ledger, monkeypatch):
+    def dies(*_):
+        raise RuntimeError("lost before the rename")
+
+    monkeypatch.setattr("strataforge.sources.ledger.rename_new", dies)
+    with pytest.raises(RuntimeError):
+        ledger.commit(0, {"t": "x"})
+    monkeypatch.undo()
+    assert ledger.head()["version"] == 0 and ledger.commit(0, {"t": "y"}) == 1
+
+
 def test_failed_gate_keeps_the_live_version_and_the_candidate(spark, ledger):
     ledger.write_audit_publish("t", table(spark, 3), nonempty)
     with pytest.raises(GateFailure) as refused:
