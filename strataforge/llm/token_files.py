@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strataforge.llm.identity import ordered_key
-from strataforge.llm.text import fresh, ready, slices, utf8
+from strataforge.llm.text import SPACE, fresh, ready, slices, utf8
 
 END = 1
 ROW_GROUP_BYTES = 64 << 20
@@ -21,8 +20,10 @@ SLICE_BYTES = 4 << 20
 CACHE_WORDS = 400_000  # word encodings a Python worker keeps
 SCHEMA = "doc long, part int, at long, n_tokens long, ids array<int>"
 FILE = pa.schema([("doc", pa.int64()), ("part", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
-#: a closing mark behind a letter is a word of its own to the tokenizer
-CLOSED = re.compile(rb"([A-Za-z])([.,;:!?])(?=[ \t\n\r\x0b\x0c]|$)")
+LETTERS, CLOSING, LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+LETTERS[[*range(65, 91), *range(97, 123)]] = True
+CLOSING[list(b".,;:!?")] = True
+LOWER[65:91] += 32
 
 
 class WordTokens:
@@ -101,31 +102,45 @@ def tokens_of(definition: str) -> WordTokens:
     return _tokens[key]
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Units that can be encoded apart: cut at ASCII white space and before closing marks."""
-    if b"\xcc" not in text and b"\xcd" not in text:  # no combining mark, so case folds letter by letter
-        text = text.lower()
-    return CLOSED.sub(rb"\1 \2", text).split()
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Units that can be encoded apart, and the first unit of each text: cut at ASCII white space and before closing marks.
+
+    A closing mark between a letter and white space, or the text's end, is a
+    word of its own to the tokenizer.
+    """
+    folded = LOWER[data]
+    marks = np.flatnonzero((data == 0xCC) | (data == 0xCD))
+    for i in np.unique(np.searchsorted(offsets, marks, "right") - 1).tolist():
+        # with a combining mark case may not fold letter by letter
+        folded[offsets[i] : offsets[i + 1]] = data[offsets[i] : offsets[i + 1]]
+    inside = ~SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)  # whether a text begins here
+    edge[offsets] = True
+    first = inside.copy()
+    closing = np.flatnonzero(CLOSING[data])
+    closing = closing[(closing > 0) & ~edge[closing]]
+    closing = closing[LETTERS[data[closing - 1]]]
+    behind = np.minimum(closing + 1, len(data) - 1)
+    closing = closing[edge[closing + 1] | ~inside[behind]]
+    first[1:] &= ~inside[:-1] | edge[1:-1]
+    first[closing] = True
+    starts = np.flatnonzero(first)
+    cuts = np.append(np.cumsum(inside)[starts] - 1, np.count_nonzero(inside)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(folded[inside])])
+    return words, np.searchsorted(starts, offsets)
 
 
 def encode_slice(texts: pa.Array, tokens: WordTokens, end: int) -> pa.ListArray:
     """Ids of each text with the end id behind."""
-    data, offsets = utf8(texts)
-    raw = data.tobytes()
-    found: list[bytes] = []
-    ends = [0]
-    for i in range(len(offsets) - 1):
-        found += words_of(raw[offsets[i] : offsets[i + 1]])
-        ends.append(len(found))
-    coded = pa.array(found, pa.binary()).dictionary_encode()
-    del found
+    words, ends = words_of(*utf8(texts))
+    coded = words.dictionary_encode()
     places = tokens.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
     # the end id is one more word behind each text
-    places = np.insert(places, np.array(ends[1:], np.int64), len(tokens.cuts) - 1)
+    places = np.insert(places, ends[1:], len(tokens.cuts) - 1)
     cuts = np.append(tokens.cuts, tokens.cuts[-1] + 1)
-    words = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.append(tokens.ids, np.int32(end)), pa.int32()))
-    placed = words.take(pa.array(places))
-    where = placed.offsets.to_numpy()[np.array(ends) + np.arange(len(ends))]
+    known = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.append(tokens.ids, np.int32(end)), pa.int32()))
+    placed = known.take(pa.array(places))
+    where = placed.offsets.to_numpy()[ends + np.arange(len(ends))]
     return pa.ListArray.from_arrays(pa.array(where, pa.int32()), placed.values)
 
 
