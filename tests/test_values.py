@@ -275,3 +275,9 @@ def test_average_names():
 
 def test_shared_folder_is_required_on_a_cluster(spark):
     assert scratch(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_the_key_may_be_the_last_of_many_columns_by_name(spark):
+    fixed = [F.lit(1).alias(f"z{i:02}_id") for i in range(13)]
+    found = star.infer_key(spark.range(50).select(*fixed, F.col("id").alias("a_id")))
+    assert found.key == ("a_id",) and found.candidates == (("a_id",),)
