@@ -488,6 +488,46 @@ def test_personal_data(spark, odd):
     assert personal_data.find(odd.limit(0)).count() == 0
 
 
+def test_tagger_adds_spans_the_patterns_miss(spark):
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("aehinorst") for _ in range(rnd.randint(2, 8)))
+    digits = lambda n: "".join(rnd.choice("123456789") for _ in range(n))
+    card = lambda: next(d for d in iter(lambda: "4" + digits(15), "") if personal_data.luhn(d))
+    known = {
+        "email": lambda: f"{word()}.{word()}@{word()}.example.com",
+        "phone": lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}",
+        "card": lambda: " ".join(re.findall("....", card())),
+        "ip": lambda: ".".join(str(rnd.randint(1, 255)) for _ in range(4)),
+    }
+    hidden = {
+        "email": lambda: f"{word()} at {word()} dot org",
+        "phone": lambda: f"({digits(3)}) {digits(3)}-{digits(4)}",
+        "card": lambda: ".".join(re.findall("....", card())),
+    }
+    clean = [lambda: str(rnd.randint(1, 99999)), lambda: f"20{digits(2)}-0{digits(1)}-1{digits(1)}", lambda: f"1{digits(1)}:4{digits(1)}", lambda: "look at the dot there"]
+    rows, want = [], {}
+    for i in range(1600):
+        parts = [word() for _ in range(40)]
+        if i < 1000:
+            parts[20] = known[list(known)[i % 4]]()
+        elif i < 1300:
+            parts[20] = rnd.choice(clean)()
+        elif i < 1450:
+            kind = list(hidden)[i % 3]
+            parts[20] = hidden[kind]()
+            start = len(" ".join(parts[:20])) + 1
+            want[i] = (kind, start, start + len(parts[20]))
+        else:
+            parts[20] = rnd.choice(clean)()
+        rows.append((i, " ".join(parts)))
+    found = personal_data.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    spans = {r.doc_id: [tuple(s) for s in r.found.spans] for r in found}
+    assert all(not r.found.base for r in found if r.doc_id in want)
+    hit = {k: np.mean([any(s[0] == k and s[1] < w[2] and w[1] < s[2] for s in spans[i]) for i, w in want.items() if w[0] == k]) for k in hidden}
+    assert min(hit.values()) >= 0.6, hit
+    assert np.mean([bool(spans[i]) for i in range(1000, 1600) if i not in want]) <= 0.02
+
+
 def test_reply_trees(spark):
     rnd = random.Random(11)
     nodes = []
