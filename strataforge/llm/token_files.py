@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -26,8 +27,33 @@ CLOSING[list(b".,;:!?")] = True
 LOWER[65:91] += 32
 
 
+# the splitting that the word-wise way below relies on
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRETOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def word_wise(definition: str) -> bool:
+    """Whether a tokenizer is the lower-casing one whose texts can be encoded word by word."""
+    d = json.loads(definition)
+    return (
+        (d.get("normalizer") or {}).get("normalizers") == NORMALIZERS
+        and (d.get("pre_tokenizer") or {}).get("pretokenizers") == PRETOKENIZERS
+        and d["model"].get("type") == "BPE"
+        and d["model"].get("end_of_word_suffix") == "</w>"
+        and not d["model"].get("continuing_subword_prefix")
+        and not d["model"].get("dropout")
+        and all(
+            t["content"].startswith("<|") and not any(c.isspace() for c in t["content"]) and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"])
+            for t in d.get("added_tokens", [])
+        )
+    )
+
+
 class WordTokens:
-    """Encodings of words by a tokenizer that never joins two of them.
+    """Encodings of words by a tokenizer that never joins two of them (see ``word_wise``); others encode whole texts.
 
     The tokenizer's own splitting parts text at white space and between a
     letter and a punctuation mark, and it folds case.  So a text's ids are those
@@ -41,6 +67,9 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.word_wise = word_wise(definition)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -113,6 +142,13 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     for i in np.unique(np.searchsorted(offsets, marks, "right") - 1).tolist():
         # with a combining mark case may not fold letter by letter
         folded[offsets[i] : offsets[i + 1]] = data[offsets[i] : offsets[i + 1]]
+    # control tokens are matched on the raw text, so the case of what may be one stays
+    bars = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+    if len(bars):
+        spaces = np.flatnonzero(SPACE[data])
+        bounds = np.union1d(np.union1d(spaces, offsets), [len(data)])
+        for i in np.unique(np.searchsorted(bounds, bars, "right")).tolist():
+            folded[bounds[i - 1] : bounds[i]] = data[bounds[i - 1] : bounds[i]]
     inside = ~SPACE[data]
     edge = np.zeros(len(data) + 1, bool)  # whether a text begins here
     edge[offsets] = True
@@ -132,6 +168,8 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
 
 def encode_slice(texts: pa.Array, tokens: WordTokens, end: int) -> pa.ListArray:
     """Ids of each text with the end id behind."""
+    if not tokens.word_wise:
+        return pa.array([[*ids, end] for ids in tokens.encode([t or "" for t in texts.to_pylist()])], pa.list_(pa.int32()))
     words, ends = words_of(*utf8(texts))
     coded = words.dictionary_encode()
     places = tokens.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]

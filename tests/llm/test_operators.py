@@ -300,6 +300,28 @@ def test_token_files(spark, odd, tmp_path):
     assert token_files.read_tokens(spark, empty).count() == 0
 
 
+def test_token_files_keep_control_tokens_and_other_tokenizers(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    texts = ["A <|ENDOFTEXT|> b", "x<|EndOfText|>Y Z", "Foo\n<|STARTOFTEXT|>", "<|endoftext|>A <|", "<|", "", None, "Plain Words.", "|> <|Bar|> É"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    with open(WORD_TOKENS, encoding="utf-8") as file:
+        definition = json.load(file)
+    cased = tmp_path / "cased.json"
+    cased.write_text(json.dumps(definition | {"normalizer": None}), encoding="utf-8")
+    for tokenizer, folder in ((WORD_TOKENS, "lower"), (str(cased), "cased")):
+        plain, at = Tokenizer.from_file(tokenizer), 0
+        path = token_files.write_tokens(df, str(tmp_path / folder), tokenizer)
+        for r, t in zip(token_files.read_tokens(spark, path).orderBy("doc").collect(), texts, strict=True):
+            want = plain.encode(t or "", add_special_tokens=False).ids + [1]
+            assert (folder, r.start, r.ids) == (folder, at, want)
+            at += len(want)
+    with open(WORD_TOKENS, encoding="utf-8") as file:
+        assert token_files.word_wise(file.read()) and not token_files.word_wise(cased.read_text(encoding="utf-8"))
+
+
 def test_unique_key(odd):
     keyed = identity.ordered_key(odd, "doc_id", "text", "k").collect()
     assert len({r.k for r in keyed}) == len(keyed)
