@@ -281,3 +281,10 @@ def test_the_key_may_be_the_last_of_many_columns_by_name(spark):
     fixed = [F.lit(1).alias(f"z{i:02}_id") for i in range(13)]
     found = star.infer_key(spark.range(50).select(*fixed, F.col("id").alias("a_id")))
     assert found.key == ("a_id",) and found.candidates == (("a_id",),)
+
+
+def test_key_pair_with_the_worst_names(spark):
+    ids = [(F.col("id") % (i + 2)).alias(f"{c}_id") for i, c in enumerate("abcdefgh")]
+    days = [(F.col("id") % 20).alias("region"), F.floor(F.col("id") / 20).alias("day")]
+    found = star.infer_key(spark.range(1000).select(*ids, *days, F.lit(None).cast("string").alias("none")))
+    assert set(found.key) == {"region", "day"} and found.confidence >= star.SAFE_FROM
