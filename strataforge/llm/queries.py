@@ -8,7 +8,9 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strataforge.functions.windows import rank_in_order
-from strataforge.llm import bpe, chat, decontaminate, jaccard_join, ordinal, personal_data, quality_rules, sharding, suffix_dedup, token_files
+from strataforge.llm import (
+    bpe, chat, decontaminate, jaccard_join, ordinal, periodic_runs, personal_data, quality_rules, resampling, sharding, suffix_dedup, token_files,
+)
 from strataforge.session import prepare, scratch, staged
 
 RANKS, WORD_TOKENS = path("byte_bpe_50k.tiktoken"), path("word_bpe_49k.json")
@@ -116,6 +118,38 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(personal_data.joined(base), 256).alias("base_sha256"), personal_data.joined(F.col("found.spans")).alias("spans"))
 
 
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs, target = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark")
+    drawn = resampling.resample(docs, target, longest=1, buckets=10_000, seed=2024, percent=10, least_words=20)
+    return drawn.select("doc_id", "drawn.n_features", "drawn.weight", "drawn.score", "drawn.rank")
+
+
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = docs.withColumn("h", h).withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    sized = split.withColumn("n", n).withColumn("a", F.when(F.col("n") > 0, (g % F.col("n")).cast("int")))
+    sized = sized.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    repeated = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    periodic = F.array_join(F.concat(F.slice("words", 1, F.col("a")), F.slice(repeated, F.lit(1), rest)), " ")
+    planted = sized.select("doc_id", F.when(F.col("n") > 0, periodic).otherwise(F.col("text")).alias("text"))
+    found = periodic_runs.periodic_runs(planted).select("doc_id", "periodic.runs", "periodic.collapsed")
+    greatest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("less"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("top", greatest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.before")).alias("start"),
+        F.col("top.length").alias("length"),
+        (-F.col("top.less")).alias("period"),
+        F.floor(1000 * F.col("top.length") / -F.col("top.less")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_quality": op1,
     "op2_ngram_jaccard": op2,
@@ -127,10 +161,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_lists": op8,
     "op9_likelihood_rules": op9,
     "op10_bilstm_crf": op10,
+    "op11_segment_resampling": op11,
+    "op13_diagonal_runs": op13,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: crc32 in SQL: the table of the 256 remainders, and the fold over a text's bytes
+CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce(list_prepend(n::BIGINT, generate_series(1, 8)), lambda c, step: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY n) AS tab
+  FROM generate_series(0, 255) AS g(n)
+)"""
+CRC = """xor(4294967295, list_reduce(
+  list_prepend(4294967295::BIGINT, list_transform(generate_series(1, 2 * strlen({0}) - 1, 2), lambda i: ('0x' || substr(hex({0}), i, 2))::BIGINT)),
+  lambda c, byte: xor(c // 256, tab[xor(c, byte) % 256 + 1])))"""
+
 ORACLES = {
     "op2_ngram_jaccard": rf"""
 WITH RECURSIVE w AS (
@@ -189,5 +234,64 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(r) + length(x) + 17)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
+""",
+    "op11_segment_resampling": rf"""
+WITH {CRC_TABLE}, w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), d AS (
+  SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS word FROM w) GROUP BY ALL
+), b AS (
+  SELECT word, count(*) AS n FROM (
+    SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark
+  ) GROUP BY ALL
+), bucket AS (
+  SELECT word, {CRC.format("word")} % 10000 AS k FROM (SELECT word FROM d UNION SELECT word FROM b), crc_table
+), s AS (
+  SELECT k, sum(n) AS s FROM d JOIN bucket USING (word) GROUP BY k
+), t AS (
+  SELECT k, sum(n) AS t FROM b JOIN bucket USING (word) GROUP BY k
+), gain AS (
+  SELECT k, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)))) AS gain FROM s FULL JOIN t USING (k)
+), weight AS (
+  SELECT doc_id, floor(sum(n * gain) / sum(n))::BIGINT AS weight FROM d JOIN bucket USING (word) JOIN gain USING (k) GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, len(ws) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM w LEFT JOIN weight USING (doc_id)
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS able FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * able // 100 THEN place END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+""",
+    "op13_diagonal_runs": rf"""
+WITH {CRC_TABLE}, w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, {CRC.format("doc_id::VARCHAR")} AS h FROM documents, crc_table
+), p AS (
+  SELECT *, a, 1 + (len(ws) - a) // (3 + (h // 10) % 8) AS p
+  FROM (SELECT *, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) ELSE len(ws) END AS a FROM w)
+), t AS (
+  SELECT doc_id, i, ws[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1] AS word
+  FROM (SELECT doc_id, ws, a, p, unnest(generate_series(0, len(ws) - 1)) AS i FROM p WHERE len(ws) > 0)
+), cells AS (
+  SELECT x.doc_id, x.i - y.i AS q, x.i FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i < x.i
+), islands AS (
+  SELECT doc_id, q, min(i) - q AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM cells) GROUP BY doc_id, q, island
+  HAVING count(*) >= greatest(q, 12 - q)
+), runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM islands GROUP BY doc_id, start, length
+), dropped AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(start + period, start + length - 1)) AS i FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM t ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id
+), said AS (
+  SELECT doc_id, count(*) AS n, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    max({{'length': length, 'before': -start, 'less': -period}}) AS top
+  FROM runs GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_runs, -top.before AS start, top.length AS length, -top.less AS period,
+  1000 * top.length // -top.less AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM w LEFT JOIN said USING (doc_id) LEFT JOIN kept USING (doc_id)
 """,
 }

@@ -126,9 +126,21 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words ``[^\\x20\\x09-\\x0D]+``, and the first word number of each text."""
-    inside = ~SPACE[data]
+LINE_END = np.zeros(256, bool)
+LINE_END[0x0A] = True
+#: bytes outside the words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of texts whose A-Z count as a-z
+NO_LETTER = np.arange(256) < 128
+NO_LETTER[[*b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = False
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
+
+
+def word_ranges(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words ``[^\\x20\\x09-\\x0D]+``, and the first word number of each text.
+
+    Another ``space`` gives the words between other bytes.
+    """
+    inside = ~space[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
@@ -141,6 +153,15 @@ def word_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_array(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE, fold_case: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """All words as one Arrow array, and the first word number of each text."""
+    starts, ends, at = word_ranges(data, offsets, space)
+    body = data[~space[data]]
+    cuts = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    buffers = [None, pa.py_buffer(cuts), pa.py_buffer(FOLD[body] if fold_case else body)]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), buffers), at
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, fold_case: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and the first word number of each text."""
     starts, ends, at = word_ranges(data, offsets)
