@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strataforge.functions.windows import rank_in_order
 from strataforge.llm import (
-    bpe, chat, decontaminate, jaccard_join, ordinal, periodic_runs, personal_data, quality_rules, resampling, sharding, suffix_dedup, token_files,
+    bpe, chat, context_mixing, decontaminate, jaccard_join, ordinal, periodic_runs, personal_data, quality_rules, resampling, sharding, suffix_dedup, token_files,
 )
 from strataforge.session import prepare, scratch, staged
 
@@ -124,6 +124,13 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return drawn.select("doc_id", "drawn.n_features", "drawn.weight", "drawn.score", "drawn.rank")
 
 
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    scored = context_mixing.score_texts(table(spark, folder, "documents").select("doc_id", "text"), ~held)
+    fields = [f"lm.{c}" for c in ("n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")]
+    return scored.select("doc_id", held.alias("held_out"), *fields)
+
+
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -162,6 +169,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_likelihood_rules": op9,
     "op10_bilstm_crf": op10,
     "op11_segment_resampling": op11,
+    "op12_context_mixing": op12,
     "op13_diagonal_runs": op13,
 }
 
