@@ -42,17 +42,17 @@ TIMES = [f"t{i}" for i in range(len(CLOSERS))]
 
 ORDERS = (1, 2, 3, 4, 24)  # bytes before, within the unit; the last is nearly always the whole word so far
 KINDS = len(ORDERS) + 1  # and one predictor by place in the word and class of the byte before
-PRIOR = 0.4  # added to both counts of a bit
+PRIOR = 0.1  # added to both counts of a bit
 CLASS = np.full(257, 1)
 CLASS[[*b"abcdefghijklmnopqrstuvwxyz"]] = 2
 CLASS[[*b"0123456789"]] = 3
 CLASS[0x80:0x100] = 4
 CLASS[256] = 0  # nothing before
 GATES = (8 * (KINDS + 1), 16, 16)  # bit and longest known context; rows seen in the longest; place in the word
-RATE, FIRST_WEIGHT = 0.05, 0.25
+RATE, FIRST_WEIGHT = 0.01, 0.25
 KNOTS, REACH, TRUST = 33, 8.0, 20.0  # of the refining map: its knots over the logits, and how many bits move it
 LEAST = 1e-6  # least probability of a bit
-FIXED = float(1 << 30)  # sums over parts are taken in whole numbers, so their order does not matter
+FIXED = float(1 << 20)  # sums over parts are taken in whole numbers, so their order does not matter
 
 MIXED = "struct<n_tokens:long,n_known:long,train_tokens:long,base_score:double,score:double,bits_per_byte:double>"
 
@@ -78,7 +78,7 @@ def block_rows(block: int, rows: pa.Array, train: np.ndarray, texts: pa.Array, s
     owner = np.repeat(np.arange(n), np.diff(first))
     counts = np.bincount(unit[train[owner]], minlength=8 * size).reshape(size, 8)
     seen = (np.bincount(unit, minlength=8 * size).reshape(size, 8) > 0) @ (1 << np.arange(8))
-    filled = np.diff(words.offsets.to_numpy() if hasattr(words, "offsets") else np.frombuffer(words.buffers()[1], np.int64)) > 0
+    filled = np.diff(np.frombuffer(words.buffers()[1], np.int64)) > 0
     tokens = np.bincount(owner[filled], minlength=n) + 1
 
     def table(size: int, **given) -> pa.RecordBatch:
@@ -167,11 +167,11 @@ def events(words: pa.Array, times: np.ndarray, seen: np.ndarray) -> Events:
     contexts = []
     for kind, width in enumerate(ORDERS):
         low = np.maximum(start, at - width)
-        h = mix(range_hashes(data, low, at) + np.uint64(2 * kind + 1) * STEP + (low == start).astype(np.uint64))
+        h = mix(range_hashes(data, low, at) + np.uint64((2 * kind + 1) * int(STEP) % (1 << 64)) + (low == start).astype(np.uint64))
         contexts.append(h >> np.uint64(8) << np.uint64(8))
     padded = np.append(data, 0).astype(np.int64)
     before = np.where(place > 0, padded[at - 1], 256)
-    h = mix(mix(np.minimum(place, 20).astype(np.uint64) * np.uint64(8) + CLASS[before].astype(np.uint64)) + np.uint64(2 * KINDS + 1) * STEP)
+    h = mix(mix(np.minimum(place, 20).astype(np.uint64) * np.uint64(8) + CLASS[before].astype(np.uint64)) + np.uint64((2 * KINDS + 1) * int(STEP) % (1 << 64)))
     contexts.append(h >> np.uint64(8) << np.uint64(8))
     return Events(word, symbol, weight, place, closing, contexts)
 
@@ -405,14 +405,14 @@ def fit(parts: DataFrame) -> Mixer:
             if weight:
                 values[:WEIGHTS] *= weight
                 values = np.append(values, weight)
-                yield pa.record_batch({"at": np.arange(len(values)), "value": np.rint(values * FIXED / 1024).astype(np.int64) if values.max() > 1e9 else np.rint(values * FIXED / 1024).astype(np.int64)})
+                yield pa.record_batch({"at": np.arange(len(values)), "value": np.rint(values * FIXED).astype(np.int64)})
 
     rows = parts.mapInArrow(run, "at long, value long").groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value")).collect()
     mixer = Mixer.new()
     if rows:
         values = np.zeros(WEIGHTS + 2 * GATES[0] * KNOTS + 1)
         for row in rows:
-            values[row["at"]] = float(row["value"]) * 1024 / FIXED
+            values[row["at"]] = float(row["value"]) / FIXED
         at = 0
         for i, g in enumerate(GATES):
             mixer.weights[i] = (values[at : at + g * KINDS] / values[-1]).reshape(g, KINDS)
