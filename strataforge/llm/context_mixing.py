@@ -8,15 +8,19 @@ each bit; weights chosen by gates mix them in the logistic domain, and an adapti
 refines the result.  Contexts never leave a unit, so a unit has one probability in the
 whole corpus, which is computed once and multiplied by its occurrences.
 
-All that is gathered from the corpus is a table: words with counts, and contexts with
-counts.  Both grow with the training texts and stay distributed.  Texts are handled in
-blocks; a block asks for its distinct words only, a part of the words for its distinct
-contexts, so no task holds more than a block or a part.
+All that is gathered from the corpus are words with counts and contexts with counts.
+Both grow with the training texts and stay distributed.  Texts are handled in
+blocks, which send their distinct units to parts of the alphabet.  A part adds up its
+words; the longest contexts are whole words so far, which a part knows by itself but
+for those that lead to its borders, and only short and border contexts are counted over
+all parts.  A part then prices its units and answers the blocks, so no task holds more
+than a block or a part.  Units travel packed, many in a row.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,23 +28,25 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, StructField, StructType
 
+from strataforge.functions.windows import rank_in_order
 from strataforge.llm.text import FOLD, SPACE, STEP, mix, range_hashes, ready, utf8, with_result
 from strataforge.session import staged
 
-BLOCK_BYTES = 16 << 20  # text whose distinct words are looked up together
-PART_WORDS = 50_000  # words priced together
+BLOCK_BYTES = 16 << 20  # text whose distinct units are looked up together
+PART_WORDS = 48 << 10  # words priced together, about
+SAMPLES = 48  # sampled words of a part, which place its borders
 STEP_WORDS = 512  # words between two updates of the weights
+MERGE_ROWS = 1 << 20  # units a part collects before it adds up equal ones
 END = 0xFF  # closes a text; no UTF-8 text holds this byte
 CLOSERS = np.array([0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, END], np.uint8)
 CLOSED = SPACE.copy()
 CLOSED[END] = True
 CODE = np.zeros(256, np.int64)
 CODE[CLOSERS] = np.arange(len(CLOSERS))
-TIMES = [f"t{i}" for i in range(len(CLOSERS))]
 
-ORDERS = (1, 2, 3, 4, 24)  # bytes before, within the unit; the last is nearly always the whole word so far
+ORDERS = (1, 2, 3, 24)  # bytes before, within the unit; the last is nearly always the whole word so far
 KINDS = len(ORDERS) + 1  # and one predictor by place in the word and class of the byte before
 PRIOR = 0.1  # added to both counts of a bit
 CLASS = np.full(257, 1)
@@ -54,7 +60,51 @@ KNOTS, REACH, TRUST = 33, 8.0, 20.0  # of the refining map: its knots over the l
 LEAST = 1e-6  # least probability of a bit
 FIXED = float(1 << 20)  # sums over parts are taken in whole numbers, so their order does not matter
 
-MIXED = "struct<n_tokens:long,n_known:long,train_tokens:long,base_score:double,score:double,bits_per_byte:double>"
+UNITS = pa.schema([("word", pa.large_binary()), ("code", pa.int8()), ("n", pa.int64())])
+FOLLOWERS = pa.schema([("key", pa.uint64()), ("n", pa.int64())])
+
+
+
+
+def pack(batch: pa.RecordBatch) -> bytes:
+    return pa.compress(batch.serialize(), codec="zstd", asbytes=True) + len(batch.serialize()).to_bytes(8, "little")
+
+
+def unpack(data: bytes, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.ipc.read_record_batch(pa.decompress(data[:-8], int.from_bytes(data[-8:], "little"), codec="zstd"), schema)
+
+
+def pack_numbers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of 0 or more in seven bits a byte, and the bytes each takes."""
+    sizes = 1 + sum((values >> (7 * i) > 0).astype(np.int64) for i in range(1, 9))
+    at = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.uint8)
+    for i in range(int(sizes.max(initial=0))):
+        some = sizes > i
+        out[at[some] + i] = (values[some] >> (7 * i) & 127) | (sizes[some] > i + 1) * 128
+    return out, sizes
+
+
+def unpack_numbers(data: np.ndarray) -> np.ndarray:
+    ends = np.flatnonzero(data < 128) + 1
+    if not len(ends):
+        return np.zeros(0, np.int64)
+    starts = np.concatenate([[0], ends[:-1]])
+    within = np.arange(len(data)) - np.repeat(starts, ends - starts)
+    return np.add.reduceat((data & 127).astype(np.int64) << (7 * within), starts)
+
+
+def binaries(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Byte ranges that follow each other as an Arrow array."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def partial(schema: pa.Schema, size: int, **given) -> pa.RecordBatch:
+    """Rows in which only the given columns are set."""
+    return pa.record_batch([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(size, f.type) for f in schema], schema)
+
+
+# ------------------------------------------------------------------- blocks
 
 
 def units(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -68,69 +118,103 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray,
     return pa.Array.from_buffers(pa.large_binary(), len(at), buffers), CODE[marked[at]], first
 
 
-def block_rows(block: int, rows: pa.Array, train: np.ndarray, texts: pa.Array, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """The distinct words of a block with their training counts, and its texts as numbers of units."""
+def block_rows(block: int, rows: pa.Array, train: np.ndarray, texts: pa.Array, rate: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """One row with the distinct units of a block, sorted, and one for each text with the numbers of its units."""
     data, offsets = utf8(texts)
     words, codes, first = units(data, offsets)
+    filled = np.diff(np.frombuffer(words.buffers()[1], np.int64)) > 0
     coded = words.dictionary_encode()
-    unit = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) << 3 | codes
-    size, n = len(coded.dictionary), len(first) - 1
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    number = rank[coded.indices.to_numpy(zero_copy_only=False)] << 3 | codes
+    distinct, unit = np.unique(number, return_inverse=True)
+    n = len(first) - 1
     owner = np.repeat(np.arange(n), np.diff(first))
-    counts = np.bincount(unit[train[owner]], minlength=8 * size).reshape(size, 8)
-    seen = (np.bincount(unit, minlength=8 * size).reshape(size, 8) > 0) @ (1 << np.arange(8))
-    filled = np.diff(np.frombuffer(words.buffers()[1], np.int64)) > 0
-    tokens = np.bincount(owner[filled], minlength=n) + 1
-
-    def table(size: int, **given) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(size, f.type) for f in schema], schema)
-
-    for a in range(0, size, 1 << 16):
-        b = min(size, a + (1 << 16))
-        named = {t: counts[a:b, i] for i, t in enumerate(TIMES)}
-        yield table(b - a, block=np.full(b - a, block), idx=np.arange(a, b), word=coded.dictionary.slice(a, b - a).cast(pa.binary()), seen=seen[a:b], **named)
+    sorted_words = coded.dictionary.take(pa.array(order))
+    counts = np.bincount(unit[train[owner]], minlength=len(distinct))
+    packed = pack(pa.record_batch([sorted_words.take(pa.array(distinct >> 3)), pa.array(distinct & 7, pa.int8()), pa.array(counts)], schema=UNITS))
+    body, cuts = utf8(sorted_words)
+    sample = sorted_words.filter(pa.array(range_hashes(body, cuts[:-1], cuts[1:]) % np.uint64(rate) == 0)).cast(pa.binary())
+    yield partial(schema, 1, block=[block], units=[packed], sample=pa.ListArray.from_arrays(pa.array([0, len(sample)], pa.int32()), sample))
     pairs, times = np.unique(owner << 32 | unit, return_counts=True)
-    cuts = np.searchsorted(pairs >> 32, np.arange(n + 1))
+    places = pairs & 0xFFFFFFFF
+    heads = np.searchsorted(pairs >> 32, np.arange(n + 1))
+    steps = np.diff(places, prepend=0)
+    steps[heads[:-1]] = places[heads[:-1]]  # every text has at least its end
+    lists, sizes = pack_numbers(steps << 2 | np.minimum(times - 1, 3))
+    often = times > 3
+    more, more_sizes = pack_numbers(times[often])
+    at, more_at = (np.concatenate([[0], np.cumsum(x)]) for x in (sizes, more_sizes))
+    at, more_at = at[heads], more_at[np.concatenate([[0], np.cumsum(often)])[heads]]
+    tokens, n_bytes = np.bincount(owner[filled], minlength=n) + 1, np.diff(offsets)
     for a in range(0, n, 1000):
         b = min(n, a + 1000)
-        x, y = cuts[a], cuts[b]
-        lists = [pa.ListArray.from_arrays(pa.array(cuts[a : b + 1] - x, pa.int32()), pa.array(v, pa.int32())) for v in ((pairs & 0xFFFFFFFF)[x:y], times[x:y])]
-        yield table(
-            b - a, block=np.full(b - a, block), row=rows.slice(a, b - a), ids=lists[0], times=lists[1],
-            n_tokens=tokens[a:b], n_bytes=np.diff(offsets)[a:b],
+        yield partial(
+            schema, b - a, block=np.full(b - a, block), row=rows.slice(a, b - a), n_tokens=tokens[a:b], n_bytes=n_bytes[a:b],
+            lists=binaries(lists[at[a] : at[b]], at[a : b + 1] - at[a]), more=binaries(more[more_at[a] : more_at[b]], more_at[a : b + 1] - more_at[a]),
         )
 
 
-def split_blocks(docs: DataFrame, train: Column, text: str) -> DataFrame:
-    """Words of each block (``word`` is set) and texts of each block (``row`` is set), written once."""
+def split_blocks(docs: DataFrame, train: Column, text: str, block_bytes: int, rate: int) -> DataFrame:
+    """The units of each block (``units`` is set) and its texts (``row`` is set), written once."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]
     given = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).cast("string").alias("text"))
-    kinds = [("block", LongType()), ("row", given.schema["row"].dataType), ("ids", ArrayType(IntegerType())), ("times", ArrayType(IntegerType())),
-             ("n_tokens", LongType()), ("n_bytes", LongType()), ("idx", IntegerType()), ("word", BinaryType()), ("seen", IntegerType()), *((t, LongType()) for t in TIMES)]
+    own = StructType([StructField("row", given.schema["row"].dataType)])
+    for name, kind in {"block": "long", "lists": "binary", "more": "binary", "n_tokens": "long", "n_bytes": "long", "units": "binary", "sample": ArrayType(BinaryType())}.items():
+        own = own.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block, held, size, schema = TaskContext.get().partitionId() << 32, [], 0, None
-        plain = {"block": pa.int64(), "n_tokens": pa.int64(), "n_bytes": pa.int64(), "idx": pa.int32(), "word": pa.binary(), "seen": pa.int32()}
+        plain = [("block", pa.int64()), ("lists", pa.binary()), ("more", pa.binary()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()),
+                 ("units", pa.binary()), ("sample", pa.list_(pa.binary()))]
 
         def done() -> Iterator[pa.RecordBatch]:
-            together = pa.Table.from_batches(held).combine_chunks()
-            rows, flags, texts = (together.column(i).combine_chunks() for i in range(3))
-            yield from block_rows(block, rows, flags.to_numpy(zero_copy_only=False).astype(bool), texts, schema)
+            table = pa.Table.from_batches(held)
+            rows, flags, texts = (table.column(i).combine_chunks() for i in range(3))
+            yield from block_rows(block, rows, flags.to_numpy(zero_copy_only=False).astype(bool), texts, rate, schema)
 
         for batch in batches:
-            if schema is None:
-                types = {**plain, "row": batch.schema.field(0).type, "ids": pa.list_(pa.int32()), "times": pa.list_(pa.int32()), **dict.fromkeys(TIMES, pa.int64())}
-                schema = pa.schema([(name, types[name]) for name, _ in kinds])
+            if not batch.num_rows:
+                continue
+            schema = schema or pa.schema([("row", batch.schema.field(0).type), *plain])
             held.append(batch)
             size += batch.column(2).nbytes
-            if size >= BLOCK_BYTES:
+            if size >= block_bytes:
                 yield from done()
                 block, held, size = block + 1, [], 0
         if held:
             yield from done()
 
-    return staged(given.mapInArrow(run, StructType([StructField(name, kind) for name, kind in kinds])), "lm-blocks")
+    return staged(given.mapInArrow(run, own), "lm-blocks")
+
+
+def borders(blocks: DataFrame) -> list[bytes]:
+    """The words at which parts begin: each SAMPLES-th of the sampled distinct words, a few for a million words."""
+    words = blocks.where("units IS NOT NULL").select(F.explode("sample").alias("word")).distinct()
+    placed = rank_in_order(words, [], [F.col("word")], "place").where(F.col("place") % SAMPLES == 0)
+    return sorted(bytes(r.word) for r in placed.select("word").collect())
+
+
+def requests(blocks: DataFrame, at: list[bytes]) -> DataFrame:
+    """(part, block, first, units): the units of each block by part; ``first`` is the number of the first."""
+    shared = blocks.sparkSession.sparkContext.broadcast(at)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = unpack(data, UNITS)
+                words = found.column(0).to_pylist()
+                cuts = [0, *(bisect_left(words, b) for b in shared.value), len(words)]
+                some = [p for p in range(len(cuts) - 1) if cuts[p + 1] > cuts[p]]
+                yield pa.record_batch({
+                    "part": pa.array(some, pa.int64()), "block": pa.array([block] * len(some), pa.int64()), "first": pa.array([cuts[p] for p in some], pa.int64()),
+                    "units": pa.array([pack(found.slice(cuts[p], cuts[p + 1] - cuts[p])) for p in some], pa.binary()),
+                })
+
+    return blocks.where("units IS NOT NULL").select("block", "units").mapInArrow(cut, "part long, block long, first long, units binary")
 
 
 # ------------------------------------------------------------------ contexts
@@ -176,61 +260,150 @@ def events(words: pa.Array, times: np.ndarray, seen: np.ndarray) -> Events:
     return Events(word, symbol, weight, place, closing, contexts)
 
 
-def words_of(batch: pa.RecordBatch | pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    column = lambda name: (c.combine_chunks() if isinstance(c := batch.column(name), pa.ChunkedArray) else c)
-    times = np.stack([column(t).to_numpy(zero_copy_only=False) for t in TIMES], axis=1).astype(np.int64)
-    return column("word"), times, column("seen").to_numpy(zero_copy_only=False).astype(np.int64)
+class Words:
+    """The distinct words of some sorted units, with training counts and closing bytes."""
 
+    def __init__(self, found: pa.RecordBatch | pa.Table):
+        column = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (found.column(i) for i in range(3))]
+        code, n = column[1].to_numpy(zero_copy_only=False).astype(np.int64), column[2].to_numpy(zero_copy_only=False)
+        other = pc.not_equal(column[0].slice(1), column[0].slice(0, max(0, len(code) - 1))).to_numpy(zero_copy_only=False).astype(bool)
+        head = np.concatenate([[True], other])[: len(code)]
+        self.of = np.cumsum(head) - 1  # word of each unit
+        self.code = code
+        self.words = column[0].filter(pa.array(head))
+        self.times = np.zeros((len(self.words), len(CLOSERS)), np.int64)
+        self.times[self.of, code] = n
+        self.seen = np.bincount(self.of, 1 << code, len(self.words)).astype(np.int64)
+        self.total = self.times.sum(axis=1)
+        self.filled = np.diff(utf8(self.words)[1]) > 0
 
-def context_counts(vocabulary: DataFrame) -> DataFrame:
-    """(ctx, followers): how often each byte followed each context in training."""
+    def events(self) -> Events:
+        return events(self.words, self.times, self.seen)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = events(*words_of(batch))
-            keys = np.concatenate(found.contexts) | np.tile(found.symbol.astype(np.uint64), KINDS)
-            weights = np.tile(found.weight, KINDS)
-            order = np.argsort(keys)
-            keys, weights = keys[order], weights[order]
-            heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            sums = np.add.reduceat(weights, heads) if len(heads) else weights
-            some = sums > 0
-            keys, sums = keys[heads][some], sums[some]
-            yield pa.record_batch({"ctx": (keys >> np.uint64(8) << np.uint64(8)).view(np.int64), "symbol": (keys & np.uint64(255)).astype(np.int32), "n": sums})
-
-    rows = vocabulary.mapInArrow(count, "ctx long, symbol int, n long")
-    both = rows.groupBy("ctx", "symbol").agg(F.sum("n").alias("n"))
-    return both.groupBy("ctx").agg(F.collect_list(F.struct("symbol", "n")).alias("followers"))
-
-
-def grouped(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Table]:
-    """The rows of each value of a column, from batches sorted by it; a group is held whole."""
-    held: list[pa.RecordBatch] = []
+
+def added_up(tables: list[pa.RecordBatch | pa.Table]) -> pa.Table:
+    """Units with the sums of their counts, sorted by word and closing byte."""
+    together = pa.concat_tables([pa.Table.from_batches([t]) if isinstance(t, pa.RecordBatch) else t for t in tables])
+    summed = together.group_by(["word", "code"]).aggregate([("n", "sum")]).rename_columns(["word", "code", "n"])
+    return summed.sort_by([("word", "ascending"), ("code", "ascending")]).cast(UNITS)
+
+
+def pair_sums(ctx: np.ndarray, symbol: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Context and symbol in one sorted key, and how often they came in training; pairs that did not are left out."""
+    key = ctx | symbol.astype(np.uint64)
+    some = weight > 0
+    distinct, back = np.unique(key[some], return_inverse=True)
+    return distinct, np.bincount(back, weight[some], len(distinct)).astype(np.int64)
+
+
+def alone(found: Events, edges: list[bytes]) -> np.ndarray:
+    """Events whose longest context no other part has: whole words so far that lead to neither border."""
+    words = pa.array(edges, pa.large_binary())
+    led = events(words, np.zeros((len(edges), len(CLOSERS)), np.int64), np.ones(len(edges), np.int64))
+    return (found.place <= ORDERS[-1]) & ~np.isin(found.contexts[-2], led.contexts[-2])
+
+
+def edges_of(part: int, at: list[bytes]) -> list[bytes]:
+    return at[max(0, part - 1) : part + 1]
+
+
+def grouped(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """The batches of each value of a column by which the rows are sorted; a group is read as it comes."""
+    pieces = _pieces(batches, name)
+    held = next(pieces, None)
+    while held is not None:
+        value, nothing = held[0], []
+
+        def group(held=held, nothing=nothing):
+            while held is not None and held[0] == value:
+                yield held[1]
+                held = next(pieces, None)
+            nothing.append(held)
+
+        of_value = group()
+        yield value, of_value
+        for _ in of_value:
+            pass
+        held = nothing[0]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[int, pa.RecordBatch]]:
     for batch in batches:
         values = batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
         edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
         for a, b in zip(edges, edges[1:]):
             if a < b:
-                if held and held[0].column(held[0].schema.get_field_index(name))[0].as_py() != values[a]:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
+                yield int(values[a]), batch.slice(a, b - a)
 
 
-def wanted_contexts(vocabulary: DataFrame) -> DataFrame:
-    """(part, ctx): the distinct contexts of each part of the words."""
+def vocabulary(asked: DataFrame, at: list[bytes]) -> DataFrame:
+    """The units of each part with their sums, the contexts it shares with others (``ctx``) and what followed them.
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches, "part"):
-            part = table.column("part")[0].as_py()
-            ctx = np.unique(np.concatenate(events(*words_of(table)).contexts)).view(np.int64)
-            for a in range(0, len(ctx), 1 << 16):
-                some = ctx[a : a + (1 << 16)]
-                yield pa.record_batch({"part": np.full(len(some), part, np.int64), "ctx": some})
+    Rows with a ``symbol`` count, those without ask.  Written once.
+    """
+    shared = asked.sparkSession.sparkContext.broadcast(at)
+    schema = pa.schema([("part", pa.int64()), ("units", pa.binary()), ("words", pa.int64()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("ends", pa.int64()),
+                        ("ctx", pa.int64()), ("symbol", pa.int32()), ("n", pa.int64())])
 
-    return vocabulary.repartition("part").sortWithinPartitions("part").mapInArrow(ask, "part long, ctx long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, group in grouped(batches, "part"):
+            held, size = [], 0
+            for batch in group:
+                for data in batch.column(batch.schema.get_field_index("units")).to_pylist():
+                    held.append(unpack(data, UNITS))
+                    size += held[-1].num_rows
+                    if size > MERGE_ROWS:
+                        held = [added_up(held)]
+                        size = max(0, held[0].num_rows - MERGE_ROWS // 2)
+            table = added_up(held).combine_chunks()
+            words = Words(table)
+            yield partial(
+                schema, 1, part=[part], units=[pack(table.to_batches()[0])], words=[len(words.words)], tokens=[int(words.total[words.filled].sum())],
+                distinct=[int((words.filled & (words.total > 0)).sum())], ends=[int(words.times[:, -1].sum())],
+            )
+            found = words.events()
+            public = ~alone(found, edges_of(part, shared.value))
+            ctx = [c[public] if k == len(ORDERS) - 1 else c for k, c in enumerate(found.contexts)]
+            want = np.unique(np.concatenate(ctx)).view(np.int64)
+            symbol = np.concatenate([found.symbol[public] if k == len(ORDERS) - 1 else found.symbol for k in range(KINDS)])
+            weight = np.concatenate([found.weight[public] if k == len(ORDERS) - 1 else found.weight for k in range(KINDS)])
+            key, n = pair_sums(np.concatenate(ctx), symbol, weight)
+            yield partial(schema, len(want), part=np.full(len(want), part), ctx=want)
+            yield partial(schema, len(key), ctx=(key >> np.uint64(8) << np.uint64(8)).view(np.int64), symbol=(key & np.uint64(255)).astype(np.int32), n=n)
+
+    sorted_ = asked.select("part", "units").repartition("part").sortWithinPartitions("part")
+    kinds = "part long, units binary, words long, tokens long, distinct long, ends long, ctx long, symbol int, n long"
+    return staged(sorted_.mapInArrow(run, kinds), "lm-words")
+
+
+def whole_parts(found: DataFrame) -> DataFrame:
+    """(part, units, followers): one row for each part, with all that is known of its shared contexts.  Written once."""
+    counted = found.where("symbol IS NOT NULL").groupBy("ctx", "symbol").agg(F.sum("n").alias("n"))
+    packed = F.struct(F.col("symbol").cast("short").alias("symbol"), "n")
+    table = counted.groupBy("ctx").agg(F.collect_list(packed).alias("followers"))
+    answers = found.where("ctx IS NOT NULL AND symbol IS NULL").select("part", "ctx").join(table, "ctx")
+    rows = found.where("units IS NOT NULL").select("part", "units").unionByName(answers, allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, group in grouped(batches, "part"):
+            units, keys, counts = None, [], []
+            for batch in group:
+                column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+                units = next((u for u in column["units"].to_pylist() if u is not None), units)
+                some = pc.is_valid(column["ctx"])
+                lists, ctx = column["followers"].filter(some), column["ctx"].filter(some).to_numpy(zero_copy_only=False).astype(np.int64)
+                sizes, flat = pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten()
+                if len(flat):
+                    symbol = flat.field("symbol").to_numpy(zero_copy_only=False).astype(np.uint64)
+                    keys.append(np.repeat(ctx.view(np.uint64), sizes) | symbol)
+                    counts.append(flat.field("n").to_numpy(zero_copy_only=False))
+            key, n = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((keys, np.uint64), (counts, np.int64)))
+            order = np.argsort(key)
+            followers = pack(pa.record_batch([pa.array(key[order]), pa.array(n[order], pa.int64())], schema=FOLLOWERS))
+            yield pa.record_batch({"part": pa.array([part], pa.int64()), "units": pa.array([units], pa.binary()), "followers": pa.array([followers], pa.binary())})
+
+    sorted_ = rows.repartition("part").sortWithinPartitions("part")
+    return staged(sorted_.mapInArrow(run, "part long, units binary, followers binary"), "lm-parts")
 
 
 # ---------------------------------------------------------------- predictors
@@ -239,17 +412,12 @@ def wanted_contexts(vocabulary: DataFrame) -> DataFrame:
 class Counts:
     """How often each byte followed each context of a part."""
 
-    def __init__(self, table: pa.Table):
-        rows = table.filter(pc.is_valid(table.column("ctx")))
-        lists = rows.column("followers").combine_chunks()
-        ctx = rows.column("ctx").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
-        flat = lists.flatten()
-        key = np.repeat(ctx, sizes) | (flat.field("symbol").to_numpy(zero_copy_only=False).astype(np.uint64) if len(flat) else np.zeros(0, np.uint64))
+    def __init__(self, found: Events, local: np.ndarray, followers: pa.RecordBatch):
+        key, n = pair_sums(found.contexts[-2][local], found.symbol[local], found.weight[local])
+        key = np.concatenate([key, followers.column(0).to_numpy()])
         order = np.argsort(key)
         self.key = key[order]
-        n = flat.field("n").to_numpy(zero_copy_only=False).astype(np.int64) if len(flat) else np.zeros(0, np.int64)
-        self.sums = np.concatenate([[0], np.cumsum(n[order])])
+        self.sums = np.concatenate([[0], np.cumsum(np.concatenate([n, followers.column(1).to_numpy()])[order])])
 
     def bits(self, ctx: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each of the eight bits of a symbol, highest first, the counts of 0 and 1 after the bits before it."""
@@ -367,10 +535,6 @@ def part_order(words: pa.Array) -> np.ndarray:
     return np.argsort(range_hashes(data, cuts[:-1], cuts[1:]), kind="stable")
 
 
-def split_part(table: pa.Table) -> tuple[pa.Table, Counts]:
-    return table.filter(pc.is_valid(table.column("word"))), Counts(table)
-
-
 def ranges(found: Events, order: np.ndarray, n: int) -> Iterator[np.ndarray]:
     """Events of STEP_WORDS words after the other, in the given order of words."""
     cuts = np.searchsorted(found.word, np.arange(n + 1))
@@ -380,129 +544,155 @@ def ranges(found: Events, order: np.ndarray, n: int) -> Iterator[np.ndarray]:
         yield np.repeat(cuts[some], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
 
 
-def learn_part(table: pa.Table) -> tuple[np.ndarray, float]:
-    """An online pass over the training words of a part: weights and map, and the weight of the part."""
-    rows, counts = split_part(table)
-    words, times, seen = words_of(rows)
-    found = events(words, times, seen)
-    predictors, mixer, squares = Predictors(found, counts), Mixer.new(), [np.zeros((g, KINDS)) for g in GATES]
-    for some in ranges(found, part_order(words), len(words)):
-        some = some[found.weight[some] > 0]
-        if len(some):
-            mixer.learn(predictors.bits(some, True), squares)
-    return mixer.flat(), float(times.sum())
-
-
-def fit(parts: DataFrame) -> Mixer:
+class Part:
+    """The words of a part and the predictors of their bits."""
+
+    def __init__(self, part: int, units: bytes, followers: bytes, at: list[bytes]):
+        self.units = unpack(units, UNITS)
+        self.words = Words(self.units)
+        self.found = self.words.events()
+        local = alone(self.found, edges_of(part, at))
+        self.predictors = Predictors(self.found, Counts(self.found, local, unpack(followers, FOLLOWERS)))
+
+    def learn(self) -> np.ndarray:
+        """An online pass over the training words: weights by the part's tokens, the map, and the tokens."""
+        mixer, squares = Mixer.new(), [np.zeros((g, KINDS)) for g in GATES]
+        for some in ranges(self.found, part_order(self.words.words), len(self.words.words)):
+            some = some[self.found.weight[some] > 0]
+            if len(some):
+                mixer.learn(self.predictors.bits(some, True), squares)
+        values, tokens = mixer.flat(), float(self.words.total.sum())
+        values[:WEIGHTS] *= tokens
+        return np.append(values, tokens)
+
+    def prices(self, mixer: Mixer) -> np.ndarray:
+        """log10 probability of each unit."""
+        found, n = self.found, len(self.words.words)
+        bits = np.zeros(len(found.word))
+        for some in ranges(found, np.arange(n), n):
+            b = self.predictors.bits(some, False)
+            ones = mixer.ones(b)
+            bits[some] = np.log10(np.where(b.y, ones, 1 - ones)).reshape(-1, 8).sum(axis=1)
+        body = found.closing < 0
+        price = np.repeat(np.bincount(found.word[body], bits[body], n)[:, None], len(CLOSERS), axis=1)
+        price[found.word[~body], found.closing[~body]] += bits[~body]
+        return price[self.words.of, self.words.code]
+
+
+def fit(parts: DataFrame, at: list[bytes]) -> Mixer:
     """Mean weights of the parts' online passes, by their tokens, and the sum of their maps.
 
     Each event is predicted without its own occurrence.  The result has a fixed size.
     """
+    shared = parts.sparkSession.sparkContext.broadcast(at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches, "part"):
-            values, weight = learn_part(table)
-            if weight:
-                values[:WEIGHTS] *= weight
-                values = np.append(values, weight)
+        for batch in batches:
+            for row in batch.to_pylist():
+                values = Part(**row, at=shared.value).learn()
                 yield pa.record_batch({"at": np.arange(len(values)), "value": np.rint(values * FIXED).astype(np.int64)})
 
     rows = parts.mapInArrow(run, "at long, value long").groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value")).collect()
     mixer = Mixer.new()
-    if rows:
-        values = np.zeros(WEIGHTS + 2 * GATES[0] * KNOTS + 1)
-        for row in rows:
-            values[row["at"]] = float(row["value"]) / FIXED
-        at = 0
+    values = np.zeros(WEIGHTS + 2 * GATES[0] * KNOTS + 1)
+    for row in rows:
+        values[row["at"]] = float(row["value"]) / FIXED
+    if values[-1]:
+        begin = 0
         for i, g in enumerate(GATES):
-            mixer.weights[i] = (values[at : at + g * KINDS] / values[-1]).reshape(g, KINDS)
-            at += g * KINDS
-        mixer.hits, mixer.total = values[at:-1].reshape(2, GATES[0], KNOTS)
+            mixer.weights[i] = (values[begin : begin + g * KINDS] / values[-1]).reshape(g, KINDS)
+            begin += g * KINDS
+        mixer.hits, mixer.total = values[begin:-1].reshape(2, GATES[0], KNOTS)
     return mixer
 
 
-def price_part(table: pa.Table, mixer: Mixer) -> pa.RecordBatch:
-    """log10 probability of each word with each closing byte that the corpus has for it."""
-    rows, counts = split_part(table)
-    words, times, seen = words_of(rows)
-    found = events(words, times, seen)
-    predictors, n = Predictors(found, counts), len(words)
-    bits = np.zeros(len(found.word))
-    for some in ranges(found, np.arange(n), n):
-        b = predictors.bits(some, False)
-        ones = mixer.ones(b)
-        bits[some] = np.log10(np.where(b.y, ones, 1 - ones)).reshape(-1, 8).sum(axis=1)
-    body = found.closing < 0
-    price = np.repeat(np.bincount(found.word[body], bits[body], n)[:, None], 8, axis=1)
-    price[found.word[~body], found.closing[~body]] += bits[~body]
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 8, pa.int32()), pa.array(price.ravel()))
-    return pa.record_batch({"word": words, "count": times.sum(axis=1), "price": lists})
-
-
-def price(parts: DataFrame, mixer: Mixer) -> DataFrame:
-    shared = parts.sparkSession.sparkContext.broadcast(mixer)  # of a fixed size
+def answers(parts: DataFrame, asked: DataFrame, mixer: Mixer, at: list[bytes]) -> DataFrame:
+    """(block, first, counts, prices): for the units that a block asked for, their words' training counts and their log10 probabilities."""
+    shared = parts.sparkSession.sparkContext.broadcast((mixer, at))  # of a fixed size, and a few words for a million
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches, "part"):
-            yield price_part(table, shared.value)
-
-    return staged(parts.mapInArrow(run, "word binary, count long, price array<double>"), "lm-prices")
+        mixer, at = shared.value
+        for part, group in grouped(batches, "part"):
+            known = prices = total = None
+            for batch in group:
+                for row in batch.to_pylist():  # the part itself comes first
+                    if row["block"] is None:
+                        own = Part(part, row["units"], row["followers"], at)
+                        prices, known = own.prices(mixer), own.words.words
+                        number = np.full((len(known), len(CLOSERS)), -1)
+                        number[own.words.of, own.words.code] = np.arange(len(prices))
+                        total = np.where(own.words.filled, own.words.total + 1, 0)
+                        continue
+                    units = unpack(row["units"], UNITS)
+                    word = pc.index_in(units.column(0), known).to_numpy(zero_copy_only=False)
+                    unit = number[word, units.column(1).to_numpy()]
+                    counts, _ = pack_numbers(total[word])
+                    yield pa.record_batch({
+                        "block": pa.array([row["block"]], pa.int64()), "first": pa.array([row["first"]], pa.int64()),
+                        "counts": pa.array([counts.tobytes()], pa.binary()), "prices": pa.array([prices[unit].tobytes()], pa.binary()),
+                    })
+
+    together = parts.unionByName(asked, allowMissingColumns=True).repartition("part").sortWithinPartitions("part", F.col("block").asc_nulls_first())
+    return together.mapInArrow(run, "block long, first long, counts binary, prices binary")
 
 
 # -------------------------------------------------------------------- texts
 
 
-def add_up(docs: DataFrame, train_tokens: int, distinct: int, ends: int) -> DataFrame:
-    """Scores of the texts of each block, whose words come before them."""
+def add_up(lined: DataFrame, train_tokens: int, distinct: int, ends: int) -> DataFrame:
+    """Scores of the texts of each block, before which the answers to the block come."""
     floor = train_tokens + distinct + 1
     end = math.log10((ends + 1) / floor)
-    result = docs.select("row").schema["row"]
+
+    def texts(column: dict[str, pa.Array], known: np.ndarray, bases: np.ndarray, prices: np.ndarray) -> pa.RecordBatch:
+        n = len(column["row"])
+        (data, at), (more, _) = utf8(column["lists"]), utf8(column["more"])
+        values = unpack_numbers(data)
+        cuts = np.concatenate([[0], np.cumsum(data < 128)])[at]
+        steps, times = values >> 2, (values & 3) + 1
+        times[times == 4] = unpack_numbers(more)
+        unit = np.cumsum(steps)
+        owner = np.repeat(np.arange(n), np.diff(cuts))
+        unit -= (unit[cuts[:-1]] - steps[cuts[:-1]])[owner]  # the steps of each text begin anew
+        cost, base = (prices[unit] * times).tolist(), (bases[unit] * times).tolist()
+        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+        # exact sums: the order of a block's units does not matter
+        score = np.array([math.fsum(cost[x:y]) for x, y in spans])
+        size = column["n_bytes"].to_numpy()
+        hits = np.bincount(owner, known[unit] * times, n).astype(np.int64) + (ends > 0)
+        names = ["row", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"]
+        scores = [pa.array([math.fsum([*base[x:y], end]) for x, y in spans]), pa.array(score), pa.array(-score / math.log10(2) / (size + 1))]
+        return pa.record_batch([column["row"], column["n_tokens"], pa.array(hits), *scores], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, known, prices, bases = None, np.zeros(0), np.zeros(0), np.zeros(0)
-        for batch in batches:
-            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            blocks = column["block"].to_numpy()
-            is_doc = pc.is_valid(column["ids"]).to_numpy(zero_copy_only=False)
-            marks = np.flatnonzero((blocks[1:] != blocks[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1
-            for a, b in zip([0, *marks], [*marks, len(blocks)]):
-                if blocks[a] != block:
-                    block, known, prices, bases = blocks[a], np.zeros(0), np.zeros(0), np.zeros(0)
-                if not is_doc[a]:
-                    idx = column["idx"].slice(a, b - a).to_numpy().astype(np.int64)
-                    counts = column["count"].slice(a, b - a).to_numpy()
-                    size = max(len(known), int(idx.max()) + 1)
-                    if size > len(known):
-                        room = max(size, 2 * len(known))
-                        known, bases = (np.concatenate([x, np.zeros(room - len(x))]) for x in (known, bases))
-                        prices = np.concatenate([prices, np.zeros(8 * room - len(prices))])
-                    filled = column["filled"].slice(a, b - a).to_numpy(zero_copy_only=False)
-                    known[idx] = filled & (counts > 0)
-                    bases[idx] = np.where(filled, np.log10((counts + 1) / floor), 0.0)
-                    lists = column["price"].slice(a, b - a)
-                    prices.reshape(-1, 8)[idx] = lists.flatten().to_numpy().reshape(-1, 8)
+        for _, group in grouped(batches, "block"):
+            told: list[tuple[int, bytes, bytes]] = []
+            table = None
+            for batch in group:
+                column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+                is_text = pc.is_valid(column["row"])
+                some = [column[c].filter(pc.invert(is_text)).to_pylist() for c in ("first", "counts", "prices")]
+                told += zip(*some)
+                batch = batch.filter(is_text)
+                if not batch.num_rows:
                     continue
-                ids, times = (column[c].slice(a, b - a) for c in ("ids", "times"))
-                cuts = ids.offsets.to_numpy() - ids.offsets[0].as_py()
-                flat, n = ids.flatten().to_numpy().astype(np.int64), times.flatten().to_numpy()
-                cost, base, hit = (prices[flat] * n).tolist(), (bases[flat >> 3] * n).tolist(), known[flat >> 3] * n
-                spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-                # exact sums: the order of a block's words does not matter
-                score = np.array([math.fsum(cost[x:y]) for x, y in spans])
-                owner = np.repeat(np.arange(b - a), np.diff(cuts))
-                size = column["n_bytes"].slice(a, b - a).to_numpy()
-                yield pa.record_batch([
-                    column["row"].slice(a, b - a), column["n_tokens"].slice(a, b - a),
-                    pa.array((np.bincount(owner, hit, b - a) + (ends > 0)).astype(np.int64)),
-                    pa.array([math.fsum([*base[x:y], end]) for x, y in spans]), pa.array(score),
-                    pa.array(-score / math.log10(2) / (size + 1)),
-                ], ["row", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
-
-    schema = StructType([result]).add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double").add("bits_per_byte", "double")
-    return docs.mapInArrow(run, schema)
-
-
-def score_texts(docs: DataFrame, train: Column, text: str = "text", into: str = "lm") -> DataFrame:
+                if table is None:
+                    told.sort()
+                    counts = unpack_numbers(np.frombuffer(b"".join(c for _, c, _ in told), np.uint8))
+                    bases = np.where(counts > 0, np.log10(np.maximum(counts, 1) / floor), 0.0)
+                    table = counts > 1, bases, np.frombuffer(b"".join(p for _, _, p in told))
+                    told = []
+                for a in range(0, batch.num_rows, 500):
+                    part = batch.slice(a, 500)
+                    yield texts({name: part.column(i) for i, name in enumerate(part.schema.names)}, *table)
+
+    schema = StructType([lined.schema["row"]])
+    for name, kind in {"n_tokens": "long", "n_known": "long", "base_score": "double", "score": "double", "bits_per_byte": "double"}.items():
+        schema = schema.add(name, kind)
+    return lined.mapInArrow(run, schema)
+
+
+def score_texts(docs: DataFrame, train: Column, text: str = "text", into: str = "lm", block_bytes: int = BLOCK_BYTES, part_words: int = PART_WORDS) -> DataFrame:
     """Add the scores of every whole text by a model of the texts where ``train`` holds.
 
     ``into`` is a struct: n_tokens (words and one end), n_known (those seen in
@@ -513,33 +703,22 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", into: str =
 
     NULL and empty texts are one end.  A NULL ``train`` is not trained on.  Repeated rows are
     trained on and scored each.  Without any training text all words are unknown,
-    base_score is 0 and every bit has even odds.  An empty table gives an empty result.
-    Words may be of any length; contexts look back 24 bytes at most.  The scores do not depend on how
-    the rows are spread: words are parted by hash and summed exactly.
+    base_score is 0 and the bits have the odds of an untrained model.  An empty table
+    gives an empty result.  Texts and words may be of any length; contexts look back 24
+    bytes at most.  The scores do not depend on how the rows are spread: words are parted
+    by sampled hashes and summed exactly.
     """
-    spark = ready(docs.sparkSession)
-    blocks = split_blocks(docs, train, text)
-    words = blocks.where("word IS NOT NULL")
-    summed = words.groupBy("word").agg(*[F.sum(t).alias(t) for t in TIMES], F.bit_or("seen").alias("seen"))
-    vocabulary = staged(summed, "lm-words")
-    count = sum((F.col(t) for t in TIMES[1:]), F.col(TIMES[0]))
-    filled = F.length("word") > 0
-    totals = vocabulary.agg(
-        F.count(F.lit(1)).alias("words"),
-        F.coalesce(F.sum(F.when(filled, count)), F.lit(0)).alias("tokens"),
-        F.count(F.when(filled & (count > 0), 1)).alias("distinct"),
-        F.coalesce(F.sum(TIMES[-1]), F.lit(0)).alias("ends"),
-    ).first()
-    n_parts = max(1, -(-totals.words // PART_WORDS))
-    parted = vocabulary.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(n_parts)).cast("long"))
-    answers = wanted_contexts(parted).join(context_counts(vocabulary), "ctx")
-    together = staged(parted.unionByName(answers, allowMissingColumns=True), "lm-parts")
-    parts = together.repartition("part").sortWithinPartitions("part")
-    prices = price(parts, fit(parts))
-    asked = words.select("block", "idx", "word").join(prices, "word").withColumn("filled", filled).drop("word")
-    texts = blocks.where("row IS NOT NULL").select("block", "row", "ids", "times", "n_tokens", "n_bytes")
-    lined = texts.unionByName(asked, allowMissingColumns=True).repartition("block")
-    lined = lined.sortWithinPartitions("block", F.col("row").isNotNull())
+    ready(docs.sparkSession)
+    rate = max(1, part_words // SAMPLES)
+    blocks = split_blocks(docs, train, text, block_bytes, rate)
+    at = borders(blocks)
+    asked = requests(blocks, at)
+    words = vocabulary(asked, at)
+    totals = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "distinct", "ends")]).first()
+    parts = whole_parts(words)
+    told = answers(parts, asked, fit(parts, at), at)
+    texts = blocks.where("row IS NOT NULL").select("block", "row", "lists", "more", "n_tokens", "n_bytes")
+    lined = texts.unionByName(told, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", F.col("row").isNotNull())
     n = totals.tokens + totals.ends
     scored = add_up(lined, n, totals.distinct + (totals.ends > 0), totals.ends)
     fields = ["n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte"]
