@@ -14,7 +14,7 @@ from pyspark.sql.functions import arrow_udf
 
 from strataforge.llm.text import ready, slices, utf8, with_result
 
-SLICE_BYTES = 2 << 20  # texts whose distinct words are replayed together
+SLICE_BYTES = 1 << 20  # texts whose distinct words are replayed together
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -250,6 +250,28 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", into: st
     return with_result(df, into, ids(F.col(text).cast("string")))
 
 
+def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All ids of a batch, and the offsets of each list; NULL is empty."""
+    lists = pc.fill_null(lists, pa.scalar([], lists.type))
+    starts = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.slice(starts[0], starts[-1] - starts[0]), starts - starts[0]
+
+
+def _bytes(flat: pa.Array, cuts: np.ndarray, known: pa.Array) -> pa.Array:
+    """The tokens of each list end to end."""
+    taken = known.take(flat)
+    _, offsets, data = taken.buffers()
+    at = np.frombuffer(offsets, np.int64)[taken.offset : taken.offset + len(taken) + 1][cuts]
+    buffers = [None, pa.py_buffer(np.ascontiguousarray(at)), data if data is not None else pa.py_buffer(b"")]
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, buffers).cast(pa.binary())
+
+
+def _packed(flat: pa.Array, cuts: np.ndarray) -> pa.Array:
+    """The ids of each list as little-endian unsigned 32-bit integers."""
+    numbers = np.ascontiguousarray(flat.to_numpy(zero_copy_only=False), "<u4")
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 4).astype(np.int32)), pa.py_buffer(numbers)])
+
+
 def decode(df: DataFrame, ranks: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Add the bytes the ids stand for; NULL ids give no bytes.  Unknown ids fail."""
     spark = ready(df.sparkSession)
@@ -259,30 +281,37 @@ def decode(df: DataFrame, ranks: str, ids: str = "ids", into: str = "decoded") -
     def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = pa.array(tokens.value, pa.large_binary())
         for lists in batches:
-            lists = pc.fill_null(lists, pa.scalar([], lists.type))
-            starts = lists.offsets.to_numpy()
-            flat = lists.values.slice(starts[0], starts[-1] - starts[0])
-            taken = known.take(flat)
-            _, cuts, data = taken.buffers()
-            at = np.frombuffer(cuts, np.int64)[taken.offset : taken.offset + len(taken) + 1][starts - starts[0]]
-            buffers = [None, pa.py_buffer(np.ascontiguousarray(at).tobytes()), data if data is not None else pa.py_buffer(b"")]
-            yield pa.Array.from_buffers(pa.large_binary(), len(lists), buffers).cast(pa.binary())
+            yield _bytes(*_flat(lists), known)
 
     return with_result(df, into, joined(F.col(ids)))
 
 
 def packed(df: DataFrame, ids: str = "ids", into: str = "packed") -> DataFrame:
-    """Add the ids as little-endian unsigned 32-bit integers."""
+    """Add the ids as little-endian unsigned 32-bit integers.
+
+    NULL ids give no bytes; repeated rows are packed each; an empty table stays empty.
+    Other columns pass through; one named like ``into`` is replaced.
+    """
     ready(df.sparkSession)
 
     @arrow_udf("binary")
     def pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
-            lists = pc.fill_null(lists, pa.scalar([], lists.type))
-            starts = lists.offsets.to_numpy().astype(np.int64)
-            flat = lists.values.slice(starts[0], starts[-1] - starts[0]).to_numpy(zero_copy_only=False)
-            at = (starts - starts[0]) * 4
-            buffers = [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(flat, "<u4").tobytes())]
-            yield pa.Array.from_buffers(pa.binary(), len(lists), buffers)
+            yield _packed(*_flat(lists))
 
     return with_result(df, into, pack(F.col(ids)))
+
+
+def read_back(df: DataFrame, ranks: str, ids: str = "ids", into: str = "read") -> DataFrame:
+    """Add a struct of the ``decoded`` bytes and the ``packed`` ids, in one pass over the ids; see ``decode`` and ``packed``."""
+    spark = ready(df.sparkSession)
+    tokens = spark.sparkContext.broadcast(read_ranks(ranks))
+
+    @arrow_udf("struct<decoded:binary,packed:binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = pa.array(tokens.value, pa.large_binary())
+        for lists in batches:
+            flat, cuts = _flat(lists)
+            yield pa.StructArray.from_arrays([_bytes(flat, cuts, known), _packed(flat, cuts)], ["decoded", "packed"])
+
+    return with_result(df, into, both(F.col(ids)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,12 +16,13 @@ from strataforge.llm.text import batches_of, mix, range_hashes, ready, slices, u
 
 FEATURE_BITS = 18
 TRAIN_ROWS = 12_000  # graded documents the model is fitted on, at most
-EPOCHS = 10
+FOLDS = 5  # parts of the graded rows; each is held out once
+PATIENCE, MOST_EPOCHS = 10, 400  # training ends when the held-out loss has not fallen for so many epochs
 BATCH = 128
 RATE = 0.1
 RIDGE = 1e-3
 EVIDENCE = 20.0  # chi-square a feature needs between its documents' grades and all grades to get a weight
-SELECT = 0.15  # tail probability from which a document is selected
+LOST = 0.05  # share of the held-out rows of the highest grade that the selection may leave out
 SLICE_BYTES = 2 << 20
 
 
@@ -42,6 +44,7 @@ class Ordinal:
 
     weights: np.ndarray
     thresholds: np.ndarray
+    least: float = 0.5  # tail probability of selected texts, at least
 
     def scores(self, where: np.ndarray, at: np.ndarray) -> np.ndarray:
         sizes = np.diff(at)
@@ -66,8 +69,22 @@ def evidence(texts: list[np.ndarray], grades: np.ndarray, n_grades: int) -> np.n
     return total
 
 
-def fit(texts: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int = EPOCHS, seed: int = 0) -> Ordinal:
-    """Adagrad on the negative log-likelihood; thresholds stay ordered as sums of positive steps."""
+def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all texts end to end, and the offsets of each text."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    return np.concatenate([np.zeros(0, np.int64), *texts]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def loss(model: Ordinal, texts: list[np.ndarray], grades: np.ndarray) -> float:
+    """Mean negative log-likelihood of the grades."""
+    tails = model.tails(model.scores(*joined(texts)))
+    edges = np.concatenate([np.ones((len(texts), 1)), tails, np.zeros((len(texts), 1))], axis=1)
+    rows = np.arange(len(texts))
+    return float(-np.log(np.maximum(edges[rows, grades] - edges[rows, grades + 1], 1e-9)).mean())
+
+
+def epochs_of(texts: list[np.ndarray], grades: np.ndarray, n_grades: int, seed: int = 0) -> Iterator[Ordinal]:
+    """The model after each epoch of Adagrad on the negative log-likelihood; thresholds stay ordered as sums of positive steps."""
     weights, squares = np.zeros(1 << FEATURE_BITS), np.full(1 << FEATURE_BITS, 1e-6)
     telling = evidence(texts, grades, n_grades) >= EVIDENCE
     texts = [t[telling[t]] for t in texts]  # the others would only be learned by heart
@@ -76,7 +93,7 @@ def fit(texts: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int
     raw_squares = np.full(n_grades - 1, 1e-6)
     random = np.random.default_rng(seed)
     sizes = np.array([len(t) for t in texts])
-    for _ in range(epochs):
+    while True:
         order = random.permutation(len(texts))
         for start in range(0, len(order), BATCH):
             some = order[start : start + BATCH]
@@ -93,7 +110,7 @@ def fit(texts: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int
             up, down = upper * (1 - upper) / p, lower * (1 - lower) / p
             slope = (up - down) / len(some)  # of the loss by the score
             used, back = np.unique(where, return_inverse=True)
-            grad = np.bincount(back, slope[owner]) + RIDGE * weights[used]
+            grad = np.bincount(back, slope[owner], len(used)) + RIDGE * weights[used]
             squares[used] += grad**2
             weights[used] -= RATE * grad / np.sqrt(squares[used])
             by_cut = np.zeros(n_grades + 1)
@@ -103,11 +120,49 @@ def fit(texts: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int
             grad_raw = np.array([inner.sum(), *(inner[j:].sum() * steps[j - 1] for j in range(1, n_grades - 1))])
             raw_squares += grad_raw**2
             raw -= RATE * grad_raw / np.sqrt(raw_squares)
-    return Ordinal(weights, raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))]))
+        yield Ordinal(weights, raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))]))
+
+
+def best_epoch(texts: list[np.ndarray], grades: np.ndarray, held: np.ndarray, n_grades: int) -> tuple[int, np.ndarray]:
+    """The epoch with the least loss of the held-out rows, and their tail probabilities of the highest grade then."""
+    fitted, kept = np.flatnonzero(~held), np.flatnonzero(held)
+    out = [texts[i] for i in kept]
+    best = (math.inf, 0, np.zeros(len(kept)))
+    for epoch, model in enumerate(epochs_of([texts[i] for i in fitted], grades[fitted], n_grades), 1):
+        now = loss(model, out, grades[kept])
+        if now < best[0]:
+            best = (now, epoch, model.tails(model.scores(*joined(out)))[:, -1])
+        if epoch >= min(MOST_EPOCHS, best[1] + PATIENCE):
+            return best[1:]
+
+
+def fit(texts: list[np.ndarray], grades: np.ndarray, n_grades: int) -> Ordinal:
+    """Fit on all rows for as many epochs as the held-out folds ask for on average.
+
+    The rows of the folds, each rated by a model that has not seen it, place the
+    selection: the highest tail probability that leaves out at most LOST of the
+    highest grade.  With fewer rows than folds the model is not fitted.
+    """
+    if len(texts) < FOLDS:
+        return Ordinal(np.zeros(1 << FEATURE_BITS), np.linspace(-1.0, 1.0, n_grades - 1) if n_grades > 2 else np.zeros(1))
+    fold = np.arange(len(texts)) % FOLDS
+    best = [best_epoch(texts, grades, fold == k, n_grades) for k in range(FOLDS)]
+    model, top = None, []
+    for _, model in zip(range(max(1, round(sum(n for n, _ in best) / FOLDS))), epochs_of(texts, grades, n_grades)):
+        pass
+    for k, (_, tails) in enumerate(best):
+        top.append(tails[grades[fold == k] == n_grades - 1])
+    top = np.sort(np.concatenate(top))
+    if len(top):
+        model.least = float(top[int(LOST * len(top))])
+    return model
 
 
 def graded_sample(docs: DataFrame, grades: DataFrame, doc: str, text: str, limit: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and grades of at most ``limit`` graded documents, first by a hash of the id; whole texts are read."""
+    """Features and grades of at most ``limit`` graded documents, first by a hash of the id; whole texts are read.
+
+    Of several texts with one id, the one whose feature list is smallest in order is taken.
+    """
     spark = docs.sparkSession
     rows = grades.where("grade IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.min("grade").alias("grade"))
     chosen = rows.orderBy(F.xxhash64("id"), "id").limit(limit).collect()
@@ -122,21 +177,23 @@ def graded_sample(docs: DataFrame, grades: DataFrame, doc: str, text: str, limit
                 where, at = features(data, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(where, pa.int32()))
                 names = part.column(0).to_pylist()
-                yield pa.record_batch({"id": pa.array(names, pa.int64()), "grade": pa.array([graded[i] for i in names], pa.int32()), "features": lists})
+                yield pa.record_batch({"id": pa.array(names, pa.string()), "grade": pa.array([graded[i] for i in names], pa.int32()), "features": lists})
 
-    texts = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    found = texts.mapInArrow(run, "id long, grade int, features array<int>").toArrow()
-    found = found.take(pc.sort_indices(found, [("id", "ascending"), ("grade", "ascending")]))
+    texts = docs.select(F.col(doc).cast("string").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = texts.mapInArrow(run, "id string, grade int, features array<int>")
+    # an id may repeat any number of times: one row of each travels
+    found = rows.groupBy("id").agg(F.min(F.struct("features", "grade")).alias("row")).select("id", "row.grade", "row.features").toArrow()
+    found = found.take(pc.sort_indices(found, [("id", "ascending")]))
     lists = found["features"].to_numpy(zero_copy_only=False) if found.num_rows else []
     return [np.asarray(x, np.int64) for x in lists], found["grade"].to_numpy().astype(np.int64)
 
 
 def score(df: DataFrame, model: Ordinal, text: str = "text", into: str = "rating") -> DataFrame:
-    """Add the expected grade and the probability of the highest grade of every whole text."""
+    """Add the expected grade, the probability of the highest grade, and the least one that is selected, of every whole text."""
     spark = ready(df.sparkSession)
     shared = spark.sparkContext.broadcast(model)
 
-    @arrow_udf("struct<expected_grade:double,p_top:double>")
+    @arrow_udf("struct<expected_grade:double,p_top:double,least:double>")
     def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             data, offsets = utf8(texts)
@@ -146,7 +203,8 @@ def score(df: DataFrame, model: Ordinal, text: str = "text", into: str = "rating
                 tails = shared.value.tails(shared.value.scores(where, at))
                 expected.append(tails.sum(axis=1))
                 top.append(tails[:, -1])
-            yield pa.StructArray.from_arrays([pa.array(np.concatenate(expected)), pa.array(np.concatenate(top))], ["expected_grade", "p_top"])
+            least = np.full(sum(map(len, top)), shared.value.least)
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(expected)), pa.array(np.concatenate(top)), pa.array(least)], ["expected_grade", "p_top", "least"])
 
     return with_result(df, into, rate(F.col(text).cast("string")))
 
@@ -159,15 +217,16 @@ def rate(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, doc:
     classifier is fitted on at most ``train_rows`` graded documents; every
     document is scored.  NULL and empty texts have no features and get the
     probabilities of the thresholds alone.  A document graded twice takes the lower
-    grade; repeated rows are trained on and scored each; NULL ids are scored only.
-    Without any graded document every score is 0.  Other columns pass through;
-    one named like ``into`` is replaced.
+    grade; of repeated ids one row is trained on, all are scored, equal texts alike; NULL
+    ids are scored only.  Without graded documents every score is 0.  An empty table gives an
+    empty result.  Ids of any type will do; texts of any length are read whole.  Other
+    columns pass through; one named like ``into`` is replaced.
     """
     ready(docs.sparkSession)
-    grades = labels.select(F.col(doc).cast("long").alias("id"), grade.cast("int").alias("grade"))
+    grades = labels.select(F.col(doc).cast("string").alias("id"), grade.cast("int").alias("grade"))
     texts, values = graded_sample(docs, grades, doc, text, train_rows)
     return score(docs, fit(texts, values, n_grades), text, into)
 
 
-def selected(rating: str = "rating", least: float = SELECT) -> Column:
-    return F.col(f"{rating}.p_top") >= least
+def selected(rating: str = "rating") -> Column:
+    return F.col(f"{rating}.p_top") >= F.col(f"{rating}.least")

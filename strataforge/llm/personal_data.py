@@ -506,54 +506,69 @@ def find(docs: DataFrame, doc: str = "doc_id", text: str = "text", into: str = "
     @arrow_udf(RESULT)
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            data, offsets = utf8(texts)
-            trigger = np.flatnonzero(((data >= 48) & (data <= 57)) | (data == 64))
-            spelled = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, CUE_WORDS), False).to_numpy(zero_copy_only=False))
-            hot = np.union1d(np.searchsorted(offsets, trigger, "right") - 1, spelled).tolist()
-            found = []
-            for i in hot:
-                body = data[offsets[i] : offsets[i + 1]].tobytes().decode()
-                found.append((body, base_spans(body)))
-            more = added_spans(found, tagger.value) if tagger.value is not None else [[]] * len(found)
             out: list = [{"base": [], "spans": []}] * len(texts)
-            for i, (_, base), extra in zip(hot, found, more):
-                every = sorted(base + extra, key=lambda s: (s[1], KINDS.index(s[0])))
+            for i, _, base, every in found_spans(texts, tagger.value):
                 out[i] = {name: [dict(zip(("kind", "start", "end"), s)) for s in spans] for name, spans in (("base", base), ("spans", every))}
             yield pa.array(out, RESULT_KIND)
 
     return with_result(docs, into, search(F.col(text).cast("string")))
 
 
+def found_spans(texts: pa.Array, tagger: Tagger | None) -> Iterator[tuple[int, str, list[Span], list[Span]]]:
+    """Number, body, base spans and all spans of each text that has a digit, an @ or a spelled-out sign."""
+    data, offsets = utf8(texts)
+    trigger = np.flatnonzero(((data >= 48) & (data <= 57)) | (data == 64))
+    spelled = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, CUE_WORDS), False).to_numpy(zero_copy_only=False))
+    hot = np.union1d(np.searchsorted(offsets, trigger, "right") - 1, spelled).tolist()
+    found = []
+    for i in hot:
+        body = data[offsets[i] : offsets[i + 1]].tobytes().decode()
+        found.append((body, base_spans(body)))
+    more = added_spans(found, tagger) if tagger is not None else [[]] * len(found)
+    for i, (body, base), extra in zip(hot, found, more):
+        yield i, body, base, sorted(base + extra, key=lambda s: (s[1], KINDS.index(s[0])))
+
+
+def covered(body: str, spans: list[Span]) -> str:
+    """The text with each span replaced by its kind in brackets; of spans that overlap, the first shows its kind."""
+    parts, at = [], 0
+    for kind, start, end in spans:
+        if end <= at:
+            continue
+        if start >= at:
+            parts += [body[at:start], f"[{kind.upper()}]"]
+        at = end
+    return "".join([*parts, body[at:]])
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, doc: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
-    """The documents with each span replaced by its kind in brackets; ``length`` follows the text."""
-    name = fresh(docs, "_found")
+def redact(docs: DataFrame, doc: str = "doc_id", text: str = "text", length: str | None = "n_chars", train_windows: int = TRAIN_WINDOWS) -> DataFrame:
+    """The documents with each span replaced by its kind in brackets; ``length`` follows the text.
+
+    Found and covered in one pass over the texts.  NULL and empty texts, and texts without
+    spans, stay as they are; repeated rows are covered each; an empty table stays empty.
+    Texts of any length are read whole.  Other columns pass through, whatever their names.
+    """
+    spark = ready(docs.sparkSession)
+    tagger = spark.sparkContext.broadcast(fit(*sample(docs, doc, text, train_windows)))
+    name = fresh(docs, "_covered")
 
     @arrow_udf("string")
-    def cover(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, lists in batches:
-            out = []
-            for body, spans in zip(texts.to_pylist(), lists.to_pylist()):
-                if body and spans:
-                    parts, at = [], 0
-                    for s in spans:
-                        if s["end"] <= at:
-                            continue
-                        if s["start"] >= at:
-                            parts += [body[at : s["start"]], f"[{s['kind'].upper()}]"]
-                        at = s["end"]
-                    body = "".join([*parts, body[at:]])
-                out.append(body)
+    def cover(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out: list = [None] * len(texts)  # a text without spans does not travel again
+            for i, body, _, every in found_spans(texts, tagger.value):
+                if every:
+                    out[i] = covered(body, every)
             yield pa.array(out, pa.string())
 
-    found = find(docs, doc, text, name)
-    # a text without spans does not travel again
-    new = F.when(F.size(f"{name}.spans") > 0, cover(F.when(F.size(f"{name}.spans") > 0, F.col(text)), F.col(f"{name}.spans"))).otherwise(F.col(text))
-    changed = found.withColumn(text, new)
+    changed = docs.withColumn(name, cover(F.col(text).cast("string")))
+    new = [F.coalesce(name, F.col(f"`{text}`")).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
     if length in docs.columns:
-        changed = changed.withColumn(length, F.when(F.size(f"{name}.spans") > 0, F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
-    return changed.select(*[F.col(f"`{c}`") for c in docs.columns])
+        size = F.when(F.col(name).isNotNull(), F.length(name).cast(docs.schema[length].dataType)).otherwise(F.col(f"`{length}`"))
+        new[docs.columns.index(length)] = size.alias(length)
+    return changed.select(*new)

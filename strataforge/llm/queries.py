@@ -70,12 +70,12 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     coded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), RANKS, PATTERN).drop("text")
-    read = bpe.packed(bpe.decode(coded, RANKS))
+    read = bpe.read_back(coded, RANKS)
     return read.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2("packed", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2("read.packed", 256).alias("ids_sha256"),
+        F.sha2("read.decoded", 256).alias("decoded_sha256"),
     )
 
 

@@ -238,7 +238,7 @@ def test_suffix_dedup(spark, depth, digit):
 def test_suffix_dedup_of_odd_rows(spark, odd):
     got = suffix_dedup.remove_repeats(odd).collect()
     assert len(got) == odd.count()
-    assert {r.n_bytes: r.n_removed for r in got}[3000] == 3000 - 100  # the first string stays
+    assert {r.n_bytes: r.n_removed for r in got}[3000] == 2999  # every byte but the first is in a string that starts earlier
     assert suffix_dedup.remove_repeats(odd.limit(0)).count() == 0
 
 
@@ -362,17 +362,99 @@ def test_quality_rules(spark, odd):
     assert quality_rules.rate(odd.limit(0), graded).count() == 0
 
 
+def grams_plainly(t):
+    words = SPACED.findall(lower(t or ""))
+    return [*(("word", w) for w in words), *(("pair", *p) for p in zip(words, words[1:])), *(("tail", w.encode()[-2:]) for w in words)]
+
+
+def ratio_plainly(rows, target, others):
+    """Mean ratio of every text: exact grams, counted one by one."""
+    total, wanted, docs = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, t in rows:
+        found = grams_plainly(t)
+        total.update(found)
+        if i in target:
+            wanted.update(found)
+        if i in target or i in others:
+            docs.update(set(found))
+    size, all_ = sum(wanted.values()), sum(total.values())
+    ratio = {}
+    for g in docs:
+        e, n = size * total[g] / all_, wanted[g]
+        r = np.log((n + quality_rules.SMOOTH) / (e + quality_rules.SMOOTH))
+        sure = 2 * ((n * np.log(n / e) if n else 0) - (n - e))
+        if docs[g] >= quality_rules.LEAST_DOCS and abs(r) >= np.log(quality_rules.FACTOR) and sure >= quality_rules.SURE:
+            ratio[g] = r
+    return {i: sum(ratio.get(g, 0) for g in grams_plainly(t)) / max(1, len(grams_plainly(t))) for i, t in rows}
+
+
+def graded_texts(n, seed=6):
+    """Good texts, junk with marked words, and toxic ones with a few rude words; labels of each."""
+    rnd = random.Random(6)
+    good = ["".join(rnd.choice("aeiou") + rnd.choice("nrst") for _ in range(rnd.randint(1, 4))) for _ in range(300)]
+    rnd = random.Random(seed)
+    rude = ["clot", "scamp", "knave"]
+    rows, labels = [], []
+    for i in range(n):
+        words = [rnd.choice(good) for _ in range(rnd.randint(60, 200))]
+        kind = "junk" if i % 10 == 0 else "toxic" if i % 10 == 5 else "clean"
+        if kind == "junk":
+            words = [f"{w}%%%" for w in words]
+        if kind == "toxic":
+            for _ in range(5):
+                words.insert(rnd.randrange(len(words)), rnd.choice(rude))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(kind != "junk"), int(kind == "toxic")))
+    return rows, labels
+
+
 def test_ratio_follows_its_definition(spark):
-    docs = spark.createDataFrame([(1, "x y"), (2, "x z"), (3, "z z z")], "doc_id long, text string")
-    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
-    ratio = quality_rules.fit_ratio(docs, labels)
-    counts = {r.bucket: (r.raw, r.target) for r in quality_rules.gram_counts(docs, "doc_id", "text", [1]).collect()}
-    assert sum(raw for raw, _ in counts.values()) == 7 + 4 and sum(t for _, t in counts.values()) == 3
-    size = 1 << quality_rules.BUCKET_BITS
-    for bucket, (raw, target) in counts.items():
-        p = (target + raw / 11 * size) / (3 + size)
-        q = (raw + 1) / (11 + size)
-        assert ratio[bucket] == pytest.approx(np.log(p / q))
+    rows, labels = graded_texts(300)
+    rows += [(1000 + i, t) for i, t in enumerate(ODD)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    graded = spark.createDataFrame(labels[:200], "doc_id long, quality int, toxic int")
+    trusted = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    target, held, others = quality_rules.labelled_sample(graded, "doc_id", trusted, 10_000)
+    assert sorted(map(int, target + held)) == [i for i, q, x in labels[:200] if q and not x] and len(others) == 40
+    want = ratio_plainly(rows, set(map(int, target)), set(map(int, others)))
+    got = {r.doc_id: r.quality for r in quality_rules.rate(docs, graded).collect()}
+    assert all(got[i].ratio == pytest.approx(r, abs=1e-12) for i, r in want.items())
+    means = sorted(want[int(i)] for i in held)
+    least = min(0.0, means[int(quality_rules.LOST * len(means))])
+    assert all(q.least == pytest.approx(least) for q in got.values())
+
+
+def test_verdicts_hold_while_the_corpus_grows(spark):
+    rows, labels = graded_texts(400)
+    graded = spark.createDataFrame(labels[:200], "doc_id long, quality int, toxic int")
+    verdicts = []
+    for copies in (1, 4):
+        more = [r for c in range(1, copies) for r in ((10_000 * c + i, t) for i, t in graded_texts(400, 50 + c)[0])]
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string").repartition(4)
+        kept = {r.doc_id for r in quality_rules.keep_good(docs, graded).collect()}
+        verdicts.append([(i in kept) for i, _, _ in labels])
+        unseen = labels[200:]
+        clean = [i in kept for i, q, x in unseen if q and not x]
+        assert np.mean(clean) >= 0.95
+        assert not any(i in kept for i, q, _ in unseen if not q)
+        assert np.mean([i in kept for i, _, x in unseen if x]) <= 0.1
+    assert np.mean(np.array(verdicts[0]) == np.array(verdicts[1])) >= 0.98
+
+
+def test_labelled_ids_of_any_type(spark):
+    rows, labels = graded_texts(120)
+    docs = spark.createDataFrame([(f"d-{i}", t) for i, t in rows], "doc_id string, text string")
+    graded = spark.createDataFrame([(f"d-{i}", q, x) for i, q, x in labels], "doc_id string, quality int, toxic int")
+    kept = {r.doc_id for r in quality_rules.keep_good(docs, graded).collect()}
+    assert not any(f"d-{i}" in kept for i, q, _ in labels if not q) and len(kept) >= 90
+    assert ordinal.rate(docs, graded, F.col("quality"), 2).count() == 120
+
+
+def test_a_repeated_graded_id_is_one_row(spark):
+    docs = spark.createDataFrame([(1, f"word{i} again") for i in range(50)] + [(2, "other text")], "doc_id long, text string")
+    grades = spark.createDataFrame([("1", 1), ("2", 0)], "id string, grade int")
+    texts, values = ordinal.graded_sample(docs, grades, "doc_id", "text", 10)
+    assert len(texts) == 2 and sorted(values) == [0, 1]
 
 
 def test_ordinal(spark, odd):
@@ -392,6 +474,8 @@ def test_ordinal(spark, odd):
     held = [(r.rating.expected_grade, r.rating.p_top, grades[r.doc_id][1]) for r in rated if r.doc_id >= 600]
     assert np.mean([round(e) == g for e, _, g in held]) > 0.95
     assert np.mean([(p >= 0.5) == (g == 2) for _, p, g in held]) > 0.95
+    chosen = [r.chosen for r in ordinal.rate(docs, labels.where("doc_id < 600"), F.col("g"), 3).select("doc_id", ordinal.selected().alias("chosen")).orderBy("doc_id").collect()]
+    assert np.mean([c == (g == 2) for c, (_, g) in zip(chosen[600:], grades[600:])]) > 0.9
     assert all(0 <= e <= 2 and 0 <= p <= 1 for e, p, _ in held)
     assert ordinal.rate(odd, labels, F.col("g"), 3, into="overlap").count() == odd.count()
     assert ordinal.rate(docs, labels.limit(0), F.col("g"), 3).count() == 900
