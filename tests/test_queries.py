@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
+from strataforge.plans import catalog
 from tools.check import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -25,4 +26,4 @@ def test_entry_has_rows(spark):
 
 
 def test_only_listed_queries_have_no_sql():
-    assert sorted(set(QUERIES) - set(ORACLES)) == ["S11_sample_files"]
+    assert sorted(set(catalog.QUERIES) - set(catalog.ORACLES)) == ["S11_sample_files"]
