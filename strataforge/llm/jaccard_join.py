@@ -18,7 +18,7 @@ WORDS = 5  # words of a shingle
 PERCENT = 80  # two sets link from this share of their union
 TABLE_BITS = 18  # buckets that count the documents with a shingle
 COUNT_CHUNK = 1 << 12
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 FREQUENT = 48  # a bucket this far above what chance explains holds a frequent shingle
 
 
