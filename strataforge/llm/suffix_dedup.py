@@ -265,6 +265,8 @@ def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", dep
     come first; of rows equal in both any one counts as the first.  An empty table
     gives an empty result.  Other columns are not read.
     """
+    if not 0 < depth < 1 << 15:
+        raise ValueError("depth must lie between 1 and 32,767")
     spark = ready(docs.sparkSession)
     key = fresh(docs, "_key")
     keyed = ordered_key(docs, doc, text, key)

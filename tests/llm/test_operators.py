@@ -328,6 +328,14 @@ def test_unique_key(odd):
     assert min(keyed, key=lambda r: r.k).doc_id is None
 
 
+def test_key_of_ids_in_text(spark):
+    docs = spark.createDataFrame([("b", "x"), ("a", "y"), ("10", "z"), (None, "w")], "doc_id string, text string")
+    keyed = identity.ordered_key(docs, "doc_id", "text", "k").orderBy("k").collect()
+    assert [r.doc_id for r in keyed] == [None, "10", "a", "b"]
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(docs, depth=1 << 15)
+
+
 def base_plainly(t):
     words, seen, dup = SPACED.findall(t), set(), 0
     for line in t.split("\n"):
