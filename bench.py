@@ -25,7 +25,7 @@ HEADLINE = (
     "Q12_batched_row_checks",
     "Q21_expectations",
 )
-RUNS = 3
+RUNS = 5
 
 
 def main() -> None:

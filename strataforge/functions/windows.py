@@ -86,61 +86,50 @@ def rows_between(df: DataFrame, order: Sequence[Column | str], start: int, lengt
     return numbered.filter(page).orderBy("_position").drop("_position")
 
 
-def sliced_neighbours(
+def ordered_neighbours(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    slice_by: Column,
     *,
     number: str | None = None,
     previous: Mapping[str, Column] | None = None,
     following: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Row number, previous and next values per key, for keys of any size.
+    """Row number, previous and next values per key, for keys of any size, whatever their order columns hold.
 
-    ``slice_by`` must not decrease along ``order`` (such as the day of the
-    leading timestamp).  Rows are windowed per key and slice; the first and last
-    row of each slice, gathered by a partial aggregate, connect the slices.
-    ``order`` must be ascending columns that together are unique per key.
+    Rows are sorted by (key, order) over the cluster and written with their
+    partition number.  Windows run within a partition.  Only the first and the last
+    key of a partition can go on in another one; one row for each, with its size and its
+    outer values, makes an edge table of two rows a partition at most, from
+    which rows at the edges take what lies beyond.  ``order`` must be ascending
+    columns that together are unique per key.
     """
     previous, following = dict(previous or {}), dict(following or {})
-    cut = df.withColumn("_slice", slice_by)
-    rank = F.struct(*[F.col(c) for c in order])
-    edges = [F.count(F.lit(1)).alias("_rows")]
-    if previous:
-        edges.append(F.max_by(F.struct(*[v.alias(k) for k, v in previous.items()]), rank).alias("_last"))
-    if following:
-        edges.append(F.min_by(F.struct(*[v.alias(k) for k, v in following.items()]), rank).alias("_first"))
-    along = Window.partitionBy(*keys).orderBy("_slice")
-    # one row per key and slice
-    bridge = cut.groupBy(*keys, "_slice").agg(*edges)
-    columns = [
-        F.coalesce(F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset")
-    ]
-    if previous:
-        columns.append(F.lag("_last").over(along).alias("_before"))
-    if following:
-        columns.append(F.lead("_first").over(along).alias("_after"))
-    bridge = bridge.select(*keys, "_slice", "_rows", *columns)
-
-    local = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    marked = cut.withColumn("_at", F.row_number().over(local))
+    key, rank = F.struct(*keys), F.struct(*order)
+    placed = staged(df.orderBy(*keys, *order).withColumn("_part", F.spark_partition_id()), "neighbours")
+    bounds = placed.groupBy("_part").agg(F.min(key).alias("_low"), F.max(key).alias("_high"))  # one row a partition
+    open_ = placed.join(F.broadcast(bounds), "_part").where(key.eqNullSafe(F.col("_low")) | key.eqNullSafe(F.col("_high")))
+    edges = open_.groupBy("_part", *keys).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.max_by(F.struct(F.lit(0).alias("_"), *[v.alias(k) for k, v in previous.items()]), rank).alias("_last"),
+        F.min_by(F.struct(F.lit(0).alias("_"), *[v.alias(k) for k, v in following.items()]), rank).alias("_first"),
+    )
+    along = Window.partitionBy(*keys).orderBy("_part")
+    beyond = edges.select(
+        *keys, "_part",
+        F.coalesce(F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
+        F.lag("_last").over(along).alias("_before"), F.lead("_first").over(along).alias("_after"),
+    )
+    local = Window.partitionBy("_part", *keys).orderBy(*order)
+    marked = placed.withColumn("_at", F.row_number().over(local)).withColumn("_end", F.lead(F.lit(False), 1, True).over(local))
     for name, value in previous.items():
         marked = marked.withColumn(f"_p_{name}", F.lag(value).over(local))
     for name, value in following.items():
         marked = marked.withColumn(f"_f_{name}", F.lead(value).over(local))
-    joined = join_nullsafe(marked, bridge, [*keys, "_slice"])
+    joined = join_nullsafe(marked, F.broadcast(beyond), [*keys, "_part"], "left")
     result = [F.col(c) for c in df.columns]
     if number:
-        result.append((F.col("_offset") + F.col("_at")).cast("bigint").alias(number))
-    for name in previous:
-        result.append(
-            F.when(F.col("_at") == 1, F.col(f"_before.{name}")).otherwise(F.col(f"_p_{name}")).alias(name)
-        )
-    for name in following:
-        result.append(
-            F.when(F.col("_at") == F.col("_rows"), F.col(f"_after.{name}"))
-            .otherwise(F.col(f"_f_{name}"))
-            .alias(name)
-        )
+        result.append((F.coalesce("_offset", F.lit(0)) + F.col("_at")).cast("bigint").alias(number))
+    result += [F.when(F.col("_at") == 1, F.col(f"_before.{n}")).otherwise(F.col(f"_p_{n}")).alias(n) for n in previous]
+    result += [F.when(F.col("_end"), F.col(f"_after.{n}")).otherwise(F.col(f"_f_{n}")).alias(n) for n in following]
     return joined.select(*result)

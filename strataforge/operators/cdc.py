@@ -115,20 +115,34 @@ def conflict_keys(
     return key_conflicts(df, key, updated, checksum).select(*key)
 
 
-def split_conflicts(
+def flag_conflicts(
     df: DataFrame,
     key: Sequence[str],
     updated: str = "updated_at",
     checksum: str = "checksum",
     conflicts: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """(rows of clean keys, all rows of conflicting keys with a reason).  Rows with a NULL key stay clean.
+) -> DataFrame:
+    """All rows, those of conflicting keys with a ``rejection_reason``: both sides of the split from one join.
 
-    ``conflicts`` gives the conflicting keys when they are known already.
+    Rows with a NULL key stay clean.  ``conflicts`` gives the conflicting keys when they are known already.
     """
     bad = conflict_keys(df, key, updated, checksum) if conflicts is None else conflicts.select(*key)
-    blocked = df.join(bad, list(key), "left_semi").withColumn("rejection_reason", F.lit(EQUAL_TIME_CONFLICT))
-    return df.join(bad, list(key), "left_anti"), blocked
+    flagged = df.join(bad.withColumn("_conflict", F.lit(True)), list(key), "left")
+    reason = F.when(F.col("_conflict"), EQUAL_TIME_CONFLICT).alias("rejection_reason")
+    return flagged.select(*df.columns, reason)
+
+
+def split_conflicts(
+    df: DataFrame,
+    key: Sequence[str],
+    updated: str = "updated_at",
+    checksum: str = "checksum",
+    conflicts: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(rows of clean keys, all rows of conflicting keys with a reason), see ``flag_conflicts``."""
+    flagged = flag_conflicts(df, key, updated, checksum, conflicts)
+    clean = flagged.filter("rejection_reason IS NULL").drop("rejection_reason")
+    return clean, flagged.filter("rejection_reason IS NOT NULL")
 
 
 def resolve_batch(

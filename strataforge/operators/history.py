@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strataforge.functions.windows import sliced_neighbours
+from strataforge.functions.windows import ordered_neighbours
 
 
 def deletion_mark(df: DataFrame) -> Column:
@@ -30,20 +30,19 @@ def version_history(
     ts: str,
     tie_break: str,
     fields: Sequence[str],
-    slice_unit: str = "day",
 ) -> DataFrame:
     """Numbered versions with validity interval, operation and changed fields.
 
-    A record of any length is worked on in time slices, see ``sliced_neighbours``.
+    A record of any length, or with any number of changes at one time, spreads over
+    range partitions, see ``ordered_neighbours``.
     ``changes`` holds the fields that differ from the previous version, compared
     by type and null-safe.
     """
     marked = df.withColumn("_gone", deletion_mark(df))
-    versions = sliced_neighbours(
+    versions = ordered_neighbours(
         marked,
         [record],
         [ts, tie_break],
-        F.date_trunc(slice_unit, F.col(ts)),
         number="version_number",
         previous={"_old": F.struct(*[F.col(f) for f in fields])},
         following={"valid_to": F.col(ts)},

@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strataforge.functions.frames import attach
-from strataforge.functions.windows import rows_between
+from strataforge.functions.windows import rank_in_order, rows_between
 
 
 def incremental_slice(
@@ -26,8 +26,12 @@ def incremental_slice(
         start = F.lit(after).cast("timestamp")
         rows = rows.filter(F.col(updated).cast("timestamp") > (start - F.expr(f"INTERVAL {overlap}") if overlap else start))
     if limit is None:
-        ordered = rows.orderBy(updated, record)
-        return ordered.offset(offset) if offset else ordered
+        if not offset:
+            return rows.orderBy(updated, record)
+        # skipped by number, found through range partitions; an offset over the whole order would end in one task
+        place = "_position"
+        numbered = rank_in_order(rows, [], [F.col(updated).asc_nulls_first(), F.col(record).asc_nulls_first()], place)
+        return numbered.filter(F.col(place) > offset).orderBy(place).drop(place)
     total = rows.agg((F.count(F.lit(1)) > offset + limit).alias("has_more"))
     return attach(rows_between(rows, [updated, record], offset, limit), total)
 

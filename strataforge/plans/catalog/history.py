@@ -220,6 +220,45 @@ def i8(t):
     return shown(ledger.live("feed").drop("_silver_updated_at"))
 
 
+STREAM_DELAY = "5 days"
+
+
+def stream_state_sql(deliveries):
+    """SQL of the latest row per key of what is not later than the watermark when it is delivered."""
+    rows = " UNION ALL ".join(f"SELECT {n} AS delivery, * FROM v_feed_all WHERE {rule}" for n, rule in enumerate(deliveries))
+    return f"""WITH d AS ({rows}), seen AS (
+        SELECT n.delivery, max(d.ingested_at) - INTERVAL {STREAM_DELAY} AS mark FROM (SELECT DISTINCT delivery FROM d) n
+        JOIN d ON d.delivery < n.delivery GROUP BY n.delivery),
+      kept AS (SELECT d.* FROM d LEFT JOIN seen USING (delivery) WHERE mark IS NULL OR ingested_at > mark)
+      SELECT user_id, event_type, arg_max(record_id, (ingested_at, record_id)) AS record_id, arg_max(cents, (ingested_at, record_id)) AS cents,
+        (SELECT count(*) FROM d) - (SELECT count(*) FROM kept) AS late
+      FROM kept GROUP BY user_id, event_type"""
+
+
+# the first days, then later ones with stragglers and rows sent again
+DELIVERIES = [
+    "ingested_at < TIMESTAMP '2024-01-10 00:00:00' AND record_id % 10 <> 0",
+    "ingested_at < TIMESTAMP '2024-01-20 00:00:00' AND (record_id % 10 = 0 OR ingested_at >= TIMESTAMP '2024-01-08 00:00:00') AND record_id % 10 <> 1",
+    "record_id % 10 = 1 OR ingested_at >= TIMESTAMP '2024-01-20 00:00:00'",
+]
+
+
+@query("I8_stream_state", stream_state_sql(DELIVERIES))
+def i8_state(t):
+    """Three deliveries; ids, latest rows and the watermark live in the state store, a last run finds nothing new."""
+    root = scratch(t.spark, "stream-state")
+    feed = t.v_feed_all.drop("checksum", "batch_id").withColumn("ingested_at", F.col("ingested_at").cast("timestamp"))
+    late = 0
+    for rule in [*DELIVERIES, None]:
+        if rule:
+            feed.filter(rule).write.mode("append").parquet(f"{root}/in")
+        late += land.stream_changes(
+            t.spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", feed.schema, FEED_KEY, "record_id", "ingested_at", STREAM_DELAY
+        )["late"]
+    state = land.current(t.spark, f"{root}/out", feed.schema, FEED_KEY, "record_id", "ingested_at")
+    return state.select("user_id", "event_type", "record_id", "cents", F.lit(late).cast("bigint").alias("late"))
+
+
 def _gate(df):
     return audit.gate_silver(df, ["indicator", "period"], ["indicator", "result"], "period", "UNKNOWN_KY")
 

@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Row, functions as F, types as T
 
 from strataforge.functions import masking
 from strataforge.operators import schema, star
@@ -103,20 +103,15 @@ CONTEXT_ORDER = {"orders": ["total_amount"], "customers": ["customer_name"], "li
 )
 def d9(t):
     frames = {name: getattr(t, view) for name, view in CONTEXT.items()}
-    plan = star.plan_star([star.infer_key(df, name) for name, df in sorted(frames.items())])
-
-    def row(entity, role, keys, share):
-        return share.select(
-            F.lit(entity).alias("entity"), F.lit(role).alias("role"), F.lit("|".join(keys)).alias("join_columns"), "containment"
-        )
-
+    plan = star.star_plan(t.spark, [star.infer_key(df, name) for name, df in sorted(frames.items())])
+    (anchor,) = star.role_rows(plan, "anchor")
     none = t.spark.range(1).select(F.lit(None).cast("double").alias("containment"))
-    rows = [row(plan.anchor, "anchor", plan.anchor_key, none)]
-    for link in plan.links:
-        share = none
-        if link.kind == "fact":
-            share = star.key_containment(frames[link.entity], frames[plan.anchor], link.join_columns)
-        rows.append(row(link.entity, link.kind, link.join_columns, share))
+    rows = []
+    for link in plan:
+        fact = link.role == "fact"
+        share = star.key_containment(frames[link.entity], frames[anchor.entity], link.join_columns) if fact else none
+        named = [F.lit(link.entity).alias("entity"), F.lit(link.role).alias("role"), F.lit("|".join(link.join_columns)).alias("join_columns")]
+        rows.append(share.select(*named, "containment"))
     return reduce(DataFrame.unionByName, rows)
 
 
@@ -128,16 +123,8 @@ STAR_SQL = f"""WITH f AS ({FACT_SQL})
 
 @query("J3_star_join", STAR_SQL)
 def j3(t):
-    plan = star.StarPlan(
-        "orders",
-        ("order_id",),
-        1.0,
-        (
-            star.Link("customers", "dimension", ("customer_id",), "orders"),
-            star.Link("lines", "fact", ("order_id",), "orders"),
-        ),
-        (),
-    )
+    joins = {"orders": ("anchor", ["order_id"]), "customers": ("dimension", ["customer_id"]), "lines": ("fact", ["order_id"])}
+    plan = [Row(entity=name, role=role, join_columns=columns) for name, (role, columns) in joins.items()]
     return star.star_join({n: getattr(t, v) for n, v in CONTEXT.items()}, plan, tie_break=CONTEXT_ORDER)
 
 
@@ -175,8 +162,12 @@ ROLE_TABLES = {
     "documents": ("doc_id", "n_chars", "text lang source"),
     "pages": ("page_id", "", "url html"),
     "conversations": ("conv_id", "turn", "role text"),
+    "lineitem": ("l_orderkey", "l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax", "l_returnflag l_linestatus"),
+    "embeddings": ("vec_id", "label", ""),
+    "benchmark": ("item_id", "", "text"),
+    "labels": ("doc_id", "quality toxic", ""),
 }
-TIME_COLUMNS = {"orders": "o_orderdate", "events": "ts"}
+TIME_COLUMNS = {"orders": "o_orderdate", "events": "ts", "lineitem": "l_shipdate", "embeddings": "embedding"}  # and others that are neither number nor text
 CHANGED = "CASE WHEN o_orderkey % 2 = 0 THEN ' 12.50 ' ELSE 'n/a' END"
 
 

@@ -208,8 +208,9 @@ def m3(t):
     FROM v_feed f LEFT JOIN bad b ON f.user_id = b.user_id AND f.event_type = b.event_type""",
 )
 def m4(t):
-    clean, conflicts = cdc.split_conflicts(t.v_feed, FEED_KEY)
-    return sides(clean.select("record_id"), conflicts.select("record_id", "rejection_reason"), ("clean", "conflict"))
+    flagged = cdc.flag_conflicts(t.v_feed, FEED_KEY)
+    side = F.when(F.col("rejection_reason").isNull(), "clean").otherwise("conflict").alias("side")
+    return flagged.select("record_id", side, "rejection_reason")
 
 
 @query(

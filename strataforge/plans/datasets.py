@@ -15,7 +15,7 @@ from strataforge.session import staged
 from strataforge.sources.documents import failed_documents, read_documents, table_rows
 from strataforge.sources.files import read_batch
 from strataforge.sources.ledger import Ledger
-from strataforge.sources.sinks import append_quarantine
+from strataforge.sources.sinks import append_quarantine, replace_quarantine
 
 _TYPES = {"text": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "time": T.TimestampType(), "flag": T.BooleanType()}
 
@@ -75,9 +75,11 @@ def ingest(records: DataFrame, contract: Contract, ledger: Ledger, at, buckets:
     """Land the new records of a source and merge them into the current state; None when there are none.
 
     The commit that publishes the state also names the batch merged.  A batch that
-    was landed but not merged, as its merge failed, is merged first on the next run.
-    Rejected rows are appended to the quarantine before the new state is published,
-    and the state is published only when its gate passes.
+    was landed but not merged, as its merge failed, is merged first on the next run;
+    ``set_aside`` gives up a batch whose gate can never pass.  The state is published
+    only when its gate passes.  Rejected rows are written under the batch's name after
+    the gate, and ``quarantined`` shows those of published batches only, so however
+    often a batch is tried, its rows are there once.
     """
     pending = _pending(ledger, contract.dataset)
     resumed = _merge(pending, contract, ledger, at, buckets) if pending else None
@@ -108,16 +110,52 @@ def _merge(batch_id: str, contract: Contract, ledger: Ledger, at, buckets: int)
             feed, state, key, contract.rules, contract.updated_at, "_record_checksum", contract.deleted, at,
             ingested="_ingested_at", batch="_batch_id", record=contract.record_id,
         )
-        columns = [c for c in feed.columns if c != "rejection_reason"]
-        append_quarantine(to_quarantine(result.quarantine, key, columns, at), f"{ledger.root}/quarantine/{contract.dataset}")
         _refuse("state", audit.check_grain(result.candidate, key))
+        columns = [c for c in feed.columns if c != "rejection_reason"]
+        replace_quarantine(to_quarantine(result.quarantine, key, columns, at), _quarantine(ledger, contract), batch_id)
         results.append(result)
         return result.candidate
 
-    ledger.merge_buckets(silver, key, batch, step, buckets, state={f"merged:{contract.dataset}": batch_id})
+    ledger.merge_buckets(silver, key, batch, step, buckets, state=_merged(ledger, contract, batch_id))
     return results[0]
 
 
+def _quarantine(ledger: Ledger, contract: Contract) -> str:
+    return f"{ledger.root}/quarantine/{contract.dataset}"
+
+
+def _merged(ledger: Ledger, contract: Contract, batch_id: str) -> dict:
+    """What the commit of a batch says: the batch merged last, and all whose quarantine counts."""
+    published = f"quarantine:{contract.dataset}"
+    earlier = ledger.head()["state"].get(published) or []
+    return {f"merged:{contract.dataset}": batch_id, published: [*earlier, batch_id]}
+
+
+def quarantined(ledger: Ledger, contract: Contract) -> DataFrame | None:
+    """Rejected rows of the published batches, with their ``_batch``; None before the first."""
+    batches = ledger.head()["state"].get(f"quarantine:{contract.dataset}")
+    if not batches:
+        return None
+    path = _quarantine(ledger, contract)
+    return ledger.spark.read.option("basePath", path).option("mergeSchema", "true").parquet(*[f"{path}/_batch={b}" for b in batches])
+
+
+def set_aside(contract: Contract, ledger: Ledger, reason: str, at) -> str | None:
+    """Give up the landed batch that has not been merged: all its rows go to the quarantine, later batches go on.
+
+    Returns the batch, or None when none waits.
+    """
+    batch_id = _pending(ledger, contract.dataset)
+    if batch_id is None:
+        return None
+    version = ledger.head()["version"]
+    rows = to_canonical(read_batch(ledger.spark, f"{ledger.root}/bronze/{contract.dataset}", batch_id, contract), contract)
+    rejected = to_quarantine(rows.withColumn("rejection_reason", F.lit(reason)), list(contract.key), rows.columns, at)
+    replace_quarantine(rejected, _quarantine(ledger, contract), batch_id)
+    ledger.commit(version, state=_merged(ledger, contract, batch_id))
+    return batch_id
+
+
 def publish_outcomes(ledger: Ledger) -> int:
     """Build fact and period mart of the learning outcomes, audit both, and publish them together."""
     state = ledger.live(f"silver:{LEARNING_OUTCOMES.dataset}")

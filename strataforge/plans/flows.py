@@ -7,13 +7,13 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from strataforge.functions.checksum import with_row_checksum, with_surrogate_key
 from strataforge.functions.frames import side_by_side
 from strataforge.operators import cdc
 from strataforge.operators.incremental import batch_id as name_batch, next_watermark
-from strataforge.operators.quality import REASONS, add_reasons, split_dq
+from strataforge.operators.quality import REASONS, add_reasons
 from strataforge.operators.schema import apply_mapping, evolve, standardize_columns
 from strataforge.operators.star import Roles
 from strataforge.session import staged
@@ -44,43 +44,50 @@ def silver_batch(
     """Quality split, conflict split, dedup, comparison with the state, merge and counters.
 
     With ``stage`` the conflicting keys and the classified rows, one per key, are
-    written to the shared folder once; quarantine, merge and counters read them
-    from there.
+    written to the shared folder once; quarantine and merge read them from there, and
+    all counters are observed while those two are written.  The rejected rows of both
+    splits come from one more scan of the feed.
     """
-    columns = feed.columns
-    valid, rejected = split_dq(feed, rules) if rules else (feed, None)
-    bad = cdc.key_conflicts(valid, key, updated, checksum)
-    if stage:
-        bad = staged(bad, "conflicts")
-    _, conflicts = cdc.split_conflicts(valid, key, conflicts=bad)
-    winners = cdc.resolve_batch(valid, key, updated, checksum=checksum, conflicts=bad, **order)
-    classes = cdc.classify(winners, target, key, updated, checksum, deleted)
+    columns = list(feed.columns)
+    count = F.count(F.lit(1))
+    marked = add_reasons(feed, rules)
+    valid = marked.filter(F.size(REASONS) == 0).select(*columns)
+    known_key = reduce(and_, [F.col(k).isNotNull() for k in key])  # rows without key are never in conflict
+
+    def of(name: str):
+        return F.count(F.when(F.col("row_class") == name, 1)).alias(name)
+
+    feed_figures = [count.alias("source_rows"), F.count(F.when(F.size(REASONS) == 0, 1)).alias("valid_rows")]
+    bad_figures = [F.coalesce(F.sum(F.when(known_key, F.col("_rows"))), F.lit(0)).alias("batch_conflicts")]
+    class_figures = [count.alias("deduplicated"), *[of(c) for c in ("mergeable", "stale", "duplicate", "quarantine", "unclassified")]]
+
+    def classified(bad: DataFrame) -> DataFrame:
+        return cdc.classify(cdc.resolve_batch(valid, key, updated, checksum=checksum, conflicts=bad, **order), target, key, updated, checksum, deleted)
+
     if stage:
-        classes = staged(classes, "classes")
+        seen = [Observation(), Observation(), Observation()]
+        counted = marked.observe(seen[0], *feed_figures).filter(F.size(REASONS) == 0).select(*columns)
+        bad = staged(cdc.key_conflicts(counted, key, updated, checksum).observe(seen[1], *bad_figures), "conflicts")
+        classes = staged(classified(bad).observe(seen[2], *class_figures), "classes")
+        names = ["source_rows", "valid_rows", "batch_conflicts", "deduplicated", "mergeable", "stale", "duplicate", "quarantine", "unclassified"]
+        figures = dict.fromkeys(names, 0)  # a plan known to be empty observes nothing
+        for observed in seen:
+            figures |= observed.get
+        metrics = feed.sparkSession.range(1).select(*[F.lit(v).cast("bigint").alias(n) for n, v in figures.items()])
+    else:
+        bad = cdc.key_conflicts(valid, key, updated, checksum)
+        classes = classified(bad)
+        metrics = side_by_side(marked.agg(*feed_figures), bad.agg(*bad_figures), classes.agg(*class_figures))
+    # rows that fail a rule may share a key with a conflict: the rule comes first
+    flagged = cdc.flag_conflicts(marked, key, conflicts=bad)
+    reason = F.when(F.size(REASONS) > 0, F.concat_ws("|", REASONS)).otherwise(F.col("rejection_reason"))
+    refused = flagged.withColumn("rejection_reason", reason).filter("rejection_reason IS NOT NULL").select(*columns, "rejection_reason")
     blocked = classes.filter("row_class = 'quarantine'").select(*columns, "rejection_reason")
-    quarantine = conflicts.unionByName(blocked)
-    if rejected is not None:
-        quarantine = rejected.unionByName(quarantine)
+    quarantine = refused.unionByName(blocked)
     # classification has compared these rows with the state, so they replace or enter
     mergeable = classes.filter("row_class = 'mergeable'").select(*columns)
     state = target if "_silver_updated_at" in target.columns else cdc.written_at(target, None)
     candidate = cdc.upsert(state, cdc.written_at(mergeable, at), key)
-
-    def of(name: str):
-        return F.count(F.when(F.col("row_class") == name, 1)).alias(name)
-
-    count = F.count(F.lit(1))
-    known_key = reduce(and_, [F.col(k).isNotNull() for k in key])  # rows without key are never in conflict
-    conflict_rows = F.coalesce(F.sum("_rows"), F.lit(0)).alias("batch_conflicts")
-    metrics = side_by_side(
-        add_reasons(feed, rules).agg(
-            count.alias("source_rows"), F.count(F.when(F.size(REASONS) == 0, 1)).alias("valid_rows")
-        ),
-        bad.filter(known_key).agg(conflict_rows),
-        classes.agg(
-            count.alias("deduplicated"), *[of(c) for c in ("mergeable", "stale", "duplicate", "quarantine", "unclassified")]
-        ),
-    )
     return BatchResult(candidate, quarantine, metrics, classes)
 
 
@@ -120,7 +127,7 @@ STRATEGY = "timestamp"
 
 
 def incremental_load(
-    source: DataFrame, dataset: str, ts: str, ledger: Ledger, path: str, checksum: str = "_record_checksum"
+    source: DataFrame, dataset: str, ts: str, ledger: Ledger, path: str
 ) -> tuple[str, LandResult | None]:
     """Land the rows after the stored watermark; move the watermark only after the landing was verified.
 
@@ -143,7 +150,7 @@ def incremental_load(
     batch = name_batch(dataset, stored["strategy"] if stored else None, stored["payload"] if stored else None)
     # rows later than the watermark just read wait for the next run
     fixed = rows.filter(at <= F.lit(found["watermark"]).cast("timestamp")).withColumn("_batch_id", F.lit(batch))
-    landed = land_bronze(fixed, path, batch, checksum)
+    landed = land_bronze(fixed, path, batch)
     payload = {"value": found["watermark"]}
     ledger.commit(
         head["version"],

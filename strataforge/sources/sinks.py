@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 
 @dataclass(frozen=True)
@@ -17,21 +17,31 @@ class LandResult:
     fingerprint: str
 
 
-def fingerprint(checksum: str):
-    """Order-free sums of all parts of the row checksums, and how many are missing, as text."""
-    parts = [F.sum(F.conv(F.substring(F.col(checksum), 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(5)]
-    return F.concat_ws("-", *parts, F.sum(F.col(checksum).isNull().cast("long")).cast("string"))
+def fingerprint(df: DataFrame) -> Column:
+    """Digest of a multiset of rows: order-free sums of two hashes of all values of each row.
+
+    Any changed, lost or repeated value changes it, also beside a stored checksum that is intact.
+    """
+    values = [F.to_json(F.col(f"`{f.name}`")) if _has_map(f.dataType) else F.col(f"`{f.name}`") for f in df.schema]
+    missing = [F.col(f"`{f.name}`").isNull() for f in df.schema]  # a hash passes over NULL
+    sums = [F.sum(F.xxhash64(F.lit(seed), *values, *missing).cast("decimal(38,0)")).cast("string") for seed in (1, 2)]
+    return F.concat_ws("/", *sums)
+
+
+def _has_map(kind: T.DataType) -> bool:
+    inner = [f.dataType for f in kind] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else []
+    return isinstance(kind, T.MapType) or any(map(_has_map, inner))
 
 
-def land_bronze(stamped: DataFrame, path: str, batch_id: str, checksum: str = "_record_checksum") -> LandResult:
-    """Write one batch to its own partition, read it back, and compare counts and checksums of all rows.
+def land_bronze(stamped: DataFrame, path: str, batch_id: str) -> LandResult:
+    """Write one batch to its own partition, read it back, and compare counts and digests of all values.
 
     Writing the same batch again replaces its partition, so a repeat changes nothing.
     The figures of the written rows are observed during the write itself.
     """
     spark = stamped.sparkSession
     seen = Observation()
-    written = stamped.observe(seen, F.count(F.lit(1)).alias("rows"), fingerprint(checksum).alias("sum"))
+    written = stamped.observe(seen, F.count(F.lit(1)).alias("rows"), fingerprint(stamped).alias("sum"))
     (
         written.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -41,15 +51,21 @@ def land_bronze(stamped: DataFrame, path: str, batch_id: str, checksum: str = "_
     wrote = seen.get
     if not wrote["rows"]:
         raise ValueError("empty batch")
-    back = (
-        spark.read.schema(stamped.schema).parquet(path)
-        .filter(F.col("_batch_id") == batch_id)
-        .agg(F.count(F.lit(1)).alias("rows"), fingerprint(checksum).alias("sum"))
-        .first()
-    )
-    if (back["rows"], back["sum"]) != (wrote["rows"], wrote["sum"]):
-        raise RuntimeError(f"batch {batch_id}: wrote {wrote}, read back {back.asDict()}")
-    return LandResult(path, batch_id, back["rows"], str(back["sum"]))
+    verify_landed(spark, path, batch_id, stamped.schema, wrote["rows"], wrote["sum"])
+    return LandResult(path, batch_id, wrote["rows"], wrote["sum"])
+
+
+class LandingMismatch(RuntimeError):
+    """What was read back is not what was written."""
+
+
+def verify_landed(spark: SparkSession, path: str, batch_id: str, schema: T.StructType, rows: int, digest: str) -> None:
+    """Read a landed batch and compare its rows with the figures of what was written."""
+    back = spark.read.schema(schema).parquet(path).filter(F.col("_batch_id") == batch_id)
+    back = back.select(*[F.col(f"`{f.name}`") for f in schema])  # the partition column in its place
+    found = back.agg(F.count(F.lit(1)).alias("rows"), fingerprint(back).alias("sum")).first()
+    if (found["rows"], found["sum"]) != (rows, digest):
+        raise LandingMismatch(f"batch {batch_id}: wrote {rows} rows {digest}, read back {found['rows']} rows {found['sum']}")
 
 
 def overwrite_partitions(df: DataFrame, path: str, columns: Sequence[str]) -> None:
@@ -66,6 +82,17 @@ def append_quarantine(df: DataFrame, path: str) -> int:
     return seen.get["rows"]
 
 
+def replace_quarantine(df: DataFrame, path: str, batch_id: str) -> int:
+    """Write the rejected rows of one batch in place of those an earlier try has written; return their number.
+
+    Each batch has a folder of its own, so a retry neither doubles its rows nor keeps
+    rows that are no longer rejected.  Readers see the batch as column ``_batch``.
+    """
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{path}/_batch={batch_id}")
+    return seen.get["rows"]
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Header, every value quoted, quotes doubled."""
     (

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from strataforge.sources.ledger import Ledger
 
+if TYPE_CHECKING:
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState
+
 
 def stream_land(
     spark: SparkSession, source: str, target: str, checkpoint: str, schema: StructType, files_per_trigger: int | None = None
@@ -63,3 +68,68 @@ def stream_upsert(
         .start()
     )
     query.awaitTermination()
+
+
+def stream_changes(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    checkpoint: str,
+    schema: StructType,
+    key: Sequence[str],
+    event: str,
+    at: str,
+    delay: str,
+    files_per_trigger: int | None = None,
+) -> dict[str, int]:
+    """Append the changes of the latest row per key to ``target``, then stop; figures of this run.
+
+    Spark's state store holds what is known between batches and runs: the ids
+    (``event``) of the last ``delay`` of event time, so that a repeated event is dropped,
+    and the place (``at``, ``event``) of each key's latest row, so that an event older than that
+    changes nothing.  Events older than the watermark are dropped and counted as ``late``.
+    The file sink commits each micro-batch once, so a restart repeats nothing.  ``current``
+    reads the state.  A key's events may lie in any number of batches; the state of a key is one row.
+    """
+    order = [at, event]
+    state = ", ".join(f"{c} {schema[c].dataType.simpleString()}" for c in order)
+
+    def latest(_key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        best = held.get if held.exists else None
+        row = None
+        for frame in frames:
+            top = frame.sort_values(order).iloc[[-1]]
+            place = tuple(top[order].iloc[0])
+            if best is None or place > tuple(best):
+                best, row = place, top
+        if row is not None:
+            held.update(tuple(row[order].astype(object).iloc[0]))
+            yield row
+
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    once = reader.parquet(source).withWatermark(at, delay).dropDuplicatesWithinWatermark([event])
+    changes = once.groupBy(*key).applyInPandasWithState(latest, schema, state, "append", "NoTimeout")
+    query = (
+        changes.writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", target)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    figures = {"rows": 0, "late": 0, "batches": 0}
+    for progress in query.recentProgress:
+        figures["rows"] += progress["numInputRows"]
+        figures["batches"] += progress["numInputRows"] > 0
+        figures["late"] += sum(o["numRowsDroppedByWatermark"] for o in progress["stateOperators"])
+    return figures
+
+
+def current(spark: SparkSession, target: str, schema: StructType, key: Sequence[str], event: str, at: str) -> DataFrame:
+    """The latest row of each key of the changes written so far."""
+    rows = spark.read.schema(schema).parquet(target)
+    best = F.max_by(F.struct(*schema.names), F.struct(at, event)).alias("_row")
+    return rows.groupBy(*key).agg(best).select("_row.*")

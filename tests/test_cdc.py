@@ -212,3 +212,26 @@ def test_dedup_split_by_row_id(spark, rows):
     df = spark.createDataFrame([(1, "k", 5), (2, "k", 5), (3, "m", 1)], "id int, k string, v int")
     kept, discarded = cdc.dedup_split(df, ["k"], [F.desc("v")], row_id="id")
     assert (rows(kept, "id"), rows(discarded, "id")) == ([(1,), (3,)], [(2,)])
+
+
+def test_both_sides_of_a_split_come_from_one_join(spark):
+    df = feed(spark, ("a", "k", T1, "x"), ("b", "k", T1, "y"), ("c", "m", T1, "x"), ("d", None, T1, "x"), ("e", None, T1, "y"))
+    flagged = cdc.flag_conflicts(df, ["k"])
+    assert {r.id: r.rejection_reason for r in flagged.withColumnRenamed("record_id", "id").collect()} == {
+        "a": cdc.EQUAL_TIME_CONFLICT, "b": cdc.EQUAL_TIME_CONFLICT, "c": None, "d": None, "e": None,
+    }
+    plan = flagged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
+def test_counters_of_a_batch_are_observed_while_it_is_written(spark, monkeypatch):
+    from strataforge.plans import flows
+
+    df = feed(spark, ("a", "k", T1, "x"), ("b", "k", T1, "y"), ("c", "m", T1, "x"), ("d", "n", T2, "z"))
+    result = flows.silver_batch(df, df.limit(0), ["k"], [("BAD", "k = 'n'")], at="2024-03-01")
+    m = result.metrics.first().asDict()
+    assert m == {"source_rows": 4, "valid_rows": 3, "batch_conflicts": 2, "deduplicated": 1, "mergeable": 1, "stale": 0, "duplicate": 0, "quarantine": 0, "unclassified": 0}
+    assert "Scan" not in result.metrics._jdf.queryExecution().optimizedPlan().toString()  # figures, no further pass
+    assert {(r.record_id, r.rejection_reason) for r in result.quarantine.collect()} == {("a", cdc.EQUAL_TIME_CONFLICT), ("b", cdc.EQUAL_TIME_CONFLICT), ("d", "BAD")}
+    empty = flows.silver_batch(df.limit(0), df.limit(0), ["k"], at="2024-03-01")
+    assert set(empty.metrics.first().asDict().values()) == {0} and empty.candidate.count() == 0

@@ -1,7 +1,7 @@
 """Text, masking, planning, documents and readers on single cases."""
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from strataforge.functions import checksum, masking, text
 from strataforge.operators import audit, charts, marts, schema, star
@@ -153,18 +153,27 @@ def profile(entity, columns, key, confidence=1.0, candidates=()):
     return star.Profile(entity, tuple(columns), tuple(key), confidence, 10, tuple((c,) for c in candidates))
 
 
-def test_plan_prefers_the_key_the_others_share():
-    plan = star.plan_star(
+def test_plan_prefers_the_key_the_others_share(spark):
+    plan = star.star_plan(
+        spark,
         [
             profile("courses", ["subject_id", "section_id", "unit_id"], ["subject_id"], candidates=["subject_id", "section_id"]),
             profile("attendance", ["row_id", "section_id", "rate"], ["row_id"]),
             profile("units", ["unit_id", "unit_name"], ["unit_id"]),
             profile("other", ["x"], ["x"]),
-        ]
+        ],
     )
-    assert (plan.anchor, plan.anchor_key) == ("courses", ("section_id",))
-    assert [(link.entity, link.kind) for link in plan.links] == [("units", "dimension"), ("attendance", "fact")]
-    assert plan.disconnected == ("other",)
+    assert [(r.entity, r.role, r.join_columns) for r in plan] == [
+        ("courses", "anchor", ["section_id"]), ("other", "apart", []), ("units", "dimension", ["unit_id"]), ("attendance", "fact", ["section_id"]),
+    ]
+
+
+def test_plan_with_pairs_and_without_keys(spark):
+    pair = ["a_id", "b_id"]
+    plan = star.star_plan(spark, [profile("x", [*pair, "v"], pair), profile("y", [*pair, "w", "z"], ["w"]), profile("half", ["a_id"], [])])
+    assert {r.entity: (r.role, r.join_columns) for r in plan} == {"x": ("anchor", pair), "y": ("fact", pair), "half": ("apart", [])}
+    bare = star.star_plan(spark, [profile("m", ["v"], []), profile("n", ["v"], [])])
+    assert [(r.entity, r.role) for r in bare] == [("m", "anchor"), ("n", "apart")]
 
 
 def test_weak_keys_are_marked(spark):
@@ -188,7 +197,7 @@ def test_unsafe_anchor_is_refused(spark):
 def test_fact_without_match_gives_null(spark):
     orders = spark.createDataFrame([(1,), (2,)], "order_id int")
     lines = spark.createDataFrame([(1, 5.0), (1, 7.0)], "order_id int, amount double")
-    plan = star.StarPlan("orders", ("order_id",), 1.0, (star.Link("lines", "fact", ("order_id",), "orders"),), ())
+    plan = [Row(entity=e, role=r, join_columns=["order_id"]) for e, r in (("orders", "anchor"), ("lines", "fact"))]
     found = {r.order_id: r.lines__sum__amount for r in star.star_join({"orders": orders, "lines": lines}, plan).collect()}
     assert found == {1: 12.0, 2: None}
 
@@ -288,3 +297,46 @@ def test_key_pair_with_the_worst_names(spark):
     days = [(F.col("id") % 20).alias("region"), F.floor(F.col("id") / 20).alias("day")]
     found = star.infer_key(spark.range(1000).select(*ids, *days, F.lit(None).cast("string").alias("none")))
     assert set(found.key) == {"region", "day"} and found.confidence >= star.SAFE_FROM
+
+
+def jobs_of(spark, monkeypatch, action):
+    """How many frames an action collects from."""
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    count, collect = [], Frame.collect
+    monkeypatch.setattr(Frame, "collect", lambda self: count.append(1) or collect(self))
+    return action(), len(count)
+
+
+def test_a_pair_among_sixty_columns_takes_three_passes(spark, monkeypatch):
+    crowd = [(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(40 + i))).alias(f"c{i:02}_id") for i in range(58)]
+    df = spark.range(4000).select(*crowd, (F.col("id") % 80).alias("region"), F.floor(F.col("id") / 80).alias("day"))
+    found, passes = jobs_of(spark, monkeypatch, lambda: star.infer_key(df))
+    assert found.key in (("region", "day"), ("day", "region")) and found.confidence >= star.SAFE_FROM
+    assert passes <= 4  # the first pass sketches the columns, then counts them
+
+
+def test_sketches_rule_no_key_out(spark):
+    df = spark.range(30_000).select((F.col("id") % 200).alias("a"), F.floor(F.col("id") / 200).alias("b"), (F.col("id") % 7000).alias("c"), F.lit(5).alias("d"))
+    pairs = [("a", "b"), ("a", "c"), ("b", "c"), ("a", "d")]
+    assert star.likely_pairs(df, pairs, 30_000) == [("a", "b"), ("b", "c")]
+
+
+def test_profile_counts_exactly_by_bitmap_and_by_hash(spark):
+    df = spark.range(70_000).select(
+        (F.col("id") - 35_000).alias("dense"), (F.col("id") * 10**12).alias("wide"), F.concat(F.lit("x"), F.col("id") % 6543).alias("words"),
+        F.when(F.col("id") % 2 == 0, F.col("id")).alias("half"), F.lit(None).cast("int").alias("none"),
+    )
+    assert star._is_dense(star.sketch_columns(df, ["dense"])["dense"]) and not star._is_dense(star.sketch_columns(df, ["wide"])["wide"])
+    found = {r.column_name: (r.row_count, r.distinct_values, r.null_values) for r in star.profile_columns(df, df.columns).collect()}
+    assert found == {"dense": (70_000, 70_000, 0), "wide": (70_000, 70_000, 0), "words": (70_000, 6543, 0), "half": (70_000, 35_000, 35_000), "none": (70_000, 0, 70_000)}
+
+
+@pytest.mark.parametrize("name,want", [
+    ("Tên Đơn Vị", "ten_don_vi"), ("userID", "user_id"), ("HTTPServer2Name", "http_server2_name"), ("a--b c", "a_b_c"), ("ABC1", "abc1"),
+    ("A1B", "a1_b"), ("__x__", "x"), ("!!", "col"), ("already_snake", "already_snake"), ("X", "x"), ("ngày cập nhật", "ngay_cap_nhat"),
+])
+def test_snake_case(name, want):
+    from strataforge.functions.text import snake_case
+
+    assert snake_case(name) == want

@@ -2,8 +2,9 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import Window, functions as F
 
-from strataforge.functions.windows import percent_rank_global, rank_in_order, rows_between, sliced_neighbours
+from strataforge.functions.windows import ordered_neighbours, percent_rank_global, rank_in_order, rows_between
 from strataforge.operators.history import version_history
+from strataforge.session import staged
 
 SLOW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -55,8 +56,8 @@ def test_rows_between(spark, start):
     assert [r.v for r in rows_between(df, ["v"], start, 10).collect()] == wanted
 
 
-def test_sliced_neighbours_equal_the_windows(spark):
-    df = skewed(spark)
+def test_ordered_neighbours_equal_the_windows(spark):
+    df = skewed(spark).union(spark.range(50).selectExpr("CAST(NULL AS STRING)" if dict(skewed(spark).dtypes)["k"] == "string" else "CAST(NULL AS BIGINT)", "id", "id + 900000000")).repartition(5)
     w = Window.partitionBy("k").orderBy("v", "id")
     wanted = df.select(
         "k", "v", "id",
@@ -64,12 +65,27 @@ def test_sliced_neighbours_equal_the_windows(spark):
         F.lag("id").over(w).alias("before"),
         F.lead("v").over(w).alias("after"),
     )
-    found = sliced_neighbours(
-        df, ["k"], ["v", "id"], F.floor(F.col("v") / 100), number="n", previous={"before": F.col("id")}, following={"after": F.col("v")}
-    )
+    found = ordered_neighbours(df, ["k"], ["v", "id"], number="n", previous={"before": F.col("id")}, following={"after": F.col("v")})
     assert found.count() == df.count() and found.exceptAll(wanted).count() == 0
 
 
+def test_a_record_with_a_million_changes_in_one_day(spark):
+    changes = spark.range(1_000_000).select(
+        F.lit(7).alias("k"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 1000).alias("ts"), "id", (F.col("id") % 3).alias("x"), F.lit(0).alias("y")
+    )
+    df = changes.union(changes.limit(20).withColumn("k", F.lit(1))).repartition(8)
+    found = version_history(df, "k", "ts", "id", ["x", "y"])
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    numbered = df.select("k", "id", F.row_number().over(w).cast("bigint").alias("version_number"), F.lead("ts").over(w).alias("valid_to"), F.lag("x").over(w).alias("was"))
+    both = found.join(numbered, ["k", "id"])
+    wrong = (found.version_number != numbered.version_number) | ~found.valid_to.eqNullSafe(numbered.valid_to)
+    wrong = wrong | ((F.size("changes") > 0) != F.coalesce(numbered.was != found.x, F.lit(False)))
+    assert both.count() == df.count() and both.where(wrong).count() == 0
+    # the long record lies in several tasks
+    parts = staged(df.orderBy("k", "ts", "id").withColumn("p", F.spark_partition_id()), "parts")
+    assert parts.where("k = 7").select("p").distinct().count() > 3
+
+
 def test_history_reports_values_that_become_null(spark):
     df = spark.createDataFrame(
         [(1, 10, 1, "a", 5), (1, 20, 2, "a", None), (1, 30, 3, "b", None)], "k int, s int, id int, x string, y int"
