@@ -18,7 +18,7 @@ from strataforge.operators.schema import apply_mapping, evolve, standardize_colu
 from strataforge.operators.star import Roles
 from strataforge.session import staged
 from strataforge.sources.ledger import Ledger
-from strataforge.sources.sinks import LandResult, land_bronze
+from strataforge.sources.sinks import LandResult, land_bronze, observed
 
 
 @dataclass(frozen=True)
@@ -71,8 +71,8 @@ def silver_batch(
         classes = staged(classified(bad).observe(seen[2], *class_figures), "classes")
         names = ["source_rows", "valid_rows", "batch_conflicts", "deduplicated", "mergeable", "stale", "duplicate", "quarantine", "unclassified"]
         figures = dict.fromkeys(names, 0)  # a plan known to be empty observes nothing
-        for observed in seen:
-            figures |= observed.get
+        for part in seen:
+            figures |= observed(part)
         metrics = feed.sparkSession.range(1).select(*[F.lit(v).cast("bigint").alias(n) for n, v in figures.items()])
     else:
         bad = cdc.key_conflicts(valid, key, updated, checksum)
