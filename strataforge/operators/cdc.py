@@ -278,11 +278,23 @@ def merge_cdc(
     return untouched.unionByName(_completed(alive, target, key), allowMissingColumns=True)
 
 
+def repeated_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Keys of more than one row, with their number of rows as ``_n``; NULL is a key like any other."""
+    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+
+
 def repair_duplicates(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
-    """(repaired table, one row with rows removed and duplicate keys left)."""
-    kept, discarded = dedup_split(df, key, order)
-    left = kept.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    count = F.count(F.lit(1))
-    audit = side_by_side(discarded.agg(count.alias("removed")), left.agg(count.alias("duplicates_left")))
-    return kept, audit
+    """(repaired table, one row with rows removed and duplicate keys left).
 
+    Keys are counted first, with partial counts and without other columns.  Only rows
+    of repeated keys are ranked.  The repeated keys are written once, so Spark knows their size: few of
+    them are broadcast, and all other rows then pass without a shuffle.  Rows equal in
+    ``order`` are told apart by the hash of all columns.
+    """
+    repeated = staged(repeated_keys(df, key), "repeated")
+    keys = repeated.select(*key)
+    chosen = first_per_key(join_nullsafe(df, keys, key, "left_semi"), key, [*order, row_checksum(sorted(df.columns))])
+    repaired = join_nullsafe(df, keys, key, "left_anti").unionByName(chosen)
+    count = F.count(F.lit(1))
+    removed = repeated.agg((F.coalesce(F.sum("_n"), F.lit(0)) - count).alias("removed"))
+    return repaired, side_by_side(removed, repeated_keys(chosen, key).agg(count.alias("duplicates_left")))

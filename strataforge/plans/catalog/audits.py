@@ -1,11 +1,10 @@
 """Queries for payload contracts, audits, gates, reconciliation and expectations."""
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from strataforge.operators import audit, cdc, marts, quality
-from strataforge.operators.expectations import MODES, Expectation, apply_policy, validate
+from strataforge.operators.expectations import MODES, Expectation, apply_policies, validate
 from strataforge.operators.schema import Contract, stamp, with_extra_fields
 from strataforge.plans import flows
 from strataforge.plans.catalog.common import AS_OF, FEED_KEY, feed_steps, merged_state
@@ -377,8 +376,7 @@ def q21(t):
       FROM s, (VALUES ('off'), ('report'), ('enforce')) AS m(mode)""",
 )
 def q22(t):
-    results = validate(t.lineitem, SUITE)
-    return reduce(DataFrame.unionByName, [apply_policy(results, mode) for mode in MODES])
+    return apply_policies(validate(t.lineitem, SUITE), MODES)
 
 
 COUNTED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]

@@ -21,6 +21,7 @@ from strataforge.plans.catalog.state import LINE_RULES, LINE_SQL
 from strataforge.plans.registry import query
 from strataforge.session import scratch
 from strataforge.sources import documents, files, pages, sinks
+from strataforge.sources.entities import read_entity_files
 from strataforge.sources.ledger import Ledger
 
 
@@ -91,7 +92,26 @@ def s4(t):
     root = scratch(t.spark, "entity")
     t.nation.toDF("EntityKey", "Label", "N RegionKey".replace(" ", "_")).write.parquet(f"{root}/a")
     t.region.toDF("EntityKey", "Label").write.parquet(f"{root}/b")
-    return files.read_entity(t.spark, [f"{root}/a", f"{root}/b"]).withColumnRenamed("n_region_key", "n_regionkey")
+    rows, _ = read_entity_files(t.spark, [f"{root}/a", f"{root}/b"])
+    return rows.withColumnRenamed("n_region_key", "n_regionkey")
+
+
+@query(
+    "S4_entity_formats",
+    """SELECT c_custkey AS cust_key, c_name AS name, CAST(c_acctbal AS DOUBLE) AS balance,
+         CASE WHEN c_custkey % 4 <> 1 THEN c_mktsegment END AS segment FROM customer""",
+)
+def s4_formats(t):
+    """One entity in four formats: other column orders, a missing column, other types of one column."""
+    root = scratch(t.spark, "formats")
+    part = [t.customer.filter(F.col("c_custkey") % 4 == n) for n in range(4)]
+    key, name, balance, segment = F.col("c_custkey").alias("CustKey"), F.col("c_name").alias("Name"), F.col("c_acctbal").cast("double").alias("Balance"), F.col("c_mktsegment").alias("Segment")
+    part[0].select(key, name, balance, segment).write.option("header", True).csv(f"{root}/a.csv")
+    part[1].select(balance, name, key).write.option("header", True).option("sep", "\t").csv(f"{root}/b.tsv")
+    part[2].select(segment, key, balance, name).write.json(f"{root}/c.json")
+    part[3].select(key.cast("int"), name, balance.cast("decimal(12,2)"), segment).toDF("CustKey", "Name", "Balance", "Segment").write.parquet(f"{root}/d.parquet")
+    rows, _ = read_entity_files(t.spark, [f"{root}/{n}" for n in ("a.csv", "b.tsv", "c.json", "d.parquet")])
+    return rows.withColumn("cust_key", F.col("cust_key").cast("bigint"))
 
 
 def event_pages(t) -> DataFrame:

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
+from strataforge.operators import cdc
+from strataforge.session import staged
+
 
 @dataclass(frozen=True)
 class LandResult:
@@ -83,6 +88,33 @@ def overwrite_partitions(df: DataFrame, path: str, columns: Sequence[str]) -> No
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
 
 
+def repair_partitions(spark: SparkSession, path: str, columns: Sequence[str], key: Sequence[str], order: Sequence[Column]) -> int:
+    """Leave one row per key in a partitioned table and return the number of partitions rewritten.
+
+    The keys are counted from their columns alone; the rest is read from partitions that hold a repeated
+    key, and only these are written.  The driver learns the names of those partitions, fewer
+    than it lists to plan any scan.  The result is staged before a partition is replaced, and a partition left
+    without rows is removed last: a run that stops between can be repeated with the same choice of rows.
+    """
+    table = spark.read.parquet(path)
+    keys = staged(cdc.repeated_keys(table, key).select(*key), "repeated")
+    folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_folder")
+    placed = table.select(*dict.fromkeys([*columns, *key]), folder)
+    folders: dict[tuple, set[str]] = {}
+    for row in cdc.join_nullsafe(placed, keys, key, "left_semi").select(*columns, "_folder").distinct().collect():
+        folders.setdefault(tuple(row)[:-1], set()).add(row["_folder"])
+    if not folders:
+        return 0
+    held = reduce(or_, [reduce(and_, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(columns, values)]) for values in folders])
+    repaired, _ = cdc.repair_duplicates(table.filter(held), key, order)
+    repaired = staged(repaired, "repaired")
+    overwrite_partitions(repaired, path, columns)
+    for values in set(folders) - {tuple(r) for r in repaired.select(*columns).distinct().collect()}:
+        for emptied in folders[values]:
+            delete(spark, emptied)
+    return len(folders)
+
+
 def append_quarantine(df: DataFrame, path: str) -> int:
     """Append rejected rows and return their number; nothing is written when there are none."""
     if df.isEmpty():
@@ -133,6 +165,13 @@ def rename_new(spark: SparkSession, source: str, target: str) -> bool:
     return True
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder on whichever file system it names."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on whichever file system it names."""
     jvm = spark.sparkContext._jvm
