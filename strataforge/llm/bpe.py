@@ -1,4 +1,4 @@
-"""Byte-level BPE encoding and decoding by merge replay over the distinct words of a slice of the corpus."""
+"""Byte-level BPE encoding and decoding by merge replay over an index of the pairs in a slice's distinct words."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from pyspark.sql.functions import arrow_udf
 
 from strataforge.llm.text import ready, slices, utf8, with_result
 
-SLICE_BYTES = 1 << 20  # texts whose distinct words are replayed together
+SLICE_BYTES = 2 << 20  # texts whose distinct words are replayed together
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -28,7 +28,6 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 NONE = np.int64(1) << 40  # rank of a pair that never merges
-LONG_WORD = 1024  # bytes; longer words are replayed with linked neighbours
 
 
 class Merges:
@@ -46,159 +45,99 @@ class Merges:
         found.sort()
         self.keys = np.array([k for k, _ in found] or [-1], np.int64)
         self.ranks = np.array([r for _, r in found] or [0], np.int64)
-        self.table: dict[int, int] = {}
+        self.table = dict(found)
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left << 32 | right
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.ranks[at], NONE)
 
-    def rank(self, left: int, right: int) -> int:
-        if not self.table:
-            self.table = dict(zip(self.keys.tolist(), self.ranks.tolist()))
-        return self.table.get(left << 32 | right, -1)
-
 
 def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words end to end, and the offsets of each word."""
+    """Ids of all words end to end, and the offsets of each word; words that are a token as a whole need no merge."""
     whole = np.fromiter((merges.ids.get(w, -1) for w in words), np.int64, len(words))
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    known = np.flatnonzero(whole >= 0)
-    tokens, owner = [whole[known]], [known]
-    for i in np.flatnonzero((whole < 0) & (sizes > LONG_WORD)).tolist():
-        ids = replay_long(words[i], merges)
-        tokens.append(np.array(ids, np.int64))
-        owner.append(np.full(len(ids), i))
-    plain = np.flatnonzero((whole < 0) & (sizes <= LONG_WORD))
-    ids, places = replay_waves([words[i] for i in plain.tolist()], merges)
-    tokens, owner = np.concatenate([*tokens, ids]), np.concatenate([*owner, plain[places]])
+    known, open_words = np.flatnonzero(whole >= 0), np.flatnonzero(whole < 0)
+    ids, places = replay_index([words[i] for i in open_words.tolist()], merges)
+    tokens, owner = np.concatenate([whole[known], ids]), np.concatenate([known, open_words[places]])
     order = np.argsort(owner, kind="stable")
     return tokens[order].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
 
 
-def replay_waves(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+def pair_index(tokens: np.ndarray, owner: np.ndarray, merges: Merges) -> dict[int, list[int]]:
+    """Positions by the rank of the pair that begins there, ascending; pairs across words and pairs that never merge are left out."""
+    at = np.flatnonzero(owner[1:] == owner[:-1])
+    keys = tokens[at] << 32 | tokens[at + 1]
+    pairs, which = np.unique(keys, return_inverse=True)  # each distinct pair is looked up once
+    ranks = merges.lookup(pairs >> 32, pairs & 0xFFFFFFFF)[which]
+    merging = ranks != NONE
+    at, ranks = at[merging], ranks[merging]
+    order = np.argsort(ranks, kind="stable")
+    at, ranks = at[order], ranks[order]
+    cuts = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]])) if len(ranks) else at
+    bounds = [*cuts.tolist(), len(ranks)]
+    return {int(ranks[a]): at[a:b].tolist() for a, b in zip(bounds, bounds[1:])}
+
+
+def replay_index(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
     """Merge replay over many words at once: the ids, and the number of the word of each.
 
-    All words lie in one array of token ids, ``ranks`` being the index from each
-    position to the rank of the pair that begins there.  Each wave applies the
-    next merge in rank order of every word, wherever its pair occurs in the word,
-    and looks up again only the pairs next to a merge.  If a merge makes a pair
-    of lower rank, that word takes its leftmost occurrence alone, as the
-    order of ranks demands.
+    All words lie in one array of token ids.  ``index`` has, for each rank, the
+    positions where a pair of that rank begins, in whatever word (all pairs of one
+    rank make the same token); a heap names the lowest rank that has positions.  A merge
+    removes the right half and looks up again only the pairs with its two neighbours,
+    found by links.  When a merge makes a pair of lower rank, the places left wait until that
+    one is done; what is made meanwhile holds the token of the waiting rank, so no place joins them.
     """
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     tokens = merges.single[np.frombuffer(b"".join(words), np.uint8)]
     owner = np.repeat(np.arange(len(words)), sizes)
-    done_tokens, done_owner = [], []
-    inner = np.zeros(len(tokens), bool)
-    inner[:-1] = owner[1:] == owner[:-1]
-    ranks = np.full(len(tokens), NONE)
-    at = np.flatnonzero(inner)
-    keys = tokens[at] << 32 | tokens[at + 1]
-    order = np.argsort(keys)  # positions by pair: each distinct pair is looked up once
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else at
-    found = merges.lookup(keys[first] >> 32, keys[first] & 0xFFFFFFFF)
-    ranks[at[order]] = np.repeat(found, np.diff(np.append(first, len(keys))))
-    while len(tokens):
-        head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        lengths = np.diff(np.append(head, len(tokens)))
-        least = np.repeat(np.minimum.reduceat(ranks, head), lengths)
-        ended = least == NONE
-        if ended.any():
-            done_tokens.append(tokens[ended])
-            done_owner.append(owner[ended])
-            going = ~ended
-            tokens, owner, ranks, least = tokens[going], owner[going], ranks[going], least[going]
-            if not len(tokens):
-                break
-        places = np.flatnonzero(ranks == least)
-        # of overlapping occurrences every second one merges, from the left
-        new_run = np.concatenate([[True], np.diff(places) > 1])
-        run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(places)), 0))
-        places = places[(np.arange(len(places)) - run_start) % 2 == 0]
-        alone = np.zeros(0, np.int64)
-        while True:
-            merged = tokens.copy()
-            merged[places] = least[places]
-            keep = np.ones(len(tokens), bool)
-            keep[places + 1] = False
-            spot = (np.cumsum(keep) - 1)[places]
-            next_tokens, next_owner, next_ranks = merged[keep], owner[keep], ranks[keep]
-            near = np.zeros(len(next_tokens), bool)
-            near[spot] = True
-            near[np.maximum(spot, 1) - 1] = True
-            touched = np.flatnonzero(near)
-            inside = touched[touched < len(next_tokens) - 1]
-            inside = inside[next_owner[inside] == next_owner[inside + 1]]
-            next_ranks[touched] = NONE
-            next_ranks[inside] = merges.lookup(next_tokens[inside], next_tokens[inside + 1])
-            if len(alone):
-                break
-            # words that must not merge all occurrences at once
-            several = owner[places[1:]] == owner[places[:-1]]
-            low = next_owner[inside[next_ranks[inside] < least[keep][inside]]]
-            close = places[:-1][several & (np.diff(places) == 2)]
-            between = owner[close[merges.lookup(least[close], tokens[close + 2]) < least[close]]]
-            alone = np.intersect1d(np.concatenate([low, between]), owner[places[1:][several]])
-            if not len(alone):
-                break
-            first_of = np.concatenate([[True], ~several])
-            places = places[first_of | ~np.isin(owner[places], alone)]
-        tokens, owner, ranks = next_tokens, next_owner, next_ranks
-    if not done_tokens:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(done_tokens), np.concatenate(done_owner)
-
-
-def replay_long(word: bytes, merges: Merges) -> list[int]:
-    """Merge replay of one long word, in time near its length.
-
-    ``index`` has the positions where a pair of each rank begins; ranks are taken
-    from a heap, and a merge touches its neighbours by links.  When a merge makes a
-    pair of lower rank, the places left wait until that rank is done.
-    """
-    ids = merges.single[np.frombuffer(word, np.uint8)].tolist()
-    n = len(ids)
-    following, before = [*range(1, n), -1], list(range(-1, n - 1))
-    index: dict[int, list[int]] = {}
-    for i in range(n - 1):
-        r = merges.rank(ids[i], ids[i + 1])
-        if r >= 0:
-            index.setdefault(r, []).append(i)
-    heap = list(index)
-    heapq.heapify(heap)
-
-    def enter(place: int, r: int) -> None:
-        if r not in index:
-            index[r] = []
-            heapq.heappush(heap, r)
-        index[r].append(place)
-
-    while heap:
-        r = heapq.heappop(heap)
-        places = sorted(index.pop(r, ()))
-        for k, place in enumerate(places):
+    if not len(tokens):
+        return tokens, owner
+    index = pair_index(tokens, owner, merges)
+    ranks, waiting = sorted(index), {}
+    joined = owner[1:] == owner[:-1]
+    numbers = np.arange(len(tokens))
+    following = np.append(np.where(joined, numbers[1:], -1), -1).tolist()
+    before = np.append(-1, np.where(joined, numbers[:-1], -1)).tolist()
+    ids = tokens.tolist()
+    rank_of, at_rank = merges.table.get, index.get
+    while ranks:
+        rank = heapq.heappop(ranks)
+        base = rank << 32
+        places = waiting.pop(rank, None) or iter(sorted(index.pop(rank)))
+        for place in places:
             right = following[place]
-            if ids[place] < 0 or right < 0 or merges.rank(ids[place], ids[right]) != r:
+            if right < 0 or rank_of(ids[place] << 32 | ids[right]) != rank:
                 continue  # a merge next to it took one half
-            ids[place], ids[right] = r, -1
+            ids[place], ids[right] = rank, -1
             after, previous = following[right], before[place]
             following[place] = after
-            made = []
             if after >= 0:
                 before[after] = place
-                made.append((place, merges.rank(r, ids[after])))
+                made = rank_of(base | ids[after])
+                if made is not None:
+                    known = at_rank(made)
+                    if known is None:
+                        index[made] = [place]
+                        heapq.heappush(ranks, made)
+                    else:
+                        known.append(place)
             if previous >= 0:
-                made.append((previous, merges.rank(ids[previous], r)))
-            for where, new in made:
-                if new >= 0:
-                    enter(where, new)
-            if any(0 <= new < r for _, new in made):
-                for rest in places[k + 1 :]:
-                    enter(rest, r)
+                made = rank_of(ids[previous] << 32 | rank)
+                if made is not None:
+                    known = at_rank(made)
+                    if known is None:
+                        index[made] = [previous]
+                        heapq.heappush(ranks, made)
+                    else:
+                        known.append(previous)
+            if ranks and ranks[0] < rank:
+                waiting[rank] = places
+                heapq.heappush(ranks, rank)
                 break
-    return [x for x in ids if x >= 0]
+    merged = np.array(ids, np.int64)
+    left = merged >= 0
+    return merged[left], owner[left]
 
 
 def encode_texts(texts: pa.Array, merges: Merges, pattern) -> pa.Array:
@@ -229,8 +168,8 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", into: st
     """Add the token ids of every whole text.
 
     A word never depends on another, so the corpus is replayed in slices of
-    bounded bytes: each slice indexes its distinct words and applies every merge in
-    rank order.  No shuffle is needed, and a lost task repeats its slices only.
+    bounded bytes: each slice indexes the pairs of its distinct words and applies every merge in
+    rank order to all of them.  No shuffle is needed, and a lost task repeats its slices only.
     The rank file is read by the driver; its size, not the data's, bounds the broadcast.
 
     NULL and empty texts have no ids.  Repeated rows are encoded each.  Other columns

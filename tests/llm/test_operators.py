@@ -196,13 +196,40 @@ def test_merge_replay(spark, odd):
     assert bpe.encode(odd.limit(0), RANKS, P.PATTERN).count() == 0
 
 
-def test_long_words_replay_alike():
+def merged_plainly(word, merges):
+    ids = [int(merges.single[b]) for b in word]
+    while True:
+        found = [(merges.table[pair], i) for i in range(len(ids) - 1) if (pair := ids[i] << 32 | ids[i + 1]) in merges.table]
+        if not found:
+            return ids
+        rank, i = min(found)
+        ids[i : i + 2] = [rank]
+
+
+def test_replay_over_one_index_of_all_words():
     merges = bpe.Merges(bpe.read_ranks(RANKS))
     rnd = random.Random(2)
-    for _ in range(150):
-        word = "".join(rnd.choice("aehinorst") for _ in range(rnd.randint(2, 60))).encode()
-        waves, owner = bpe.replay_waves([word], merges)
-        assert waves.tolist() == bpe.replay_long(word, merges) and set(owner.tolist()) == {0}
+    words = ["".join(rnd.choice("aehinorst") for _ in range(rnd.randint(2, 60))).encode() for _ in range(200)]
+    words += [b"a" * 301, b"ab" * 700 + b"aab", bytes(range(256)), b"x", "\u00e9\u0117".encode() * 40]
+    ids, owner = bpe.replay_index(words, merges)
+    for i, word in enumerate(words):
+        assert ids[owner == i].tolist() == merged_plainly(word, merges)
+    assert bpe.replay([b"ing", *words], merges)[0].tolist()[1:] == ids.tolist()
+    assert [len(x) for x in bpe.replay_index([], merges)] == [0, 0]
+
+
+def test_ranks_wait_for_a_lower_one_that_a_merge_makes():
+    # token ranks: ab (258) comes after abc (257), so that abc is done wherever ab has just been made
+    tokens = [bytes([b]) for b in range(256)] + [b"bc", b"abc", b"ab", b"abcabc"]
+    merges = bpe.Merges(tokens)
+    for word in (b"abcabcabc", b"ababcab", b"abab" * 50 + b"c", b"aabcbcab"):
+        assert bpe.replay_index([word], merges)[0].tolist() == merged_plainly(word, merges)
+    swapped = bpe.Merges([bytes([b]) for b in range(256)] + [b"abc", b"ab", b"abab"])  # abc only from ab and c
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 80))).encode() for _ in range(300)]
+    ids, owner = bpe.replay_index(words, swapped)
+    for i, word in enumerate(words):
+        assert ids[owner == i].tolist() == merged_plainly(word, swapped)
 
 
 def repeats_plainly(rows, depth):
