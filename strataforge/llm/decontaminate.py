@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +12,10 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from strataforge.llm.text import fresh, ready, slices, utf8, with_result
+from strataforge.session import staged
 
 WINDOW = 13  # words of one benchmark passage that count as copied
-BLOCK_BYTES = 8 << 20  # benchmark text searched for in one pass over the documents
+BLOCK_BYTES = 4 << 20  # benchmark text searched for in one pass over the documents
 SCAN_BYTES = 2 << 20
 LANE = 1024  # bytes scanned by one cursor
 TABLE_BITS = 20
@@ -38,7 +40,9 @@ class Patterns:
 
     ``shift`` tells by the hash of a block of ``block`` bytes how far the search
     may move; zero means that the block ends some pattern's first ``least``
-    bytes.  ``keys`` and ``first`` are the buckets of such blocks.
+    bytes.  ``keys`` and ``first`` are the buckets of such blocks.  A pattern is a
+    range ``starts`` to ``ends`` of ``text``, the items of all windows one after the other; ``owners``
+    from ``cuts`` on are the numbers of the items that have it.
     """
 
     least: int
@@ -46,10 +50,17 @@ class Patterns:
     shift: np.ndarray
     keys: np.ndarray
     first: np.ndarray
-    members: np.ndarray
-    texts: list[bytes]
-    words: list[int]
-    items: list[list[int]]
+    text: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    words: np.ndarray
+    owners: np.ndarray
+    cuts: np.ndarray
+
+    def size(self) -> int:
+        """Bytes of all tables."""
+        arrays = (self.shift, self.keys, self.first, self.starts, self.ends, self.words, self.owners, self.cuts)
+        return len(self.text) + sum(a.nbytes for a in arrays)
 
 
 def block_values(data: np.ndarray, at: np.ndarray, block: int) -> np.ndarray:
@@ -63,26 +74,38 @@ def slot(values: np.ndarray) -> np.ndarray:
     return (values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)
 
 
-def compile_patterns(found: dict[bytes, list[int]]) -> list[Patterns]:
+def compile_patterns(windows: Windows) -> list[Patterns]:
     """Tables per class of lengths, as one short pattern would shrink every shift."""
-    classes: dict[int, list[bytes]] = {}
-    for text in sorted(found):
-        classes.setdefault(min(6, len(text).bit_length()), []).append(text)
     out = []
-    for texts in classes.values():
-        least = min(map(len, texts))
+    lengths = windows.ends - windows.starts
+    kinds = np.minimum(6, np.frexp(lengths)[1])  # bits of the length
+    data = np.frombuffer(windows.text + bytes(8), np.uint8)
+    for kind in np.unique(kinds).tolist():
+        chosen = np.flatnonzero(kinds == kind)
+        starts, ends = windows.starts[chosen], windows.ends[chosen]
+        least = int(lengths[chosen].min())
         block = min(8, least)
-        heads = np.frombuffer(b"".join(t[:least] for t in texts) + bytes(8), np.uint8)
         shift = np.full(1 << TABLE_BITS, least - block + 1, np.int32)
-        starts = np.arange(len(texts), dtype=np.int64) * least
         for i in range(least - block + 1):  # the last writer is the nearest to the end
-            np.minimum.at(shift, slot(block_values(heads, starts + i, block)), least - block - i)
-        ends = block_values(heads, starts + least - block, block)
-        order = np.argsort(ends, kind="stable")
-        keys, first = np.unique(ends[order], return_index=True)
+            np.minimum.at(shift, slot(block_values(data, starts + i, block)), np.int32(least - block - i))
+        tails = block_values(data, starts + least - block, block)
+        # equal windows are one pattern with several owners
+        names = np.fromiter((hash(windows.text[s:e]) for s, e in zip(starts.tolist(), ends.tolist())), np.int64, len(starts))
+        order = np.lexsort((names, tails))
+        starts, ends, tails, names, owners = starts[order], ends[order], tails[order], names[order], windows.items[chosen][order]
+        text = windows.text
+        new = [True] + [
+            not (n and t and text[starts[i + 1] : ends[i + 1]] == text[starts[i] : ends[i]])
+            for i, (n, t) in enumerate(zip((names[1:] == names[:-1]).tolist(), (tails[1:] == tails[:-1]).tolist()))
+        ]
+        heads = np.flatnonzero(new)
+        keys, first = np.unique(tails[heads], return_index=True)
         out.append(
-            Patterns(least, block, shift, keys, np.append(first, len(texts)), order, texts, [t.count(b" ") - 1 for t in texts], [found[t] for t in texts])
-        )
+            Patterns(
+                least, block, shift, keys, np.append(first, len(heads)).astype(np.int32),
+                text, starts[heads], ends[heads], windows.words[chosen][order][heads], owners, np.append(heads, len(owners)).astype(np.int32),
+            )
+        )
     return out
 
 
@@ -109,8 +132,8 @@ def search(data: np.ndarray, size: int, patterns: Patterns) -> Iterator[tuple[in
             bucket = np.minimum(np.searchsorted(patterns.keys, found), len(patterns.keys) - 1)
             same = patterns.keys[bucket] == found
             for where, b in zip(at[hit[same]].tolist(), bucket[same].tolist()):
-                for p in patterns.members[patterns.first[b] : patterns.first[b + 1]].tolist():
-                    if raw.startswith(patterns.texts[p], where):
+                for p in range(patterns.first[b], patterns.first[b + 1]):
+                    if raw.startswith(patterns.text[patterns.starts[p] : patterns.ends[p]], where):
                         yield where, p
             move[hit] = 1
         at = at + move
@@ -131,7 +154,8 @@ def scan(texts: pa.Array, tables: list[Patterns], names: list[str | None]) -> li
         for table in tables:
             for where, p in search(joined, int(ends[-1]), table):
                 doc = int(np.searchsorted(ends, where, "right"))
-                hits.setdefault(doc, []).append((where, table.words[p], table.items[p]))
+                owners = table.owners[table.cuts[p] : table.cuts[p + 1]].tolist()
+                hits.setdefault(doc, []).append((where, int(table.words[p]), owners))
         for i, (form, n_words) in enumerate(folded):
             if i not in hits:
                 out.append((n_words, 0, [], []))
@@ -158,18 +182,32 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def passages(items: list[tuple[str | None, str | None]], window: int) -> dict[bytes, list[int]]:
-    """Every window of the items in canonical form, with the numbers of the items that have it."""
-    found: dict[bytes, list[int]] = {}
+@dataclass
+class Windows:
+    """Windows of items as ranges of their text in canonical form, with the number of their words and of their item."""
+
+    text: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    words: np.ndarray
+    items: np.ndarray
+
+
+def passages(items: list[tuple[str | None, str | None]], window: int) -> Windows:
+    """Every window of the items; an item of fewer words, but not none, is one window."""
+    forms, at, parts = [], 0, []
     for number, (_, text) in enumerate(items):
         form, n = canonical((text or "").encode())
         if not n:
             continue
-        cuts = [i for i, b in enumerate(form) if b == 32]
+        spaces = np.flatnonzero(np.frombuffer(form, np.uint8) == 32)
         k = min(window, n)
-        for i in range(n - k + 1):
-            found.setdefault(form[cuts[i] : cuts[i + k] + 1], []).append(number)
-    return {t: sorted(set(v)) for t, v in found.items()}
+        parts.append((at + spaces[: n - k + 1], at + spaces[k:] + 1, np.full(n - k + 1, k), np.full(n - k + 1, number)))
+        forms.append(form)
+        at += len(form)
+    if not parts:
+        return Windows(b"", *[np.zeros(0, np.int32)] * 4)
+    return Windows(b"".join(forms), *[np.concatenate(x).astype(np.int32) for x in zip(*parts)])
 
 
 def searcher(tables):
@@ -187,6 +225,13 @@ def searcher(tables):
     return overlap
 
 
+def block_tables(items: DataFrame, window: int):
+    """(broadcast of the tables of some items and their ids, bytes of the tables)."""
+    rows = sorted({(r.i, r.t) for r in items.collect()}, key=lambda r: (r[0] or "", r[1] or ""))
+    tables = compile_patterns(passages(rows, window))
+    return items.sparkSession.sparkContext.broadcast((tables, [r[0] for r in rows])), sum(t.size() for t in tables)
+
+
 def find_passages(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
     into: str = "overlap", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
@@ -198,9 +243,10 @@ def find_passages(
     windows, as strings, sorted).
 
     The benchmark is taken in blocks of about ``block_bytes`` of text (an item is
-    never divided), so what the driver compiles and broadcasts is bounded
-    however large the benchmark is; each block is one pass over the documents
-    without a shuffle, and the passes are merged row by row.
+    never divided).  With one block the documents are read once, without a shuffle.  With
+    more, numbered documents are written to the shared folder and searched for one block after the
+    other: the driver and every task hold the tables of one block at a time, however large the benchmark is, and each
+    pass writes only the documents it has hits in.  The hits of all passes are then joined by row number.
 
     NULL or empty document: no words, no hits.  NULL or wordless item: no
     windows; a NULL item id takes part in ``hits`` but cannot be listed.  Repeated
@@ -211,36 +257,38 @@ def find_passages(
     chosen = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t"))
     total = chosen.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_bytes))
-    names = [fresh(docs, f"_pass_{i}") for i in range(blocks)]
-    out = docs
-    for number, name in enumerate(names):
-        part = chosen if blocks == 1 else chosen.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == number)
-        rows = sorted({(r.i, r.t) for r in part.collect()}, key=lambda r: (r[0] or "", r[1] or ""))
-        tables = spark.sparkContext.broadcast((compile_patterns(passages(rows, window)), [r[0] for r in rows]))
-
-        out = out.withColumn(name, searcher(tables)(F.col(text).cast("string")))
+    found = F.col(text).cast("string")
     if blocks == 1:
-        merged = F.col(names[0])
-    else:
-        spans = F.array_sort(F.flatten(F.array(*[F.col(f"{n}.hits") for n in names])))
-        joined = F.aggregate(
-            spans,
-            F.array().cast("array<struct<start:long,end:long>>"),
-            lambda acc, s: F.when(
-                (F.size(acc) > 0) & (s["start"] <= F.element_at(acc, -1)["end"]),
-                F.concat(
-                    F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                    F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))),
-                ),
-            ).otherwise(F.concat(acc, F.array(s))),
-        )
-        merged = F.struct(
-            F.col(f"{names[0]}.n_words").alias("n_words"),
-            F.aggregate(joined, F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"]).alias("n_hit"),
-            joined.alias("hits"),
-            F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{n}.items") for n in names])))).alias("items"),
-        )
-    return with_result(out, into, merged).drop(*names)
+        tables, _ = block_tables(chosen, window)
+        return with_result(docs, into, searcher(tables)(found))
+    row = fresh(docs, "_row")
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    passes = []
+    for number in range(blocks):
+        tables, size = block_tables(chosen.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == number), window)
+        hits = numbered.select(F.col(f"`{row}`").alias("row"), searcher(tables)(found).alias("o")).select("row", "o.*")
+        # the first pass tells the words of every document, later ones have hits only
+        passes.append(staged(hits if number == 0 else hits.where("n_hit > 0"), "hits"))
+        tables.destroy()
+    joined = F.aggregate(
+        F.array_sort(F.flatten(F.collect_list("hits"))),
+        F.array().cast("array<struct<start:long,end:long>>"),
+        lambda acc, s: F.when(
+            (F.size(acc) > 0) & (s["start"] <= F.element_at(acc, -1)["end"]),
+            F.concat(
+                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
+                F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))),
+            ),
+        ).otherwise(F.concat(acc, F.array(s))),
+    )
+    per_row = reduce(DataFrame.unionByName, passes).groupBy("row").agg(
+        F.max("n_words").alias("n_words"), joined.alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    )
+    covered = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    result = fresh(docs, "_merged")
+    merged = per_row.select(F.col("row").alias(row), F.struct("n_words", covered.alias("n_hit"), "hits", "items").alias(result))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != into.lower()]
+    return numbered.join(merged, row).select(*kept, F.col(result).alias(into))
 
 
 def contaminated(overlap: str = "overlap", share: int = 20):

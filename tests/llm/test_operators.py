@@ -179,6 +179,31 @@ def tiktoken_encoding():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def test_tables_of_one_block_at_a_time(spark, monkeypatch):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(40))) for i in range(120)]
+    docs = [(i, f"{word()} {items[i % 120][1]} {word()} {items[(i * 7) % 120][1][:200]}", i) for i in range(60)] + [(60, None, 1), (60, None, 1), (None, items[3][1], 2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, _row int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = decontaminate.find_passages(df, bench)
+    alive, sizes, build = [], [], decontaminate.block_tables
+
+    def counted(*args):
+        assert all(t._jbroadcast is None or not t._jbroadcast.isValid() for t in alive)
+        tables, size = build(*args)
+        alive.append(tables)
+        sizes.append(size)
+        return tables, size
+
+    monkeypatch.setattr(decontaminate, "block_tables", counted)
+    parted = decontaminate.find_passages(df, bench, block_bytes=6000)
+    assert parted.columns == whole.columns and sorted(map(str, parted.collect())) == sorted(map(str, whole.collect()))
+    assert len(sizes) >= 5 and max(sizes) < (4 << 20) + (1 << 20)  # the shift table of the one class of lengths and a megabyte
+    kept = decontaminate.remove_contaminated(df, bench, block_bytes=6000)
+    assert kept.columns == df.columns and kept.count() == 2
+
+
 def test_merge_replay(spark, odd):
     rnd = random.Random(1)
     texts = ODD + ["ab" * 999 + "aaa", "İstanbul ǅ ٣٤ ①②", "don't we'll 'S <|endoftext|>", "q" * 1500 + "zab" * 800]
