@@ -14,7 +14,7 @@ from pyspark.sql.functions import arrow_udf
 
 from strataforge.llm.text import ready, slices, utf8, with_result
 
-SLICE_BYTES = 2 << 20  # texts whose distinct words are replayed together
+SLICE_BYTES = 4 << 20  # texts whose distinct words are replayed together
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -45,7 +45,12 @@ class Merges:
         found.sort()
         self.keys = np.array([k for k, _ in found] or [-1], np.int64)
         self.ranks = np.array([r for _, r in found] or [0], np.int64)
-        self.table = dict(found)
+        self.after: dict[int, dict[int, int]] = {}  # ranks by left half, then right half
+        self.before: dict[int, dict[int, int]] = {}  # ranks by right half, then left half
+        for key, rank in found:
+            left, right = key >> 32, key & 0xFFFFFFFF
+            self.after.setdefault(left, {})[right] = rank
+            self.before.setdefault(right, {})[left] = rank
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left << 32 | right
@@ -63,19 +68,22 @@ def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
 
 
-def pair_index(tokens: np.ndarray, owner: np.ndarray, merges: Merges) -> dict[int, list[int]]:
-    """Positions by the rank of the pair that begins there, ascending; pairs across words and pairs that never merge are left out."""
+def pair_ranks(tokens: np.ndarray, owner: np.ndarray, merges: Merges) -> np.ndarray:
+    """Rank of the pair that begins at each position; NONE at the end of a word and for pairs that never merge."""
     at = np.flatnonzero(owner[1:] == owner[:-1])
-    keys = tokens[at] << 32 | tokens[at + 1]
-    pairs, which = np.unique(keys, return_inverse=True)  # each distinct pair is looked up once
-    ranks = merges.lookup(pairs >> 32, pairs & 0xFFFFFFFF)[which]
-    merging = ranks != NONE
-    at, ranks = at[merging], ranks[merging]
-    order = np.argsort(ranks, kind="stable")
-    at, ranks = at[order], ranks[order]
-    cuts = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]])) if len(ranks) else at
-    bounds = [*cuts.tolist(), len(ranks)]
-    return {int(ranks[a]): at[a:b].tolist() for a, b in zip(bounds, bounds[1:])}
+    pairs, which = np.unique(tokens[at] << 32 | tokens[at + 1], return_inverse=True)  # each distinct pair is looked up once
+    ranks = np.full(len(tokens), NONE)
+    ranks[at] = merges.lookup(pairs >> 32, pairs & 0xFFFFFFFF)[which]
+    return ranks
+
+
+def positions_by(ranks: np.ndarray) -> dict[int, list[int]]:
+    """Ascending positions of every rank but NONE."""
+    at = np.flatnonzero(ranks != NONE)
+    at = at[np.argsort(ranks[at], kind="stable")]
+    names, first = np.unique(ranks[at], return_index=True)
+    bounds = [*first.tolist(), len(at)]
+    return {r: at[a:b].tolist() for r, a, b in zip(names.tolist(), bounds, bounds[1:])}
 
 
 def replay_index(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
@@ -93,38 +101,40 @@ def replay_index(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.nda
     owner = np.repeat(np.arange(len(words)), sizes)
     if not len(tokens):
         return tokens, owner
-    index = pair_index(tokens, owner, merges)
+    found = pair_ranks(tokens, owner, merges)
+    index = positions_by(found)
     ranks, waiting = sorted(index), {}
     joined = owner[1:] == owner[:-1]
     numbers = np.arange(len(tokens))
     following = np.append(np.where(joined, numbers[1:], -1), -1).tolist()
     before = np.append(-1, np.where(joined, numbers[:-1], -1)).tolist()
-    ids = tokens.tolist()
-    rank_of, at_rank = merges.table.get, index.get
+    ids, begins = tokens.tolist(), found.tolist()  # ``begins``: rank of the pair that begins at a position now
+    at_rank, never, nothing = index.get, int(NONE), {}
     while ranks:
         rank = heapq.heappop(ranks)
-        base = rank << 32
+        with_right, with_left = merges.after.get(rank, nothing).get, merges.before.get(rank, nothing).get
         places = waiting.pop(rank, None) or iter(sorted(index.pop(rank)))
         for place in places:
-            right = following[place]
-            if right < 0 or rank_of(ids[place] << 32 | ids[right]) != rank:
+            if begins[place] != rank:
                 continue  # a merge next to it took one half
-            ids[place], ids[right] = rank, -1
+            right = following[place]
             after, previous = following[right], before[place]
-            following[place] = after
+            ids[place], ids[right], begins[right], following[place] = rank, -1, never, after
+            made = never
             if after >= 0:
                 before[after] = place
-                made = rank_of(base | ids[after])
-                if made is not None:
+                made = with_right(ids[after], never)
+                if made != never:
                     known = at_rank(made)
                     if known is None:
                         index[made] = [place]
                         heapq.heappush(ranks, made)
                     else:
                         known.append(place)
+            begins[place] = made
             if previous >= 0:
-                made = rank_of(ids[previous] << 32 | rank)
-                if made is not None:
+                made = begins[previous] = with_left(ids[previous], never)
+                if made != never:
                     known = at_rank(made)
                     if known is None:
                         index[made] = [previous]

@@ -224,7 +224,7 @@ def test_merge_replay(spark, odd):
 def merged_plainly(word, merges):
     ids = [int(merges.single[b]) for b in word]
     while True:
-        found = [(merges.table[pair], i) for i in range(len(ids) - 1) if (pair := ids[i] << 32 | ids[i + 1]) in merges.table]
+        found = [(merges.after[a][b], i) for i, (a, b) in enumerate(zip(ids, ids[1:])) if b in merges.after.get(a, ())]
         if not found:
             return ids
         rank, i = min(found)
