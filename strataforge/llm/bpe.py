@@ -14,7 +14,7 @@ from pyspark.sql.functions import arrow_udf
 
 from strataforge.llm.text import ready, slices, utf8, with_result
 
-SLICE_BYTES = 4 << 20  # texts whose distinct words are replayed together
+SLICE_BYTES = 1 << 20  # texts whose distinct words are replayed together
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -150,12 +150,12 @@ def replay_index(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.nda
     return merged[left], owner[left]
 
 
-def encode_texts(texts: pa.Array, merges: Merges, pattern) -> pa.Array:
+def encode_texts(texts: pa.Array, merges: Merges, pattern, slice_bytes: int = SLICE_BYTES) -> pa.Array:
     """Token ids of each text: words by the pattern, distinct words replayed, ids put back in place."""
     data, offsets = utf8(texts)
     raw = data.tobytes()
     parts = []
-    for a, b in slices(np.diff(offsets), SLICE_BYTES):
+    for a, b in slices(np.diff(offsets), slice_bytes):
         found: list[str] = []
         ends = [0]
         for i in range(a, b):
@@ -174,12 +174,12 @@ def encode_texts(texts: pa.Array, merges: Merges, pattern) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
 
-def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
+def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", into: str = "ids", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Add the token ids of every whole text.
 
     A word never depends on another, so the corpus is replayed in slices of
     bounded bytes: each slice indexes the pairs of its distinct words and applies every merge in
-    rank order to all of them.  No shuffle is needed, and a lost task repeats its slices only.
+    rank order to all of them.  Larger slices share more words and take more memory; the ids are the same.  No shuffle is needed, and a lost task repeats its slices only.
     The rank file is read by the driver; its size, not the data's, bounds the broadcast.
 
     NULL and empty texts have no ids.  Repeated rows are encoded each.  Other columns
@@ -194,7 +194,7 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", into: st
 
         merges, compiled = Merges(tokens.value), regex.compile(pattern)
         for texts in batches:
-            yield encode_texts(texts, merges, compiled)
+            yield encode_texts(texts, merges, compiled, slice_bytes)
 
     return with_result(df, into, ids(F.col(text).cast("string")))
 

@@ -69,7 +69,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5(spark: SparkSession, folder: str) -> DataFrame:
-    coded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), RANKS, PATTERN).drop("text")
+    coded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), RANKS, PATTERN, slice_bytes=4 << 20).drop("text")
     read = bpe.read_back(coded, RANKS)
     return read.select(
         "doc_id",
