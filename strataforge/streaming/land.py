@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from typing import TYPE_CHECKING
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from strataforge.sources.ledger import Ledger
 
-if TYPE_CHECKING:
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState
-
 
 def stream_land(
     spark: SparkSession, source: str, target: str, checkpoint: str, schema: StructType, files_per_trigger: int | None = None
@@ -86,35 +81,30 @@ def stream_changes(
 
     Spark's state store holds what is known between batches and runs: the ids
     (``event``) of the last ``delay`` of event time, so that a repeated event is dropped,
-    and the place (``at``, ``event``) of each key's latest row, so that an event older than that
+    and each key's latest row by (``at``, ``event``), so that an event older than that
     changes nothing.  Events older than the watermark are dropped and counted as ``late``.
-    The file sink commits each micro-batch once, so a restart repeats nothing.  ``current``
-    reads the state.  A key's events may lie in any number of batches; the state of a key is one row.
+    Each micro-batch replaces its own folder, so a restart repeats nothing: one target belongs
+    to one checkpoint.  ``current`` reads the changes.  A key's events may lie in any number of
+    batches; the state of a key is one row, and no Python runs per key.
     """
-    order = [at, event]
-    state = ", ".join(f"{c} {schema[c].dataType.simpleString()}" for c in order)
-
-    def latest(_key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        best = held.get if held.exists else None
-        row = None
-        for frame in frames:
-            top = frame.sort_values(order).iloc[[-1]]
-            place = tuple(top[order].iloc[0])
-            if best is None or place > tuple(best):
-                best, row = place, top
-        if row is not None:
-            held.update(tuple(row[order].astype(object).iloc[0]))
-            yield row
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)  # readable before the first batch
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/_batch={number}")
 
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    once = reader.parquet(source).withWatermark(at, delay).dropDuplicatesWithinWatermark([event])
-    changes = once.groupBy(*key).applyInPandasWithState(latest, schema, state, "append", "NoTimeout")
+    now = F.current_timestamp()  # one value in a micro-batch, the same when it is repeated
+    stamped = reader.parquet(source).withColumn("_seen", now)
+    once = stamped.withWatermark(at, delay).dropDuplicatesWithinWatermark([event])
+    place = F.struct(at, event, -F.unix_micros("_seen"))  # of rows at one place the first seen stays
+    latest = once.groupBy(*key).agg(F.max_by(F.struct(*schema.names, "_seen"), place).alias("_latest"))
+    changes = latest.where(F.col("_latest._seen") == now).select("_latest.*").drop("_seen")
     query = (
-        changes.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", target)
+        changes.writeStream.foreachBatch(write)
+        .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

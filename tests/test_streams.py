@@ -43,3 +43,19 @@ def test_late_and_repeated_events_and_a_restart(spark, run, tmp_path):
     figures, state = run()  # nothing new
     assert figures["rows"] == 0 and {(r.k, r.event) for r in state.collect()} == wanted[-1]
     assert spark.read.parquet(str(tmp_path / "out")).count() == before
+
+
+def test_rows_without_time_hide_no_change_and_only_changes_are_written(spark, run, tmp_path):
+    _, state = run([(1, "a", None, 1), (2, "a", 100, 2), (3, "b", 110, 3)])
+    assert {(r.k, r.event) for r in state.collect()} == {("a", 2), ("b", 3)}
+    _, state = run([(4, "a", 90, 4), (5, "b", 120, 5)])  # 4 is older than the latest of its key
+    assert {(r.k, r.event) for r in state.collect()} == {("a", 2), ("b", 5)}
+    assert sorted(r.event for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [2, 3, 5]
+
+
+def test_no_python_runs_per_key(spark, run, monkeypatch):
+    def refuse(*_args, **_kwargs):
+        raise AssertionError("a Python call per key and batch")
+
+    monkeypatch.setattr("pyspark.sql.pandas.group_ops.PandasGroupedOpsMixin.applyInPandasWithState", refuse)
+    assert run(DELIVERIES[0])[0]["rows"] == 4
