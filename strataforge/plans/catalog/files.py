@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from functools import reduce
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strataforge.functions.frames import attach
@@ -300,15 +300,17 @@ def order_documents(t) -> DataFrame:
     )
     grouped = t.orders.groupBy(F.floor(F.col("o_orderkey") / 20).alias("doc")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            contents = []
-            for doc, rows in zip(batch["doc"], batch["rows"]):
-                cells = [(str(i), r["code"], r["description"], r["planned"], r["achieved"], "ĐẠT") for i, r in enumerate(rows)]
-                contents.append(document_bytes(f"quý {doc % 4 + 1}/2024" if doc % 3 else "năm 2023", [*cells, ("", "STT", "", "", "", "")]))
-            yield pd.DataFrame({"path": [f"doc{d}.docx" for d in batch["doc"]], "content": contents})
-
-    return grouped.mapInPandas(build, "path string, content binary")
+            numbers = batch.column(0).to_pandas()
+            for start in range(0, batch.num_rows, documents.SLICE):
+                docs, contents = numbers[start : start + documents.SLICE], []
+                for doc, rows in zip(docs, batch.column(1).slice(start, documents.SLICE).to_pylist()):
+                    cells = [(str(i), r["code"], r["description"], r["planned"], r["achieved"], "ĐẠT") for i, r in enumerate(rows)]
+                    contents.append(document_bytes(f"quý {doc % 4 + 1}/2024" if doc % 3 else "năm 2023", [*cells, ("", "STT", "", "", "", "")]))
+                yield pa.record_batch({"path": pa.array([f"doc{d}.docx" for d in docs], pa.string()), "content": pa.array(contents, pa.binary())})
+
+    return grouped.mapInArrow(build, "path string, content binary")
 
 
 @query(

@@ -34,11 +34,12 @@ EMPTY = {"cause": "", "action": ""}
 ABSENT = "N/A"
 
 CELLS = pa.list_(pa.list_(pa.list_(pa.string())))
+SLICE = 64  # documents whose cells one Python worker holds at a time
 UNREADABLE = (zipfile.BadZipFile, zlib.error, KeyError, EOFError, RuntimeError, ElementTree.ParseError)
 
 
 def _text(node) -> str:
-    return "".join(t.text or "" for t in node.iter(f"{NS}t")).strip()
+    return "".join([t.text or "" for t in node.iter(f"{NS}t")]).strip()
 
 
 def _content(file: bytes) -> tuple[str | None, str | None, list]:
@@ -52,21 +53,24 @@ def _content(file: bytes) -> tuple[str | None, str | None, list]:
     return None, "\n".join(_text(p) for p in root.iter(f"{NS}p")), tables
 
 
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ``read_documents`` gives, a few documents at a time: memory does not grow with the batch."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            part = batch.slice(start, SLICE)
+            found = [_content(file.as_py()) for file in part.column(1)]
+            errors, texts, tables = ([f[i] for f in found] for i in range(3))
+            yield pa.record_batch(
+                {"path": part.column(0), "error": pa.array(errors, pa.string()), "text": pa.array(texts, pa.string()), "tables": pa.array(tables, CELLS)}
+            )
+
+
 def read_documents(documents: DataFrame) -> DataFrame:
     """(path, error, text, tables): one row per document of (path, content); every task opens the files it reads.
 
     ``error`` names what made a document unreadable, else it is NULL.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_content(file) for file in batch.column(1).to_pylist()]
-            errors, texts, tables = ([f[i] for f in found] for i in range(3))
-            yield pa.record_batch(
-                {"path": batch.column(0), "error": pa.array(errors, pa.string()), "text": pa.array(texts, pa.string()), "tables": pa.array(tables, CELLS)}
-            )
-
-    return documents.select("path", "content").mapInArrow(run, "path string, error string, text string, tables array<array<array<string>>>")
+    return documents.select("path", "content").mapInArrow(opened, "path string, error string, text string, tables array<array<array<string>>>")
 
 
 def _any_word(text: Column, words) -> Column:
@@ -81,16 +85,32 @@ def _role(header: Column) -> Column:
     return role
 
 
-def _rows(table: Column) -> Column:
-    """The rows of one table as structs; none unless its first line is a known header with a code column."""
-    headers = F.transform(F.coalesce(F.get(table, F.lit(0)), F.array().cast("array<string>")), F.upper)
-    roles = F.transform(headers, _role)
+def _rows(tables: Column) -> Column:
+    """The rows of each table as structs; none unless its first line is a known header with a code column.
 
-    def row(cells: Column) -> Column:
+    Each step is a transform of its own, so that headers are read once per table, not once per cell.
+    """
+    headed = F.transform(
+        tables,
+        lambda t: F.struct(
+            F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))).alias("lines"),
+            F.transform(F.coalesce(F.get(t, F.lit(0)), F.array().cast("array<string>")), F.upper).alias("headers"),
+        ),
+    )
+    with_roles = F.transform(headed, lambda t: F.struct(t["lines"].alias("lines"), t["headers"].alias("headers"), F.transform(t["headers"], _role).alias("roles")))
+
+    def place(table: Column, name: str) -> Column:
+        return F.nullif(F.array_position(table["roles"], F.lit(name)).cast("int"), F.lit(0)) - 1
+
+    def placed(table: Column) -> Column:
+        known = _any_word(F.array_join(table["headers"], " "), TABLE_WORDS) & F.array_contains(table["roles"], F.lit("code"))
+        lines = F.when(known, table["lines"]).otherwise(F.slice(table["lines"], 1, 0))
+        return F.struct(lines.alias("lines"), *[place(table, name).alias(name) for name, _ in COLUMN_WORDS])
+
+    def row(cells: Column, places: Column) -> Column:
         values = []
         for name, _ in COLUMN_WORDS:
-            place = F.array_position(roles, F.lit(name)).cast("int")
-            cell = F.nullif(F.get(cells, F.nullif(place, F.lit(0)) - 1), F.lit(""))
+            cell = F.nullif(F.get(cells, places[name]), F.lit(""))
             values.append(F.coalesce(cell, F.lit("" if name == "code" else EMPTY.get(name, ABSENT))).alias(name))
         return F.struct(*values)
 
@@ -98,14 +118,12 @@ def _rows(table: Column) -> Column:
         code = found["code"]
         return (F.length(code) >= 2) & ~F.upper(code).isin(*NOT_CODES)
 
-    known = _any_word(F.array_join(headers, " "), TABLE_WORDS) & F.array_contains(roles, F.lit("code"))
-    lines = F.slice(table, F.lit(2), F.greatest(F.size(table) - 1, F.lit(0)))
-    return F.filter(F.transform(F.when(known, lines).otherwise(F.slice(table, 1, 0)), row), coded)
+    return F.transform(F.transform(with_roles, placed), lambda t: F.filter(F.transform(t["lines"], lambda cells: row(cells, t)), coded))
 
 
 def table_rows(read: DataFrame) -> DataFrame:
     """Coded rows of all recognised tables of documents from ``read_documents``, numbered per document."""
-    rows = F.flatten(F.transform("tables", _rows))
+    rows = F.flatten(_rows(F.col("tables")))
     found = read.where("error IS NULL").select("path", document_period(F.col("text")).alias("period"), F.posexplode(rows))
     names = [name for name, _ in COLUMN_WORDS]
     return found.select("path", (F.col("pos") + 1).alias("row_no"), "period", *[F.col(f"col.{n}").alias(n) for n in names])

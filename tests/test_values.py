@@ -1,5 +1,6 @@
 """Text, masking, planning, documents and readers on single cases."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row, functions as F
 
@@ -340,3 +341,25 @@ def test_snake_case(name, want):
     from strataforge.functions.text import snake_case
 
     assert snake_case(name) == want
+
+
+def test_documents_are_opened_a_few_at_a_time():
+    good = document_bytes("quý 1/2024", [("1", "Q-MT1", "a", "5", "6", "đạt")])
+    batch = pa.record_batch({"path": pa.array([str(i) for i in range(1000)]), "content": pa.array([good] * 998 + [b"x", None], pa.binary())})
+    parts = list(documents.opened(iter([batch])))
+    assert max(p.num_rows for p in parts) <= documents.SLICE
+    read = pa.Table.from_batches(parts)
+    assert read["path"].to_pylist() == batch["path"].to_pylist()
+    assert read["error"].to_pylist() == [None] * 998 + ["BadZipFile"] * 2
+    assert read["tables"][0].as_py()[0][1] == ["1", "Q-MT1", "a", "5", "6", "đạt"]
+
+
+def test_headers_of_each_table_place_its_own_cells(spark):
+    known, turned = ["Mã", "Kết quả", "Nội dung"], ["Nội dung", "Mã", "Mức đăng ký"]
+    tables = [[known, ["A-1", "đạt", "x"], ["STT", "", ""]], [["other"], ["B-1"]], [], [turned, ["y", "C-1"]]]
+    shape = "path string, error string, text string, tables array<array<array<string>>>"
+    rows = documents.table_rows(spark.createDataFrame([("d", None, "Q1/2024", tables), ("n", None, "", None)], shape)).collect()
+    assert [(r.path, r.row_no, r.code, r.description, r.result, r.planned, r.cause) for r in rows] == [
+        ("d", 1, "A-1", "x", "đạt", "N/A", ""),
+        ("d", 2, "C-1", "y", "N/A", "N/A", ""),
+    ]
