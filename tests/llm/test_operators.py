@@ -484,6 +484,15 @@ def test_ratio_follows_its_definition(spark):
     assert all(q.least == pytest.approx(least) for q in got.values())
 
 
+def test_every_labelled_document_is_used(spark):
+    docs = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), (F.col("id") + 100_000).cast("string")).alias("text"))
+    graded = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 5 == 0).cast("int").alias("toxic"))
+    uses = quality_rules.labelled(graded, "doc_id", (F.col("quality") == 1) & (F.col("toxic") == 0))
+    assert {r.use: r["count"] for r in uses.groupBy("use").count().collect()} == {"target": 30_000, "held": 10_000, "other": 10_000}
+    _, counts, total = quality_rules.labelled_grams(docs, "doc_id", "text", uses)
+    assert total == 2 * 30_000 and counts.sum() == 30_000  # one word and its tail each; the tails are those in three documents or more
+
+
 def test_verdicts_hold_while_the_corpus_grows(spark):
     rows, labels = graded_texts(400)
     graded = spark.createDataFrame(labels[:200], "doc_id long, quality int, toxic int")
