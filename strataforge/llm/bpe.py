@@ -12,9 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from strataforge.llm.text import ready, slices, utf8, with_result
+from strataforge.llm.text import Remembered, ready, slices, utf8, with_result
 
 SLICE_BYTES = 1 << 20  # texts whose distinct words are replayed together
+KNOWN_WORDS = 400_000  # words whose ids a Python worker keeps
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -150,8 +151,34 @@ def replay_index(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.nda
     return merged[left], owner[left]
 
 
-def encode_texts(texts: pa.Array, merges: Merges, pattern, slice_bytes: int = SLICE_BYTES) -> pa.Array:
-    """Token ids of each text: words by the pattern, distinct words replayed, ids put back in place."""
+_replayed: dict[int, tuple[Merges, Remembered]] = {}
+
+
+def replayed_by(tokens: list[bytes]) -> tuple[Merges, Remembered]:
+    """Merges and the words replayed with them, one set per Python worker, kept between its tasks."""
+    key = hash(tuple(tokens))
+    if key not in _replayed:
+        _replayed.clear()
+        _replayed[key] = Merges(tokens), Remembered(KNOWN_WORDS)
+    return _replayed[key]
+
+
+def places_of(found: list[str], merges: Merges, known: Remembered) -> np.ndarray:
+    """Number of each word among the known ones; the distinct words not known yet are replayed together."""
+    new = list(dict.fromkeys([w for w in found if w not in known.places]))
+    if new and known.make_room(len(new)):
+        new = list(dict.fromkeys([w for w in found if w not in known.places]))
+    if new:
+        ids, cuts = replay([w.encode() for w in new], merges)
+        known.add(new, [ids], np.diff(cuts))
+    places = np.fromiter(map(known.places.__getitem__, found), np.int64, len(found))
+    known.uses += np.bincount(places, minlength=len(known))
+    return places
+
+
+def encode_texts(texts: pa.Array, merges: Merges, pattern, slice_bytes: int = SLICE_BYTES, known: Remembered | None = None) -> pa.Array:
+    """Token ids of each text: words by the pattern, distinct words replayed once, ids put back in place."""
+    known = Remembered(KNOWN_WORDS) if known is None else known
     data, offsets = utf8(texts)
     raw = data.tobytes()
     parts = []
@@ -164,11 +191,10 @@ def encode_texts(texts: pa.Array, merges: Merges, pattern, slice_bytes: int = SL
         if not found:
             parts.append(pa.array([[]] * (b - a), pa.list_(pa.int32())))
             continue
-        coded = pa.array(found, pa.string()).dictionary_encode()
+        places = places_of(found, merges, known)
         del found
-        ids, cuts = replay(coded.dictionary.cast(pa.binary()).to_pylist(), merges)
-        words = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))
-        placed = words.take(coded.indices)
+        words = pa.ListArray.from_arrays(pa.array(known.cuts, pa.int32()), pa.array(known.ids, pa.int32()))
+        placed = words.take(pa.array(places))
         where = placed.offsets.to_numpy()[np.array(ends)]
         parts.append(pa.ListArray.from_arrays(pa.array(where, pa.int32()), placed.values))
     return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
@@ -179,7 +205,8 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", into: st
 
     A word never depends on another, so the corpus is replayed in slices of
     bounded bytes: each slice indexes the pairs of its distinct words and applies every merge in
-    rank order to all of them.  Larger slices share more words and take more memory; the ids are the same.  No shuffle is needed, and a lost task repeats its slices only.
+    rank order to all of them.  Words that a worker has replayed in an earlier slice are looked up, as long as it remembers them (``KNOWN_WORDS``).
+    Larger slices share more words and take more memory; the ids are the same.  No shuffle is needed, and a lost task repeats its slices only.
     The rank file is read by the driver; its size, not the data's, bounds the broadcast.
 
     NULL and empty texts have no ids.  Repeated rows are encoded each.  Other columns
@@ -192,9 +219,9 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", into: st
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import regex
 
-        merges, compiled = Merges(tokens.value), regex.compile(pattern)
+        (merges, known), compiled = replayed_by(tokens.value), regex.compile(pattern)
         for texts in batches:
-            yield encode_texts(texts, merges, compiled, slice_bytes)
+            yield encode_texts(texts, merges, compiled, slice_bytes, known)
 
     return with_result(df, into, ids(F.col(text).cast("string")))
 

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -757,3 +758,30 @@ def test_word_hashes_follow_the_words():
     assert len(set(hashes.tolist())) == len(set(words))
     assert [hashes[i] == hashes[0] for i in range(3)] == [True] * 3
     assert hashlib.sha256(hashes.tobytes()).hexdigest() == hashlib.sha256(text.word_hashes(data, offsets, True)[0].tobytes()).hexdigest()
+
+
+def test_words_used_most_are_remembered():
+    known = text.Remembered(4)
+    known.add(["a", "b", "c"], [np.array([1, 2, 2], np.int32), np.array([3, 3, 3], np.int32)], np.array([1, 2, 3]))
+    known.uses += [1, 5, 3]
+    assert not known.make_room(1) and known.make_room(2)
+    assert known.places == {"b": 0, "c": 1} and known.ids.tolist() == [2, 2, 3, 3, 3] and known.cuts.tolist() == [0, 2, 5]
+    known.add(["d"], [np.array([], np.int32)], np.array([0]))
+    assert known.places["d"] == 2 and known.cuts.tolist() == [0, 2, 5, 5] and known.uses.tolist() == [2, 1, 0]
+    assert known.make_room(9) and len(known) == 0 and known.ids.size == 0 and known.cuts.tolist() == [0]
+
+
+def test_words_are_replayed_once(monkeypatch):
+    """A worker replays a word once, not once a slice; words it had to drop are replayed again, with the same ids."""
+    import regex
+
+    asked = []
+    replay = bpe.replay
+    monkeypatch.setattr(bpe, "replay", lambda words, merges: asked.append(words) or replay(words, merges))
+    merges, pattern = bpe.replayed_by(bpe.read_ranks(RANKS))[0], regex.compile(P.PATTERN)
+    texts = pa.array(["qwxzv zzyxq", None, "qwxzv jjkkq", "", "zzyxq qwxzv été", "qwxzv"])
+    coded = bpe.encode_texts(texts, merges, pattern, 1)
+    assert sorted(w for words in asked for w in words) == sorted(w.encode() for w in ("qwxzv", " zzyxq", " jjkkq", "zzyxq", " qwxzv", " été"))
+    small = text.Remembered(3)
+    assert bpe.encode_texts(texts, merges, pattern, 1, small).equals(coded) and len(small) <= 3
+    assert bpe.encode_texts(texts, merges, pattern).to_pylist() == coded.to_pylist()
