@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strataforge.llm.identity import ordered_key
-from strataforge.llm.text import SPACE, fresh, ready, slices, utf8
+from strataforge.llm.text import SPACE, Remembered, fresh, ready, slices, utf8
 
 END = 1
 ROW_GROUP_BYTES = 64 << 20
@@ -21,10 +21,13 @@ SLICE_BYTES = 4 << 20
 CACHE_WORDS = 400_000  # word encodings a Python worker keeps
 SCHEMA = "doc long, part int, at long, n_tokens long, ids array<int>"
 FILE = pa.schema([("doc", pa.int64()), ("part", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
-LETTERS, CLOSING, LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+LETTERS, MARKS, LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
 LETTERS[[*range(65, 91), *range(97, 123)]] = True
-CLOSING[list(b".,;:!?")] = True
+MARKS[list(b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~")] = True  # all but those that control tokens begin and end with
 LOWER[65:91] += 32
+# the character that stands for each byte in a byte-level vocabulary: itself if it shows, else one from U+0100 on
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+UNITS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
 
 
 # the splitting that the word-wise way below relies on
@@ -57,9 +60,9 @@ class WordTokens:
 
     The tokenizer's own splitting parts text at white space and between a
     letter and a punctuation mark, and it folds case.  So a text's ids are those
-    of its words, each encoded once and looked up after.  Words of plain Latin
-    letters are encoded many at a time: each is one unit to the tokenizer,
-    whose last token alone is marked as a word end.  Others are encoded one by one.
+    of its words, each encoded once and looked up after.  A word of plain Latin
+    letters is one unit to the tokenizer, which NFC and splitting leave as it is; it goes to
+    the tokenizer's model in lower case.  Others pass the whole tokenizer one by one.
     """
 
     def __init__(self, definition: str, limit: int = CACHE_WORDS):
@@ -70,15 +73,7 @@ class WordTokens:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.word_wise = word_wise(definition)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-        self.limit = limit
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.cuts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.known = Remembered(limit)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -86,37 +81,37 @@ class WordTokens:
     def learn(self, words: list[bytes]) -> None:
         plain, other = [], []
         for raw in words:
-            w = raw.decode()
-            # letters below U+0180 without the dotted capital I: one letter each, also in lower case
-            (plain if w.isalpha() and max(w) < "\u0180" and "\u0130" not in w else other).append(w)
-        ids, sizes, order = [self.ids], [], []
-        for start in range(0, len(plain), 256):
-            some = plain[start : start + 256]
-            found = np.array(self.encode([" ".join(some)])[0], np.int32)
-            ends = np.flatnonzero(self.ends[found]) + 1
-            if len(ends) == len(some) and ends[-1] == len(found):
-                ids.append(found)
-                sizes.append(np.diff(ends, prepend=0))
-                order += some
+            if raw.isalpha():
+                plain.append(raw)
             else:
-                other += some
-        alone = self.encode(other)
-        ids.append(np.array([i for x in alone for i in x], np.int32))
-        sizes.append(np.array([len(x) for x in alone], np.int64))
-        base = len(self.known)
-        self.known.update(zip(map(str.encode, order + other), range(base, base + len(words))))
-        self.ids = np.concatenate(ids)
-        self.cuts = np.concatenate([self.cuts, self.cuts[-1] + np.cumsum(np.concatenate(sizes))])
+                w = raw.decode()
+                # letters below U+0180 without the dotted capital I: one letter each, also in lower case
+                (plain if w.isalpha() and max(w) < "\u0180" and "\u0130" not in w else other).append(raw)
+        model = self.tokenizer.model.tokenize
+        units = [raw.lower().decode() if raw.isascii() else raw.decode().lower().encode().decode("latin-1").translate(UNITS) for raw in plain]
+        ids: list[int] = []
+        sizes: list[int] = []
+        for w in units:
+            found = model(w)
+            ids += [t.id for t in found]
+            sizes.append(len(found))
+        for found in self.encode([raw.decode() for raw in other]):
+            ids += found
+            sizes.append(len(found))
+        self.known.add(plain + other, [np.array(ids, np.int32)], np.array(sizes, np.int64))
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """Where the distinct words stand among the known ones."""
-        new = [w for w in words if w not in self.known]
+        found = list(map(self.known.places.get, words))
+        new = [w for w, place in zip(words, found) if place is None]
         if new:
-            if len(self.known) + len(new) > self.limit:
-                self.forget()
-                new = words
+            if self.known.make_room(len(new)):
+                new = [w for w in words if w not in self.known.places]
             self.learn(new)
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            found = list(map(self.known.places.__getitem__, words))
+        places = np.array(found, np.int64)
+        self.known.uses[places] += 1
+        return places
 
 
 _tokens: dict[int, WordTokens] = {}
@@ -134,12 +129,12 @@ def tokens_of(definition: str) -> WordTokens:
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """Units that can be encoded apart, and the first unit of each text: cut at ASCII white space and before closing marks.
 
-    A closing mark between a letter and white space, or the text's end, is a
-    word of its own to the tokenizer.
+    Marks between a letter and white space, or the text's end, are together a
+    word of their own to the tokenizer.
     """
     folded = LOWER[data]
-    marks = np.flatnonzero((data == 0xCC) | (data == 0xCD))
-    for i in np.unique(np.searchsorted(offsets, marks, "right") - 1).tolist():
+    combining = np.flatnonzero((data == 0xCC) | (data == 0xCD))
+    for i in np.unique(np.searchsorted(offsets, combining, "right") - 1).tolist():
         # with a combining mark case may not fold letter by letter
         folded[offsets[i] : offsets[i + 1]] = data[offsets[i] : offsets[i + 1]]
     # control tokens are matched on the raw text, so the case of what may be one stays
@@ -153,13 +148,14 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     edge = np.zeros(len(data) + 1, bool)  # whether a text begins here
     edge[offsets] = True
     first = inside.copy()
-    closing = np.flatnonzero(CLOSING[data])
-    closing = closing[(closing > 0) & ~edge[closing]]
-    closing = closing[LETTERS[data[closing - 1]]]
-    behind = np.minimum(closing + 1, len(data) - 1)
-    closing = closing[edge[closing + 1] | ~inside[behind]]
     first[1:] &= ~inside[:-1] | edge[1:-1]
-    first[closing] = True
+    marks = MARKS[data]
+    begin, end = marks.copy(), marks.copy()
+    begin[1:] &= ~marks[:-1] | edge[1:-1]
+    end[:-1] &= ~marks[1:] | edge[1:-1]
+    closing, behind = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    after_letter = (closing > 0) & ~edge[closing] & LETTERS[data[closing - 1]]
+    first[closing[after_letter & (edge[behind] | ~inside[np.minimum(behind, len(data) - 1)])]] = True
     starts = np.flatnonzero(first)
     cuts = np.append(np.cumsum(inside)[starts] - 1, np.count_nonzero(inside)).astype(np.int32)
     words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(folded[inside])])
@@ -174,10 +170,11 @@ def encode_slice(texts: pa.Array, tokens: WordTokens, end: int) -> pa.ListArray:
     coded = words.dictionary_encode()
     places = tokens.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
     # the end id is one more word behind each text
-    places = np.insert(places, ends[1:], len(tokens.cuts) - 1)
-    cuts = np.append(tokens.cuts, tokens.cuts[-1] + 1)
-    known = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.append(tokens.ids, np.int32(end)), pa.int32()))
-    placed = known.take(pa.array(places))
+    known = tokens.known
+    places = np.insert(places, ends[1:], len(known))
+    cuts = np.append(known.cuts, known.cuts[-1] + 1)
+    words = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.append(known.ids, np.int32(end)), pa.int32()))
+    placed = words.take(pa.array(places))
     where = placed.offsets.to_numpy()[ends + np.arange(len(ends))]
     return pa.ListArray.from_arrays(pa.array(where, pa.int32()), placed.values)
 

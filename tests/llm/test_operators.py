@@ -785,3 +785,17 @@ def test_words_are_replayed_once(monkeypatch):
     small = text.Remembered(3)
     assert bpe.encode_texts(texts, merges, pattern, 1, small).equals(coded) and len(small) <= 3
     assert bpe.encode_texts(texts, merges, pattern).to_pylist() == coded.to_pylist()
+
+
+def test_word_tokens_keep_the_words_used_most():
+    with open(WORD_TOKENS, encoding="utf-8") as file:
+        tokens = token_files.WordTokens(file.read(), 8)
+    alone, learned = tokens.encode, []
+    learn = tokens.learn
+    tokens.learn = lambda words: learned.extend(words) or learn(words)
+    texts = [f"common words stay rare{i}x unsaid{i}" for i in range(9)] + ["", None, "".join(map(chr, range(192, 384))), "ÀÉ ŸŽ ªº µ ŉſ İ ĸ ÐÞ"]
+    texts += ["ab$$$ don't'! x'", "'s! a.'s! b''", "z!", "!z!!", "q<|endoftext|>!! q|> <|endoftext|>. y{}~\n", "é!! a\u0301!! e!\u0338 =\u0338", "a(b)-- c[1]! 9!!"]
+    texts += [c for i in range(0x41, 0x180) if (c := chr(i)).isalpha()]
+    got = [token_files.encode_slice(pa.array([t], pa.string()), tokens, 1).to_pylist()[0] for t in texts]
+    assert got == [[*ids, 1] for ids in alone([t or "" for t in texts])]
+    assert learned.count(b"common") == 1 and len(tokens.known) <= 8
