@@ -8,7 +8,7 @@ from strataforge.plans.catalog.common import AS_OF
 from strataforge.plans.catalog.files import order_documents
 from strataforge.plans.catalog.mart import FACT, MART, SUMMARY
 from strataforge.plans.registry import half_up, query
-from strataforge.session import scratch
+from strataforge.session import scratch, staged
 from strataforge.sources import files
 from strataforge.sources.ledger import Ledger
 
@@ -103,6 +103,12 @@ def _manifest(t, root: str, name: str) -> DataFrame:
     return files.context_manifest(listed.withColumn("path", below)).filter(F.col("path").contains(f"/{name}."))
 
 
+def context_lines(t) -> DataFrame:
+    """One line per order and flag, written once, as both runs land some of them."""
+    one = star.dedup_latest(t.v_context_lines.distinct(), ["order_id", "return_flag"], ["quantity", "amount"])
+    return staged(one.withColumn("line_id", F.concat_ws("-", "order_id", "return_flag")), "context-lines")
+
+
 def sales_context(t) -> contexts.ContextRun:
     """Two runs over three entities in three formats.
 
@@ -110,9 +116,7 @@ def sales_context(t) -> contexts.ContextRun:
     corrections, orders without key, lines of the new orders and some again, and a new column of every other customer.
     """
     root = scratch(t.spark, "context")
-    one = star.dedup_latest(t.v_context_lines.distinct(), ["order_id", "return_flag"], ["quantity", "amount"])
-    lines = one.withColumn("line_id", F.concat_ws("-", "order_id", "return_flag"))
-    orders, customers = t.v_context_orders, t.v_context_customers
+    lines, orders, customers = context_lines(t), t.v_context_orders, t.v_context_customers
     late, wrong = F.col("order_id") % 3 == 0, F.col("order_id") % 5 == 1
     tie_break = {"orders": ["total_amount"], "customers": ["customer_name"], "lines": ["amount"]}
 

@@ -170,3 +170,17 @@ def test_repair_rewrites_only_partitions_with_repeats(spark, rows):
     after = spark.read.parquet(path).inputFiles()
     assert before and {f for f in after if "/part=d/" in f} == before and not any("HIVE_DEFAULT" in f for f in after)
     assert sinks.repair_partitions(spark, path, ["part"], ["id"], [F.desc("n")]) == 0
+
+
+def test_context_lines_are_computed_once(spark):
+    """Both runs land lines, so their choice is read from files, not made again for each landing."""
+    from types import SimpleNamespace
+
+    from strataforge.plans.catalog.datasets import context_lines
+
+    rows = [(1, 5, 10, "A"), (1, 5, 10, "A"), (1, 5, 12, "A"), (1, 7, 1, "B"), (None, 2, 3, "A"), (2, None, None, None)]
+    lines = context_lines(SimpleNamespace(v_context_lines=spark.createDataFrame(rows, "order_id long, quantity long, amount long, return_flag string")))
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    assert sorted(r.line_id for r in lines.collect()) == ["1-A", "1-B", "2", "A"]
+    assert [r.amount for r in lines.filter("line_id = '1-A'").collect()] == [12]
